@@ -48,3 +48,10 @@ def text_or_empty(name: str) -> Column:
 def crc_mod(id_column: Column, n: int) -> Column:
     """crc32 of an id as text, modulo ``n``; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's vocabulary file, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import vocabulary
+from .bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .quality_rules import quality_rules
 
 
@@ -23,9 +26,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "rules.*")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_values=False)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op9_bpe": op9_bpe,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
