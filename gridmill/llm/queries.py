@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ._common import vocabulary
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .packing import pack
 from .quality_rules import quality_rules
 
@@ -22,6 +23,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "rules.*")
 
@@ -36,6 +41,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
