@@ -14,6 +14,7 @@ from .linear import quality_model, score, toxicity_model
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality_rules import quality_rules
+from .secrets import scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "rules.*")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets.*").drop("found")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_values=False)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
+    "op7_secrets": op7_secrets,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
