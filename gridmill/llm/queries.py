@@ -11,6 +11,7 @@ from ._common import crc_mod, vocabulary
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .linear import quality_model, score, toxicity_model
+from .lm_scoring import lm_scores, split
 from .near_dedup import near_dedup
 from .packing import pack
 from .quality_rules import quality_rules
@@ -29,6 +30,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir), split())
+
+
 def _judged(spark: SparkSession, sf_dir: str, fitter, n: int, remainder: int) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = crc_mod(F.col("doc_id"), n) == remainder
@@ -63,6 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
