@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm._common import fresh, written
+from gridmill.llm._common import vocabulary, written
 from gridmill.llm.exact_dedup import drop_exact_duplicates
+from gridmill.llm.near_dedup import drop_near_duplicates
+from gridmill.llm.packing import pack
 from gridmill.llm.quality_rules import quality_rules
+from gridmill.llm.secrets import scan
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +24,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8."""
+    return drop_near_duplicates(docs, words=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret in the text replaced and n_chars brought up to date."""
+    clean = scan(docs, redact=True)
+    found = F.size(F.col(f"`{clean.columns[-1]}`.found")) > 0
+    n_chars = F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return clean.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 4096 tokens."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("secrets", secrets), ("packing", packing)]
 
 #: The quality rules and later stages hash and search; the tests hold them against brute force.
 ORACLE_SQL = None

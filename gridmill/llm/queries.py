@@ -16,6 +16,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .quality_rules import quality_rules
 from .secrets import scan
+from .token_counts import rolled_up
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "secrets.*").drop("found")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolled_up(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), with_values=False)
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_secrets": op7_secrets,
+    "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
@@ -84,4 +90,15 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op8_token_counts": r"""
+        WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
+             k AS (SELECT * FROM d WHERE regexp_matches(t, '[^\x20\x09-\x0D]'))
+        SELECT source, lang, 'words-1' AS version, count(*)::BIGINT AS docs,
+               sum(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')))::BIGINT AS tokens
+        FROM k GROUP BY source, lang
+        UNION ALL
+        SELECT source, lang, 'pieces-1', count(*)::BIGINT,
+               sum(len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')))::BIGINT
+        FROM k GROUP BY source, lang
+    """,
 }
