@@ -327,7 +327,8 @@ def _baseline(s, d):
 query("forecast_hourly", "hour", "SELECT * FROM hour")(lambda s, d: forecast.hourly(R(s, d), M(s, d)))
 query("forecast_grid", "hgrid", "SELECT * FROM hgrid")(_hourly_grid)
 query("forecast_features", "sp", "SELECT * REPLACE (round(prev_week_same_hour_mean, 9) AS prev_week_same_hour_mean) FROM sp")(lambda s, d: _features(s, d).withColumn("prev_week_same_hour_mean", F.round("prev_week_same_hour_mean", 9)))
-query("forecast_leakage")(lambda s, d: forecast.leakage(_features(s, d)))
+LAST = {"lag_24h": "hour_start - INTERVAL 23 HOUR", "lag_48h": "hour_start - INTERVAL 47 HOUR", "lag_168h": "hour_start - INTERVAL 167 HOUR", "prev_week_same_hour_mean": "hour_start - INTERVAL 23 HOUR", "prev_day_mean": "origin"}
+query("forecast_leakage", "feat", " UNION ALL ".join(f"SELECT '{k}' AS feature, bool_and({end} <= origin) AS leak_free FROM feat" for k, end in LAST.items()))(lambda s, d: forecast.leakage(_features(s, d)))
 query("forecast_availability", "sp", " UNION ALL ".join(f"SELECT '{c}' AS feature, min(hour_start) FILTER (WHERE {c} IS NOT NULL) AS first_hour FROM sp" for c in forecast.NUMERIC))(lambda s, d: forecast.availability(_features(s, d)))
 query("forecast_splits", "sp", "SELECT split, count(*) AS rows, count(*) FILTER (WHERE complete) AS usable_rows, min(hour_start) AS first_target, max(hour_start) AS last_target, count(*) FILTER (WHERE NOT complete) AS rows_missing FROM sp GROUP BY 1")(lambda s, d: forecast.split_summary(_features(s, d)))
 query("forecast_baseline", "pred", "SELECT * FROM pred")(_baseline)
