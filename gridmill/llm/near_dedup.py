@@ -5,9 +5,10 @@
 2.  Inverted lists of the retained values: a class is listed under its rarest values first.
     Sketches of sets at the threshold share at least ``c`` values, up to a chance below ``MISS`` (a binomial tail;
     for sets that fit in the sketch it is certain), so it is enough to list the rarest k - c + 1 of k.
-3.  A list of at most ``SHORT`` classes gives all its pairs of fitting sizes.  A longer list gives pairs with its
-    most typical class; members that this doesn't connect are tried with further centres, and at last all pairs
-    of members that are still in different components are taken, so no link that matters is lost.
+3.  A list of at most ``SHORT`` classes gives all its pairs of fitting sizes.  Members of longer lists are listed anew,
+    under the rarest values of their full sets by the exact prefix bound, which leaves those apart that only share a
+    passage.  What is still long gives pairs with its most typical class; members that this doesn't connect are tried
+    with further centres, and at last all pairs in different components are taken, so no link that matters is lost.
 4.  Candidates whose union sketch shares too few values go; the rest are verified on the full sets.
 5.  Components of the verified links, by contraction.
 
@@ -123,6 +124,44 @@ class _Search:
         common = F.size(F.array_intersect("ta", "tb"))
         return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
+    def short_pairs(self, keys: DataFrame) -> DataFrame:
+        """All pairs of each list of at most ``SHORT`` members whose sizes fit."""
+        short = keys.where(F.col("m") <= SHORT)
+        l, r = (short.select("v", F.col("node").alias(x), F.col("n").alias(f"_{x}")) for x in "ab")
+        return l.join(r, (l.v == r.v) & (F.col("a") < F.col("b")) & self.fits(F.col("_a"), F.col("_b"))).select("a", "b")
+
+    def long_links(self, long: DataFrame, links: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, labels) with those of the long lists (v, node, n, typical)."""
+
+        def labelled(rows: DataFrame) -> DataFrame:
+            return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+        left = labelled(long.select("v", "node", "n", "typical"))
+        for _ in range(ROUNDS):
+            centre = left.groupBy("v").agg(F.max(F.struct("typical", "node", "n", "comp")).alias("c"))
+            apart = written(left.join(centre, "v").where("comp <> c.comp"))
+            if apart.isEmpty():
+                break
+            # A member tries one centre a round, the most typical of its lists.
+            tried = apart.where(self.fits(F.col("n"), F.col("c.n"))).groupBy("node").agg(F.max("c").alias("c"))
+            links = written(links.union(self.links(tried.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))))
+            label = components(links)
+            now = labelled(apart.select("v", "node", "n", "typical", F.col("c.node").alias("_c")))
+            of = label.select(F.col("node").alias("_c"), F.col("comp").alias("_comp"))
+            left = written(now.join(of, "_c", "left").where("comp <> coalesce(_comp, _c)").drop("_c", "_comp"))
+        # Whatever is still apart: all pairs across components, each under the first list that both are in.
+        ours = written(labelled(long.select("v", "node", "n")))
+        open_ = ours.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
+        ours = ours.join(open_, "v", "left_semi")
+        lists = ours.groupBy("node").agg(F.collect_list("v").alias("vs"))
+        ours = written(ours.join(lists, "node").select("v", "node", "n", "comp", "vs"))
+        l, r = (ours.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "vs")]) for x in "ab")
+        cross = (F.col("comp_a") < F.col("comp_b")) & self.fits(F.col("n_a"), F.col("n_b"))
+        first = F.array_min(F.array_intersect("vs_a", "vs_b")) == l.v
+        pairs = l.join(r, (l.v == r.v) & cross & first).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        links = written(links.union(self.links(pairs)))
+        return links, components(links)
+
 
 def _keys(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(v, node, n, typical): the inverted lists with two or more members."""
@@ -135,6 +174,16 @@ def _keys(classes: DataFrame, k: int, percent: int) -> DataFrame:
     return kept.select(F.explode("vs.v").alias("v"), "node", "n", "typical")
 
 
+def _exact_keys(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(v, node, n, typical) by the prefix bound on full sets: linked sets share one of each one's n - ceil(t n) + 1 rarest."""
+    flat = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode("set").alias("v"))
+    common = flat.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per = flat.join(common, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("typical"))
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    take = (prefix - (F.col("n") - F.size("vs"))).cast("int")
+    return per.where(take > 0).select(F.explode(F.slice("vs", F.lit(1), take)).alias("x"), "node", "n", "typical").select("x.v", "node", "n", "typical")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows have _id, _key, n, f1, f2; classes have n, f1, f2, id and _key of the document that stays."""
     marks = written(_sketched(docs, id_col, text_col, words, k))
@@ -150,40 +199,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = written(_full_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["node"]))
     search = _Search(classes, sets, k, percent)
 
-    short = keys.where(F.col("m") <= SHORT)
-    l, r = (short.select("v", F.col("node").alias(x), F.col("n").alias(f"_{x}")) for x in "ab")
-    pairs = l.join(r, (l.v == r.v) & (F.col("a") < F.col("b")) & search.fits(F.col("_a"), F.col("_b"))).select("a", "b")
-    links = written(search.links(pairs))
+    links = written(search.links(search.short_pairs(keys)))
+    # Long lists are drawn up anew from the full sets of their members, by the exact prefix bound.
+    keys = written(_exact_keys(sets, keys.where(F.col("m") > SHORT).select("node").distinct(), percent))
+    keys = written(keys.join(keys.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "v"))
+    links = written(links.union(search.links(search.short_pairs(keys))))
     label = components(links)
-
-    # Long lists: centres one after the other, each tried with all members it isn't connected to yet.
     long = keys.where(F.col("m") > SHORT)
     if not long.isEmpty():
-        alike = lambda: long.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        left = alike()
-        for _ in range(ROUNDS):
-            centre = left.groupBy("v").agg(F.max(F.struct("typical", "node", "n", "comp")).alias("c"))
-            tried = written(left.join(centre, "v").where("comp <> c.comp"))
-            if tried.isEmpty():
-                break
-            pairs = tried.where(search.fits(F.col("n"), F.col("c.n"))).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
-            links = written(links.union(search.links(pairs)))
-            label = components(links)
-            now = tried.select("v", "node", "n", "typical", F.col("c.node").alias("_c")).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            of = label.select(F.col("node").alias("_c"), F.col("comp").alias("_comp"))
-            left = written(now.join(of, "_c", "left").where("comp <> coalesce(_comp, _c)").drop("_c", "_comp"))
-        # Whatever is still apart: all pairs across components, each under the first list that both are in.
-        ours = written(alike())
-        open_ = ours.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-        ours = ours.join(open_, "v", "left_semi")
-        lists = ours.groupBy("node").agg(F.collect_list("v").alias("vs"))
-        ours = written(ours.join(lists, "node").select("v", "node", "n", "comp", "vs"))
-        l, r = (ours.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "vs")]) for x in "ab")
-        cross = (F.col("comp_a") < F.col("comp_b")) & search.fits(F.col("n_a"), F.col("n_b"))
-        first = F.array_min(F.array_intersect("vs_a", "vs_b")) == l.v
-        pairs = l.join(r, (l.v == r.v) & cross & first).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        links = written(links.union(search.links(pairs)))
-        label = components(links)
+        links, label = search.long_links(long, links, label)
 
     # (not label), so that a class without links is its own component.
     named = classes.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
