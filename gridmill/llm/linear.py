@@ -117,8 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, kind: str
 
         for batch in batches:
             texts = (x.as_py() or b"" for x in batch.column(2).cast(pa.binary()))
-            slots = [s.tolist() for s in EXTRACTORS[kind](texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["mix", "y", "slots"])
+            # A few hundred rows at a time, as flat arrays: a batch's slots as Python lists would take a gigabyte.
+            for at in range(0, batch.num_rows, 256):
+                slots = list(EXTRACTORS[kind](x for _, x in zip(range(256), texts)))
+                offsets = np.concatenate(([0], np.cumsum([len(s) for s in slots]))).astype(np.int32)
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(slots)))], names=["mix", "y", "slots"])
 
     joined = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(y, F.col("_id") == F.col("_lid"))
     rows = written(joined.select(mix, "_y", "_text").mapInArrow(extract, "mix long, y int, slots array<int>"))
