@@ -91,7 +91,7 @@ def query(name: str, uses: str = "", text: str = ""):
 
 AVG_P, SUM_E = "sum(p)::DOUBLE / count(*)", "sum(e)::DOUBLE"
 IN = lambda c, x: f"{c} >= '{x[0]}' AND {c} < '{x[1]}'"
-MET = "count(*) AS n, round(sum(abs(d)::DECIMAL(20,8))::DOUBLE / count(*), 6) AS mae, round(sqrt(sum((d * d)::DECIMAL(20,8))::DOUBLE / count(*)), 6) AS rmse, round(sum(d::DECIMAL(20,8))::DOUBLE / count(*), 6) AS bias"
+MET = "count(*) AS n, sum(abs(d)::DECIMAL(20,8))::DOUBLE / count(*) AS mae, sqrt(sum((d * d)::DECIMAL(20,8))::DOUBLE / count(*)) AS rmse, sum(d::DECIMAL(20,8))::DOUBLE / count(*) AS bias"
 
 # Benchmark queries.
 query("q1", "r", f"SELECT date_trunc('hour', t) AS hour, {AVG_P} AS avg_power_kw, count(*) AS readings FROM r WHERE {IN('event_time', DAY)} GROUP BY 1")(lambda s, d: analysis.hourly_profile(R(s, d), *DAY))

@@ -90,7 +90,7 @@ def metrics(predictions: DataFrame, *keys: str | Column, actual: str = "energy_k
     """MAE, RMSE and bias (predicted minus actual), overall or by group."""
     error = F.col("prediction") - F.col(actual)
     return predictions.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(exact_avg(F.abs(error)), 6).alias("mae"), F.round(F.sqrt(exact_avg(error * error)), 6).alias("rmse"), F.round(exact_avg(error), 6).alias("bias")
+        F.count(F.lit(1)).alias("n"), exact_avg(F.abs(error)).alias("mae"), F.sqrt(exact_avg(error * error)).alias("rmse"), exact_avg(error).alias("bias")
     )
 
 
