@@ -48,7 +48,7 @@ def byte_alphabet() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -72,7 +72,7 @@ class Bpe:
         self.pretokens = regex.compile(PATTERN).findall
         self.space_run = regex.compile(rf" [{WS}]").search
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
-        self.memo = Memo(self._unit, memo)
+        self.pieces, self.memo = Memo(self._piece), Memo(self._unit, memo)
 
     def _merged(self, data: bytes) -> list[bytes]:
         """The merge rules applied one by one; only for strings of one or two tokens."""
@@ -92,33 +92,33 @@ class Bpe:
         self.follows[u, t] = found
         return found
 
+    def _advance(self, data: bytes, last: list[int], before: int) -> None:
+        """Extend ``last`` to all of ``data``."""
+        suffix, follows = self.suffix.get, self.follows.get
+        for i in range(len(last), len(data) + 1):
+            found, at = [], i - 1
+            while at >= 0 and (t := suffix(data[at:i])) is not None:
+                if t >= 0:
+                    found.append((t, at))
+                at -= 1
+            for t, at in reversed(found):
+                u = last[at] if at else before
+                if u < 0 or (ok := follows((u, t))) or (ok is None and self._may_follow(u, t)):
+                    last.append(t)
+                    break
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece given in chunks, each emitted as soon as it is final."""
-        suffix, follows, may_follow, keep = self.suffix, self.follows, self._may_follow, self.lookahead
         data, last = b"", [-1]  # last[i]: the token that ends at byte i of what is pending
         before = -1  # the token emitted last
         for chunk in chunks:
-            data += chunk
-            i = len(last) - 1
-            while i < len(data):
-                i += 1
-                found, size = [], 1
-                while size <= i and (t := suffix.get(data[i - size : i])) is not None:
-                    if t >= 0:
-                        found.append((t, i - size))
-                    size += 1
-                for t, at in reversed(found):
-                    u = last[at] if at else before
-                    if u < 0 or (ok := follows.get((u, t))) or (ok is None and may_follow(u, t)):
-                        last.append(t)
-                        break
-                if i >= 4 * keep:
-                    done = self._final(last, keep)
-                    if done:
-                        yield from done
-                        size = sum(len(self.bytes_of[t]) for t in done)
-                        data, last, before = data[size:], [-1, *last[size + 1 :]], done[-1]
-                        i -= size
+            for k in range(0, len(chunk), self.lookahead):
+                data += chunk[k : k + self.lookahead]
+                self._advance(data, last, before)
+                if len(data) >= 4 * self.lookahead and (done := self._final(last, self.lookahead)):
+                    yield from done
+                    size = sum(len(self.bytes_of[t]) for t in done)
+                    data, last, before = data[size:], [-1, *last[size + 1 :]], done[-1]
         yield from self._path(last, len(last) - 1)
 
     def _path(self, last: list[int], i: int) -> list[int]:
@@ -140,22 +140,28 @@ class Bpe:
                 common = common[:k]
         return common or []
 
-    def _unit(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text that starts where a pre-token may start."""
-        out: list[int] = []
-        for piece in self.pretokens(text):
-            data = piece.encode()
-            whole = self.single.get(data)
-            if whole is not None:
-                out.append(whole)
-            else:
-                out.extend(self.stream(data[k : k + 4096] for k in range(0, len(data), 4096)))
+    def _piece(self, piece: str) -> bytes:
+        """Little-endian 32-bit ids of one pre-token."""
+        data = piece.encode()
+        whole = self.single.get(data)
+        if whole is not None:
+            out = [whole]
+        elif len(data) <= self.lookahead:  # nothing is final before its end
+            last = [-1]
+            self._advance(data, last, -1)
+            out = self._path(last, len(data))
+        else:
+            out = list(self.stream(data[k : k + 4096] for k in range(0, len(data), 4096)))
         return struct.pack(f"<{len(out)}I", *out)
 
+    def _unit(self, text: str) -> bytes:
+        """Ids of a text that starts where a pre-token may start."""
+        return b"".join(map(self.pieces.__getitem__, self.pretokens(text)))
+
     def _plain(self, text: str) -> bytes:
         get = self.memo.__getitem__
         if self.space_run(text):
-            return b"".join(map(get, self.pretokens(text)))
+            return self._unit(text)
         first, *rest = text.split(" ")
         # A single space before a word always starts a pre-token.
         return b"".join([get(first) if first else b"", *[get(" " + w) for w in rest]])
