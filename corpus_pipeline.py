@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm._common import vocabulary, written
+from gridmill.llm._common import fresh, vocabulary, written
 from gridmill.llm.exact_dedup import drop_exact_duplicates
 from gridmill.llm.near_dedup import drop_near_duplicates
 from gridmill.llm.packing import pack
@@ -14,9 +14,15 @@ from gridmill.llm.secrets import scan
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    marked = quality_rules(docs)
-    return marked.where(f"`{marked.columns[-1]}`.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the quality rules keep.
+
+    The verdicts are written first: a filter on them would be pushed below the projections that make
+    them, and the optimizer would repeat every shared expression there.
+    """
+    marked, verdict = quality_rules(docs), fresh("_kept", docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    judged = written(marked.select(*columns, F.col(f"`{marked.columns[-1]}`.kept").alias(verdict)))
+    return judged.where(verdict).select(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
