@@ -7,7 +7,7 @@
     for sets that fit in the sketch it is certain), so it is enough to list the rarest k - c + 1 of k.
 3.  A list of at most ``SHORT`` classes gives all its pairs of fitting sizes.  Members of longer lists are listed anew,
     under the rarest values of their full sets by the exact prefix bound, which leaves those apart that only share a
-    passage.  What is still long gives pairs with its most typical class; members that this doesn't connect are tried
+    passage, and with a bound on what each set can share at all.  What is still long gives pairs with its most typical class; members that this doesn't connect are tried
     with further centres, and at last all pairs in different components are taken, so no link that matters is lost.
 4.  Candidates whose union sketch shares too few values go; the rest are verified on the full sets.
 5.  Components of the verified links, by contraction.
@@ -108,8 +108,10 @@ class _Search:
     def __init__(self, classes: DataFrame, sets: DataFrame, k: int, percent: int):
         self.classes, self.sets, self.k, self.percent = classes, sets, k, percent
 
-    def fits(self, a: Column, b: Column) -> Column:
-        return (100 * F.least(a, b)) >= self.percent * F.greatest(a, b)
+    def fits(self, na: Column, ra: Column, nb: Column, rb: Column) -> Column:
+        """Could sets of these sizes be linked, if only r values of each are in any other set?"""
+        most = F.least(ra, rb)
+        return 100 * most >= self.percent * (na + nb - most)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked: union-sketch estimate, then the full sets."""
@@ -127,8 +129,8 @@ class _Search:
     def short_pairs(self, keys: DataFrame) -> DataFrame:
         """All pairs of each list of at most ``SHORT`` members whose sizes fit."""
         short = keys.where(F.col("m") <= SHORT)
-        l, r = (short.select("v", F.col("node").alias(x), F.col("n").alias(f"_{x}")) for x in "ab")
-        return l.join(r, (l.v == r.v) & (F.col("a") < F.col("b")) & self.fits(F.col("_a"), F.col("_b"))).select("a", "b")
+        l, r = (short.select("v", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}")) for x in "ab")
+        return l.join(r, (l.v == r.v) & (F.col("a") < F.col("b")) & self.fits(*map(F.col, ("na", "ra", "nb", "rb")))).select("a", "b")
 
     def long_links(self, long: DataFrame, links: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(links, labels) with those of the long lists (v, node, n, typical)."""
@@ -136,27 +138,27 @@ class _Search:
         def labelled(rows: DataFrame) -> DataFrame:
             return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-        left = labelled(long.select("v", "node", "n", "typical"))
+        left = labelled(long.select("v", "node", "n", "r", "typical"))
         for _ in range(ROUNDS):
-            centre = left.groupBy("v").agg(F.max(F.struct("typical", "node", "n", "comp")).alias("c"))
+            centre = left.groupBy("v").agg(F.max(F.struct("typical", "node", "n", "r", "comp")).alias("c"))
             apart = written(left.join(centre, "v").where("comp <> c.comp"))
             if apart.isEmpty():
                 break
             # A member tries one centre a round, the most typical of its lists.
-            tried = apart.where(self.fits(F.col("n"), F.col("c.n"))).groupBy("node").agg(F.max("c").alias("c"))
+            tried = apart.where(self.fits(*map(F.col, ("n", "r", "c.n", "c.r")))).groupBy("node").agg(F.max("c").alias("c"))
             links = written(links.union(self.links(tried.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))))
             label = components(links)
-            now = labelled(apart.select("v", "node", "n", "typical", F.col("c.node").alias("_c")))
+            now = labelled(apart.select("v", "node", "n", "r", "typical", F.col("c.node").alias("_c")))
             of = label.select(F.col("node").alias("_c"), F.col("comp").alias("_comp"))
             left = written(now.join(of, "_c", "left").where("comp <> coalesce(_comp, _c)").drop("_c", "_comp"))
         # Whatever is still apart: all pairs across components, each under the first list that both are in.
-        ours = written(labelled(long.select("v", "node", "n")))
+        ours = written(labelled(long.select("v", "node", "n", "r")))
         open_ = ours.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
         ours = ours.join(open_, "v", "left_semi")
         lists = ours.groupBy("node").agg(F.collect_list("v").alias("vs"))
-        ours = written(ours.join(lists, "node").select("v", "node", "n", "comp", "vs"))
-        l, r = (ours.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "vs")]) for x in "ab")
-        cross = (F.col("comp_a") < F.col("comp_b")) & self.fits(F.col("n_a"), F.col("n_b"))
+        ours = written(ours.join(lists, "node").select("v", "node", "n", "r", "comp", "vs"))
+        l, r = (ours.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "r", "comp", "vs")]) for x in "ab")
+        cross = (F.col("comp_a") < F.col("comp_b")) & self.fits(*map(F.col, ("n_a", "r_a", "n_b", "r_b")))
         first = F.array_min(F.array_intersect("vs_a", "vs_b")) == l.v
         pairs = l.join(r, (l.v == r.v) & cross & first).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         links = written(links.union(self.links(pairs)))
@@ -164,24 +166,27 @@ class _Search:
 
 
 def _keys(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n, typical): the inverted lists with two or more members."""
+    """(v, node, n, r, typical): the inverted lists with two or more members; r bounds what a set can share."""
     flat = classes.select("node", F.explode("sketch").alias("v"))
     common = flat.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = flat.join(common, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("typical"))
     size = F.size("sketch")
     take = F.get(F.lit(listed(k, percent)), size) - (size - F.size("vs"))
     kept = per.join(classes.select("node", "n", "sketch"), "node").select("node", "n", "typical", F.slice("vs", F.lit(1), F.greatest(take, F.lit(0))).alias("vs"))
-    return kept.select(F.explode("vs.v").alias("v"), "node", "n", "typical")
+    return kept.select(F.explode("vs.v").alias("v"), "node", "n", F.col("n").alias("r"), "typical")
 
 
 def _exact_keys(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(v, node, n, typical) by the prefix bound on full sets: linked sets share one of each one's n - ceil(t n) + 1 rarest."""
+    """As ``_keys``, by the prefix bound on full sets: linked sets share one of each one's n - ceil(t n) + 1 rarest values.
+
+    What no other listed set has can't be shared, so r counts the rest.
+    """
     flat = sets.join(nodes, "node", "left_semi").select("node", "n", F.explode("set").alias("v"))
     common = flat.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per = flat.join(common, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("typical"))
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     take = (prefix - (F.col("n") - F.size("vs"))).cast("int")
-    return per.where(take > 0).select(F.explode(F.slice("vs", F.lit(1), take)).alias("x"), "node", "n", "typical").select("x.v", "node", "n", "typical")
+    return per.where(take > 0).select(F.explode(F.slice("vs", F.lit(1), take)).alias("x"), "node", "n", F.size("vs").cast("long").alias("r"), "typical").select("x.v", "node", "n", "r", "typical")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K) -> tuple[DataFrame, DataFrame]:
