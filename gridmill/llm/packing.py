@@ -33,6 +33,7 @@ from ._memo import Memo
 CAPACITY = 4096
 SALTS = 64
 NODES = 3_000
+MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -48,10 +49,17 @@ def word_ids(path: str) -> Memo:
     tokenizer.no_truncation()
 
     def make(word: bytes) -> bytes:
+        if word.isascii() and b"<|" not in word:  # the normaliser lower-cases, and a mark after a letter or digit stands alone
+            low = word.lower()
+            if low != word:
+                return memo[low]
+            if len(word) > 1 and word[-1:] in MARKS and word[-2:-1].isalnum():
+                return memo[word[:-1]] + memo[word[-1:]]
         ids = tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    return Memo(make)
+    memo = Memo(make, 500_000)
+    return memo
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
