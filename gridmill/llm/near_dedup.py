@@ -8,7 +8,8 @@
 3.  A list of at most ``SHORT`` classes gives all its pairs of fitting sizes.  Members of longer lists are listed anew,
     under the rarest values of their full sets by the exact prefix bound, which leaves those apart that only share a
     passage, and with a bound on what each set can share at all.  What is still long gives pairs with its most typical class; members that this doesn't connect are tried
-    with further centres, and at last all pairs in different components are taken, so no link that matters is lost.
+    with further centres, and at last pairs in different components are found by what they differ in from a typical member
+    of their list, again by prefixes, so no link that matters is lost.
 4.  Candidates whose union sketch shares too few values go; the rest are verified on the full sets.
 5.  Components of the verified links, by contraction.
 
@@ -132,6 +133,46 @@ class _Search:
         l, r = (short.select("v", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}")) for x in "ab")
         return l.join(r, (l.v == r.v) & (F.col("a") < F.col("b")) & self.fits(*map(F.col, ("na", "ra", "nb", "rb")))).select("a", "b")
 
+    def apart_pairs(self, lists: DataFrame) -> DataFrame:
+        """The pairs (a, b) across components that ``lists`` (v, node, n, r, typical, comp) leave possible.
+
+        Each list has a pivot p, its most typical member; D(x) is the symmetric difference of x and p.  Sets x and y are
+        linked if and only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= h (n(x) + n(y)), h = (1 - t) / (1 + t).  If x is not
+        linked to p, that asks for a common member of D(x) and D(y), and the prefix bound holds for both.
+        """
+        lists = written(lists)
+        pivot = F.max(F.struct("typical", "node", "n", "comp")).alias("p")
+        open_ = lists.groupBy("v").agg(pivot, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        open_ = open_.select("v", F.col("p.node").alias("p"), F.col("p.n").alias("np"), F.col("p.comp").alias("pcomp"))
+        met = lists.join(open_, "v").where("node <> p").select("p", "np", "pcomp", "node", "n", "r", "comp").distinct()
+        full = lambda node, x: self.sets.select(F.col("node").alias(node), F.col("set").alias(x))
+        both = met.join(full("node", "t"), "node").join(full("p", "tp"), "p")
+        diff = F.concat(F.array_except("t", "tp"), F.array_except("tp", "t"))
+        linked = (100 + self.percent) * F.size("d") <= (100 - self.percent) * (F.col("n") + F.col("np"))
+        drawn = written(both.withColumn("d", diff).withColumn("linked", linked).drop("t", "tp"))
+        direct = drawn.where("linked and comp <> pcomp").select(F.col("p").alias("x"), F.col("node").alias("y"))
+
+        flat = drawn.select("p", "node", F.explode("d").alias("e"))
+        common = flat.groupBy("p", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        per = flat.join(common, ["p", "e"]).groupBy("p", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+        rows = drawn.withColumn("m", F.size("d")).drop("d").join(per, ["p", "node"]).withColumn("q", F.size("es"))
+        rows = written(rows.withColumn("left", (F.col("comp") != F.col("pcomp")) & ~F.col("linked")))
+
+        def prefixes(part: DataFrame, least: Column, x: str) -> DataFrame:
+            """Each row under its rarest differences, if it has ``least`` in common with another."""
+            take = F.col("q") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1
+            kept = part.withColumn("take", take.cast("int")).where("take > 0").withColumn("es", F.slice("es", F.lit(1), F.col("take")))
+            return kept.select("p", F.explode("es.e").alias("e"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "r", "comp", "m", "q", "left")])
+
+        h = (100 - self.percent) / (100 + self.percent)
+        l = prefixes(rows.where("left"), (F.col("m") - F.col("n") * ((100 - self.percent) / self.percent)) / 2, "a")
+        r = prefixes(rows, (F.col("m") + h * (F.col("np") - F.col("n"))) / 2, "b")
+        cross = (F.col("comp_a") != F.col("comp_b")) & (~F.col("left_b") | (F.col("comp_a") < F.col("comp_b")))
+        near = F.col("m_a") + F.col("m_b") - 2 * F.least("q_a", "q_b") <= h * (F.col("n_a") + F.col("n_b")) + 1e-9
+        pairs = l.join(r, ["p", "e"]).where(cross & near & self.fits(*map(F.col, ("n_a", "r_a", "n_b", "r_b"))))
+        pairs = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).distinct().union(direct)
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
     def long_links(self, long: DataFrame, links: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(links, labels) with those of the long lists (v, node, n, typical)."""
 
@@ -151,17 +192,8 @@ class _Search:
             now = labelled(apart.select("v", "node", "n", "r", "typical", F.col("c.node").alias("_c")))
             of = label.select(F.col("node").alias("_c"), F.col("comp").alias("_comp"))
             left = written(now.join(of, "_c", "left").where("comp <> coalesce(_comp, _c)").drop("_c", "_comp"))
-        # Whatever is still apart: all pairs across components, each under the first list that both are in.
-        ours = written(labelled(long.select("v", "node", "n", "r")))
-        open_ = ours.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-        ours = ours.join(open_, "v", "left_semi")
-        lists = ours.groupBy("node").agg(F.collect_list("v").alias("vs"))
-        ours = written(ours.join(lists, "node").select("v", "node", "n", "r", "comp", "vs"))
-        l, r = (ours.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "r", "comp", "vs")]) for x in "ab")
-        cross = (F.col("comp_a") < F.col("comp_b")) & self.fits(*map(F.col, ("n_a", "r_a", "n_b", "r_b")))
-        first = F.array_min(F.array_intersect("vs_a", "vs_b")) == l.v
-        pairs = l.join(r, (l.v == r.v) & cross & first).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        links = written(links.union(self.links(pairs)))
+        # Whatever is still apart: by what sets differ in from a member of their list.
+        links = written(links.union(self.links(self.apart_pairs(labelled(long.select("v", "node", "n", "r", "typical"))))))
         return links, components(links)
 
 

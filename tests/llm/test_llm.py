@@ -88,10 +88,11 @@ def shingle_sets(pairs, size):
     return out
 
 
-@pytest.mark.parametrize("short", [32, 3])
-def test_near_dedup(spark, monkeypatch, short):
-    """Chains, copies, groups around a centre and passages that many documents share."""
+@pytest.mark.parametrize(("short", "rounds"), [(32, 3), (3, 3), (3, 0)])
+def test_near_dedup(spark, monkeypatch, short, rounds):
+    """Chains, copies, groups around a centre and passages that many documents share; without rounds, differences alone find the links."""
     monkeypatch.setattr(near_dedup, "SHORT", short)
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
     rnd, texts = random.Random(3), []
     for g in range(12):
         base = prose(g, 120, 5000).split()
