@@ -340,10 +340,11 @@ query("peak_hours", "pred", "SELECT region, hour_start, energy_kwh, prediction,
 
 @query("forecast_ridge")
 def forecast_ridge(s, d):
-    """Ridge on region totals by day-complete features, alpha chosen on the validation part, scored on the test part."""
-    df = _features(s, d).na.fill(0.0, [*forecast.NUMERIC, "energy_kwh"]).withColumn("complete", F.lit(True))
-    model, alpha, _ = forecast.select_ridge(df)
-    return forecast.metrics(forecast.predict(model, df.where("split = 'test'"))).withColumn("alpha", F.lit(alpha))
+    """Ridge on region totals by day-complete features, alpha chosen on the validation part, scored on the test part.
+
+    Rows without a predictor or the target are left out; where they leave nothing to fit or choose by, n is 0 and the rest null.
+    """
+    return forecast.ridge_metrics(_features(s, d))
 
 
 # Set operations, upserts, JSON and streams.

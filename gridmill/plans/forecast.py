@@ -136,3 +136,14 @@ def select_ridge(df: DataFrame, alphas: tuple[float, ...] = ALPHAS):
     validation.unpersist()
     best = min(tried, key=lambda x: (x[0]["mae"], x[0]["alpha"]))
     return best[1], best[0]["alpha"], [x[0] for x in tried]
+
+
+def ridge_metrics(df: DataFrame) -> DataFrame:
+    """Metrics and alpha of the selected ridge over the complete test rows; n = 0 and nulls if a part has no complete row."""
+    test = df.where("split = 'test' AND complete")
+    usable = {r["split"]: r["usable_rows"] for r in split_summary(df).select("split", "usable_rows").collect()}  # three rows
+    if not all(usable.get(part) for part in ("train", "validation", "test")):
+        empty = test.select(*KEYS, "energy_kwh", F.lit(None).cast("double").alias("prediction")).where(F.lit(False))
+        return metrics(empty).withColumn("alpha", F.lit(None).cast("double"))
+    model, alpha, _ = select_ridge(df)
+    return metrics(predict(model, test)).withColumn("alpha", F.lit(alpha))

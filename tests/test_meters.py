@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gridmill import catalogue
 from gridmill.functions.timebucket import bucket, local_bucket, local_day, snapped
 from gridmill.operators import analysis, compare, layout, quality, rollups
 from gridmill.plans import forecast, panels
@@ -208,3 +209,18 @@ def test_stream_ledger_and_windows(spark, tmp_path):
     w = live.sessions(s).writeStream.outputMode("complete").format("memory").queryName("session_out").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     w.awaitTermination()
     assert spark.table("session_out").count() == 2
+
+
+@pytest.mark.parametrize("from_day, scored", [(1, 7 * 24 - 25), (27, 0)])
+def test_ridge_leaves_out_incomplete_rows(spark, monkeypatch, from_day, scored):
+    """A gap isn't a reading of 0 kWh: it and the rows whose predictors need it are neither fitted nor scored."""
+    start, gap = datetime(2024, 1, 1), datetime(2024, 1, 27, 5)
+    times = [start + timedelta(hours=h) for h in range(28 * 24)]
+    rows = [("a", t, 5.0 + t.hour + t.weekday(), 1) for t in times if t.day >= from_day and t != gap]
+    rows = rows or [("a", times[0], 1.0, 1)]
+    grid = forecast.on_grid(frame(spark, rows, "region string, hour_start timestamp_ntz, energy_kwh double, readings bigint"), "2024-01-01", "2024-01-29")
+    df = forecast.split(forecast.features(grid), "2024-01-15", "2024-01-22")
+    monkeypatch.setattr(catalogue, "_features", lambda s, d: df)
+    got = catalogue.QUERIES["forecast_ridge"](spark, "").collect()
+    assert len(got) == 1 and got[0].n == scored == df.where("split = 'test' AND complete").count()
+    assert (got[0].mae is None and got[0].alpha is None) if not scored else got[0].mae >= 0
