@@ -4,7 +4,8 @@ The lexer reads ``name = literal``, ``name: literal``, ``name := literal`` and `
 configuration syntax, with quoted or bare literals and ``+`` between parts.  Names that hold a constant are
 remembered, in order, so ``K = "..."`` followed by ``client_secret = K`` or ``"${K}"`` leads back to the literal.
 A literal is scored by how sensitive the words of its target names are, and by its own length,
-variety and placeholders; from ``SCORE`` on it is a span of kind ``lexed``.
+variety and placeholders; from ``SCORE`` on it is a span of kind ``lexed``.  Names, blanks, literals, parts and constants have
+no bound; matching never goes back, and values are kept as places in the text.  A PEM block is read to its end line.
 
 Defined cases: null counts as empty text, which has no spans.  Texts are scanned one by one and whole, so ties,
 repeated rows and null ids need no care.  Spans count code points, end exclusive.
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right, insort
+from collections import Counter
 from math import log2
 
 from pyspark.sql import DataFrame
@@ -32,14 +35,18 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: How sensitive a word of a name is; two words of the second table count together.
 WORDS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "authkey": 1.0, "bearer": 0.8, "pass": 0.8}
 PARTS = {"key": 0.5, "auth": 0.5, "api": 0.4, "access": 0.4, "private": 0.5, "signing": 0.5, "encryption": 0.5, "client": 0.2, "master": 0.4, "session": 0.3, "db": 0.2, "admin": 0.2, "salt": 0.5}
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|true|false|undefined|todo|changeme|change_me|example\w*|placeholder|your[_-].*|test|dummy|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|password|secret|token)$")
+PLACEHOLDERS = frozenset("none null true false undefined todo changeme change_me placeholder test dummy password secret token".split())
 SCORE = 0.5
 
 SEPARATOR = re.compile(r"(?::=|=>|=|:)(?![=/])")
-NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.-]{0,80})["'\]]?[\x20\t]{0,8}$""")
-PART = re.compile(r"""[\x20\t]{0,8}(?:"((?:\\.|[^"\\\n]){0,4096})"|'((?:\\.|[^'\\\n]){0,4096})'|`([^`\n]{0,4096})`|([A-Za-z0-9_$+/=.~!@^-]{1,512}))""")
-PLUS = re.compile(r"[\x20\t]{0,8}\+(?=[\x20\t]{0,8}[\"'`A-Za-z_$])")
-REFERENCE = re.compile(r"^(?:\$\{?|%|#\{)?([A-Za-z_][A-Za-z0-9_.]{0,80})[}%]?$")
+NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-"
+PART = re.compile(r"""[\x20\t]*+(?:"((?:\\.|[^"\\\n])*+)"|'((?:\\.|[^'\\\n])*+)'|`([^`\n]*+)`|([A-Za-z0-9_$+/=.~!@^-]++))""")
+PLUS = re.compile(r"[\x20\t]*+\+(?=[\x20\t]*+[\"'`A-Za-z_$])")
+REFERENCE = re.compile(r"(?:\$\{?|%|#\{)?([A-Za-z_][A-Za-z0-9_.]*+)[}%]?")
+PEM = re.compile(r"""[\x20\t]*+(?:[|>][+-]?[\x20\t]*+\n)?\s*+["'`]*+\s*+(-----BEGIN ([A-Z0-9 ]*+)-----)""")
+PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Words of messages rather than of passphrases.
+COMMON = frozenset("a an and are as at be by can cannot do enter for from has have if in incorrect invalid is it may must no not of on or please should that the this to too was will with you your".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -63,51 +70,145 @@ def name_score(name: str) -> float:
     return max(best, min(1.0, sum(PARTS.get(w, 0.0) for w in set(words))))
 
 
-def literal_score(value: str) -> float:
-    """From 0 to 1: how much a literal looks like a secret rather than a word, a flag or a placeholder."""
-    n = len(value)
-    if n < 6 or PLACEHOLDER.match(value) or value.count(" ") > 2:
+class Value:
+    """What a part and the parts after it hold, as places in the text; what scoring needs is gathered when it is asked for."""
+
+    __slots__ = ("span", "ref", "tail", "counts", "size", "common", "head", "end", "told")
+
+    def __init__(self, span: tuple[int, int] | None, ref: Value | None, tail: Value | None):
+        self.span, self.ref, self.tail, self.counts, self.told = span, ref, tail, None, False
+
+
+def gathered(value: Value, text: str, last: list) -> Value:
+    """``value`` with character counts, size, common words, first and last characters; ``last`` is the last span counted."""
+    todo = [value]
+    while todo:
+        x = todo[-1]
+        wait = [y for y in (x.ref, x.tail) if y is not None and y.counts is None]
+        if x.counts is not None or wait:
+            if x.counts is not None:
+                todo.pop()
+            todo += wait
+            continue
+        if x.ref:
+            counts, x.size, x.common, x.head, x.end = x.ref.counts, x.ref.size, x.ref.common, x.ref.head, x.ref.end
+        else:
+            a, b = x.span
+            if last and last[0] <= a < last[1] == b:  # a later start in the same run
+                counts = Counter(last[2])
+                counts.subtract(text[last[0] : a])
+                counts = +counts
+            else:
+                counts = Counter(text[a:b])
+            last[:] = a, b, counts
+            x.size, x.head, x.end = b - a, text[a : min(b, a + 64)], text[max(a, b - 2) : b]
+            x.common = sum(w.strip(".,;:!?").lower() in COMMON for w in text[a:b].split()) if counts[" "] else 0
+        if y := x.tail:
+            counts, x.size, x.common = counts + y.counts, x.size + y.size, x.common + y.common
+            x.head, x.end = (x.head + y.head)[:64], (x.end + y.end)[-2:]
+        x.counts = counts
+        todo.pop()
+    return value
+
+
+def placeholder(x: Value) -> bool:
+    low, word = x.head.lower(), lambda but="": all(c.isalnum() or c == "_" or c in but for c in x.counts)
+    if {c.lower() for c in x.counts} in ({"x"}, {"*"}, {"."}, {"-"}) or x.size <= 64 and low in PLACEHOLDERS:
+        return True
+    if low.startswith("example") and word() or low.startswith(("your_", "your-")):
+        return True
+    if x.head[0] == "%" and x.end[-1] == "%" and x.counts["%"] == 2 and x.size > 2 and word("%"):
+        return True
+    return x.head[0] == "<" and x.end[-1] == ">" or low.startswith("${") and x.end[-1] == "}" or low.startswith("{{") and x.end == "}}"
+
+
+def literal_score(x: Value) -> float:
+    """From 0 to 1: how much a literal looks like a secret rather than a word, a flag, a message or a placeholder.
+
+    A private key block counts fully.  More than two blanks make a passphrase, or a message if the
+    literal ends like a sentence or if a quarter of its words are common ones.
+    """
+    n = x.size
+    if n < 6 or placeholder(x):
+        return 0.0
+    if PRIVATE.match(x.head):
+        return 1.0
+    blanks = x.counts[" "]
+    if blanks > 2 and (x.end[-1] in ".?!:" or 4 * x.common >= blanks + 1):
         return 0.0
-    counts = {c: value.count(c) for c in set(value)}
-    bits = -sum(k / n * log2(k / n) for k in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    return min(1.0, bits / 3.0) * (1.0 if kinds >= 2 else 0.7 if n >= 12 else 0.5)
+    bits = -sum(k / n * log2(k / n) for k in x.counts.values())
+    held = "".join(x.counts)
+    kinds = sum(bool(re.search(p, held)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    return min(1.0, bits / 3.0) * (1.0 if kinds >= 2 or blanks > 2 else 0.7 if n >= 12 else 0.5)
 
 
 def lexed_spans(text: str) -> list[tuple[int, str, int, int]]:
     """Literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    spans = set()
-    for sep in SEPARATOR.finditer(text):
-        named = NAME.search(text, max(0, sep.start() - 100), sep.start())
-        if not named:
-            continue
-        parts, at, value = [], sep.end(), ""
-        while m := PART.match(text, at):
-            k = m.lastindex
-            if k == 4:
-                ref = REFERENCE.match(m[4])
-                if ref and ref[1] in constants:
-                    more, where = constants[ref[1]]
-                else:
-                    more, where = m[4], [m.span(4)]
-            elif (ref := REFERENCE.match(m[k])) and m[k][:1] in "$%#" and ref[1] in constants:
-                more, where = constants[ref[1]]
+    constants: dict[str, Value] = {}
+    chains: dict[int, Value] = {}  # by where a part starts: it and the parts after it, as first read
+    ends: dict[str, int] = {}  # by label of a block: where it is next closed
+    spans: set[tuple[int, int]] = set()
+    last: list = []
+    runs: list[tuple[int, int]] = []  # bare literals that were read, ascending
+    before = 0
+
+    def block(at: int) -> Value | None:
+        m = PEM.match(text, at)
+        if not m:
+            return None
+        close = f"-----END {m[2]}-----"
+        if -1 < ends.get(close, 0) < m.end():
+            ends[close] = text.find(close, m.end())
+        return Value((m.start(1), ends[close] + len(close)), None, None) if ends[close] >= 0 else None
+
+    def chain(at: int) -> Value | None:
+        read = []
+        tail = None
+        while True:
+            if at in chains:
+                tail = chains[at]
+                break
+            k = bisect_right(runs, (at, len(text))) - 1
+            if k >= 0 and at < runs[k][1]:  # within a bare literal that was read before
+                a, b, bare = at, runs[k][1], True
+            elif m := PART.match(text, at):
+                (a, b), at_end, bare = m.span(m.lastindex), m.end(), m.lastindex == 4
+                if bare:
+                    insort(runs, (a, b))
             else:
-                more, where = m[k], [m.span(k)]
-            value, at = value + more, m.end()
-            parts += [x for x in where if x not in parts]
-            plus = PLUS.match(text, at)
-            if not plus or len(parts) >= 64:
+                break
+            ref = REFERENCE.fullmatch(text, a, b) if bare or text[a : a + 1] in ("$", "%", "#") else None
+            held = constants.get(ref[1]) if ref else None
+            read.append((at, None if held else (a, b), held))
+            plus = PLUS.match(text, b if bare else at_end)
+            if not plus:
                 break
             at = plus.end()
-        if not parts or len(value) > 1 << 16:
+        for at, span, held in reversed(read):
+            tail = chains[at] = Value(span, held, tail)
+        return tail
+
+    for sep in SEPARATOR.finditer(text):
+        left = text[before : sep.start()].rstrip(" \t")
+        before = sep.end()
+        if left[-1:] in ('"', "'", "]"):
+            left = left[:-1]
+        name = left[len(left.rstrip(NAME)) :].lstrip("0123456789.-")
+        if not name:
+            continue
+        value = block(sep.end()) or chain(sep.end())
+        if not value:
             continue
-        name = named[1]
-        if len(constants) < 10_000:
-            constants[name] = constants[name.rpartition(".")[2]] = (value, parts)
-        if (s := name_score(name)) >= SCORE and s * literal_score(value) >= SCORE:
-            spans.update(x for x in parts if x[1] > x[0])
+        constants[name] = constants[name.rpartition(".")[2]] = value
+        if (s := name_score(name)) >= SCORE and s * literal_score(gathered(value, text, last)) >= SCORE:
+            todo = [value]
+            while todo:
+                x = todo.pop()
+                if x and not x.told:
+                    x.told = True
+                    todo += [x.ref, x.tail]
+                    if x.span and x.span[1] > x.span[0]:
+                        spans.add(x.span)
     return [(a, "lexed", b, a) for a, b in spans]
 
 

@@ -224,6 +224,35 @@ def test_secrets_lexer(spark, edge):
     assert secrets.scan(edge.limit(0)).count() == 0
 
 
+def test_secrets_are_found_whole(spark):
+    rnd = random.Random(7)
+    token = "".join(rnd.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(9000))
+    pem = "-----BEGIN PRIVATE KEY-----\\nMIIEvQIBADANBg\\n-----END PRIVATE KEY-----"
+    lines = pem.replace("\\n", "\n")
+    whole = [
+        (f"AUTH_BEARER={token[:800]} x", [token[:800]]), (f'db_pwd = "{token}" x', [token]), (f"db_pwd{' ' * 20}={' ' * 20}hunter2secret!", ["hunter2secret!"]),
+        (f'private_key = "{pem}"', [pem]), (f"private_key: |\n  {lines}\nx", [lines]), (f"private_key: {lines}\nx", [lines]), ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('passphrase = "please enter the password of the user"', []), ("db_pwd = " + " + ".join(f'"{token[k * 10 : k * 10 + 10]}"' for k in range(100)), [token[k * 10 : k * 10 + 10] for k in range(100)]),
+        ("\n".join(f"v{k} = n{k}" for k in range(12_000)) + "\nlate = 'aB3dE5fG7hJ9'\nclient_pwd = late", ["aB3dE5fG7hJ9"]),
+    ]
+    for text, want in whole:
+        assert [text[a:b] for a, k, b, _ in secrets.all_spans(text)[1] if k == "lexed"] == want
+    clean = secrets.scan(docs(spark, [whole[0][0], whole[5][0]]), redact=True).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == ["AUTH_BEARER=[SECRET] x", "private_key: [SECRET]\nx"]
+
+
+@pytest.mark.parametrize("unit", ["pwd=", "a=x + ", "pwd:-----BEGIN PRIVATE KEY-----", "pwd = \"", "k=a + k\n", "pwd=\"x\"+", " ", "a", "your_pwd=your_"])
+def test_secrets_lexer_is_linear(unit):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        text, start = unit * (n // len(unit)), time.process_time()
+        secrets.lexed_spans(text)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_token_counts(spark, edge, sample):
     total = lambda df, v: {(r.source, r.lang): (r.docs, r.tokens) for r in df.where(F.col("version") == v).collect()}
     want = defaultdict(lambda: [0, 0])
