@@ -5,8 +5,8 @@ have each length is a table of at most ``capacity`` rows, whatever the corpus, a
 
 * the incumbent is best-fit decreasing over the table, a whole run of equal lengths at a time;
 * if it uses more bins than the bound ceil(total / capacity) (or the number of pieces over half), branch-and-bound
-  looks for one bin less: around the largest piece left it tries the undominated fillings in the
-  order of their waste, and cuts a branch once its waste exceeds what the target leaves.
+  looks for fewer: around the largest piece left it tries all undominated fillings in the order of their waste, each
+  for as many bins at once as the table allows, and cuts a branch once its waste exceeds what the target leaves.
 
 The answer is a list of patterns with multiplicities.  Pieces get their place by rank among
 the pieces of their length; the ranks come from counts per (length, salt), so a very common length is dealt to
@@ -23,6 +23,7 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from ._memo import Memo
 CAPACITY = 4096
 SALTS = 64
 NODES = 3_000
+STEPS = 8
 MARKS = (b".", b",", b";", b":", b"!", b"?")
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -123,77 +125,91 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return full + [x for group in open_.values() for x in group]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int, tries: int = 400) -> list[tuple[int, Pattern]]:
-    """(waste, filling) for undominated ways to fill ``room``, least waste first.
+def fillings(counts: dict[int, int], room: int, spare: int):
+    """(waste, filling) for the undominated ways to fill ``room`` with a waste of at most ``spare``, least waste first, one by one.
 
-    A filling is dominated if one of its pieces could give way to a longer one left outside that still fits.
+    A filling is dominated if a piece left outside fits too, if one of its pieces could give way to a longer one left
+    outside, or if one piece outside fills the room alone.
     """
-    found: list[tuple[int, Pattern]] = []
-    budget = tries
-
-    def search(k: int, room: int, chosen: list[tuple[int, int]]) -> None:
-        nonlocal budget
-        budget -= 1
-        k = max(k, bisect_left(lengths, -room))  # lengths holds negatives, so ascending is longest first
-        if k >= len(lengths) or room == 0:
-            outside = lambda n, used: counts.get(n, 0) > used.get(n, 0)
-            used = dict(chosen)
-            if room and any(outside(n + d, used) for n, _ in chosen for d in range(1, room + 1)):
-                return
-            found.append((room, tuple(chosen)))
-            return
-        for at in range(k, len(lengths)):
-            if budget <= 0 or len(found) >= most and found[-1][0] == 0:
-                return
-            n = -lengths[at]
-            have = min(counts[n], room // n)
-            for times in range(have, 0, -1):
-                search(at + 1, room - n * times, [*chosen, (n, times)])
-                if budget <= 0 or found and found[-1][0] == 0:
-                    break
-            if at - k >= 12:
-                return
-
-    search(0, room, [])
-    return sorted(found)[:most] or [(room, ())]
+    if counts.get(room):
+        yield 0, ((room, 1),)
+        return
+    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    if not lengths:
+        if room <= spare:
+            yield room, ()
+        return
+    reach, whole = [1], (1 << room + 1) - 1  # bit s of reach[k]: the pieces from place k on can add up to s
+    for n in reversed(lengths):
+        sums, left, times = reach[-1], min(counts[n], room // n), 1
+        while left:
+            step = min(times, left)
+            sums |= sums << n * step & whole
+            left, times = left - step, 2 * times
+        reach.append(sums)
+    reach.reverse()
+
+    for waste in range(min(room, spare) + 1):
+        if not reach[0] >> room - waste & 1:
+            continue
+        stack: list[tuple[int, int, Pattern]] = [(0, room - waste, ())]
+        while stack:
+            k, left, chosen = stack.pop()
+            if not left:
+                used = dict(chosen)
+                outside = lambda n, used=used: counts.get(n, 0) > used.get(n, 0)
+                if not waste or not any(outside(n + d) for n in (0, *used) for d in range(1, waste + 1)):
+                    yield waste, chosen
+                continue
+            if not reach[k] >> left & 1:
+                continue
+            n = lengths[k]
+            stack += [(k + 1, left - n * x, (*chosen, (n, x)) if x else chosen) for x in range(min(counts[n], left // n) + 1)]  # most first
 
 
 def complete(counts: dict[int, int], capacity: int, target: int, nodes: int = NODES) -> list[tuple[Pattern, int]] | None:
-    """A packing into ``target`` bins by bin completion, or None if the search ends without one."""
+    """A packing into ``target`` bins by bin completion, or None if the search ends without one.
+
+    ``nodes`` bounds the branchings, that is choices after a node's first; the steps down grow with the number of lengths.
+    """
     waste_left = target * capacity - sum(n * c for n, c in counts.items())
     counts = {n: c for n, c in counts.items() if c}
+    if waste_left < 0:
+        return None
+    if not counts:
+        return []
     path: list[tuple[Pattern, int]] = []
-    stack = []
+    steps = STEPS * (len(counts) + 64)
 
     def options(spare: int):
         top = max(counts)
         counts[top] -= 1
-        lengths = sorted(-n for n, c in counts.items() if c)
-        ways = fillings(counts, lengths, capacity - top, 4)
+        rest = dict(counts)
         counts[top] += 1
-        for waste, way in ways:
+        for waste, way in fillings(rest, capacity - top, spare):
             merged = dict(way)
             merged[top] = merged.get(top, 0) + 1
             times = min(counts[n] // k for n, k in merged.items())
             if waste:
                 times = min(times, spare // waste)
-            if times:
+            while times:  # the bulk first; single bins make up any other number
                 yield waste * times, tuple(sorted(merged.items(), reverse=True)), times
+                times //= 2
 
-    if waste_left < 0:
-        return None
-    stack.append((options(waste_left), waste_left, None))
-    while stack and nodes:
-        nodes -= 1
-        choices, spare, _ = stack[-1]
-        step = next(choices, None)
+    stack = [[waste_left, 0]]  # waste left and choices taken; choices are made anew on the way back, so a level holds no table
+    while stack and nodes > 0 and steps > 0:
+        spare, taken = stack[-1]
+        step = next(islice(options(spare), taken, None), None)
         if step is None:
+            nodes -= 1
             stack.pop()
             if path:
                 pattern, times = path.pop()
                 for n, k in pattern:
                     counts[n] = counts.get(n, 0) + k * times
             continue
+        stack[-1][1] += 1
+        nodes, steps = nodes - (taken > 0), steps - 1
         waste, pattern, times = step
         for n, k in pattern:
             counts[n] -= k * times
@@ -202,7 +218,7 @@ def complete(counts: dict[int, int], capacity: int, target: int, nodes: int = NO
         path.append((pattern, times))
         if not counts:
             return path
-        stack.append((options(spare - waste), spare - waste, None))
+        stack.append([spare - waste, 0])
     return None
 
 
@@ -212,12 +228,14 @@ def packed(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
         return []
     best = best_fit(counts, capacity)
     size = lambda x: sum(times for _, times in x)
-    bound = max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
-    while size(best) > bound:
-        better = complete(counts, capacity, size(best) - 1, nodes)
+    target = bound = max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
+    while target < size(best):  # the bound itself, then halfway to the incumbent
+        better = complete(counts, capacity, target, nodes)
         if better is None:
-            break
-        best = better
+            bound = target + 1
+        else:
+            best = better
+        target = (bound + size(best)) // 2
     return best
 
 

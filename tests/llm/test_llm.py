@@ -407,6 +407,36 @@ def test_bin_completion_against_brute_force():
         assert sum(t for _, t in got) <= least_bins(sizes, 100) + 0
 
 
+@pytest.mark.parametrize("seed, bins", [(0, 200), (1, 200), (0, 2000)])
+def test_bin_completion_reaches_leaves_of_big_tables(seed, bins):
+    """Tables of many lengths that fill their bins exactly, which best-fit decreasing misses."""
+    rnd, counts = random.Random(seed), Counter()
+    for _ in range(bins):
+        ends = [0, *sorted(rnd.sample(range(1, 4096), rnd.randint(2, 4) - 1)), 4096]
+        counts.update(b - a for a, b in zip(ends, ends[1:]))
+    assert sum(t for _, t in packing.best_fit(counts, 4096)) > bins
+    got, held = packing.packed(dict(counts)), Counter()
+    for pattern, times in got:
+        assert sum(n * k for n, k in pattern) <= 4096
+        held.update({n: k * times for n, k in pattern})
+    assert held == counts and sum(t for _, t in got) == bins
+
+
+def test_fillings_are_all_undominated_ones():
+    rnd = random.Random(9)
+    for _ in range(40):
+        counts = dict(Counter(rnd.randint(3, 30) for _ in range(7)))
+        room, every = 50, [()]
+        for n, c in sorted(counts.items(), reverse=True):
+            every = [(*f, *((n, k),) * (k > 0)) for f in every for k in range(c + 1)]
+        waste = lambda f, r=room: r - sum(n * k for n, k in f)
+        out = lambda f, n, c=counts: c.get(n, 0) > dict(f).get(n, 0)
+        kept = [f for f in every if waste(f) >= 0 and not any(out(f, n + d) for n in (0, *dict(f)) for d in range(1, waste(f) + 1))]
+        got = list(packing.fillings(counts, room, room))
+        assert [w for w, _ in got] == sorted(w for w, _ in got)
+        assert sorted(f for _, f in got) == sorted(kept) and all(w == waste(f) for w, f in got)
+
+
 def test_lm_scores(spark, sf, edge):
     df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
     from math import log10
