@@ -7,6 +7,11 @@ have each length is a table of at most ``capacity`` rows, whatever the corpus, a
 * if it uses more bins than the bound ceil(total / capacity) (or the number of pieces over half), branch-and-bound
   looks for fewer: around the largest piece left it tries all undominated fillings in the order of their waste, each
   for as many bins at once as the table allows, and cuts a branch once its waste exceeds what the target leaves.
+  Where no waste is left and at most ``FEW`` lengths are, a branch is also cut once some piece has no filling, and
+  bins are completed around the piece with the fewest.  Dives in other orders share the budget with the whole search, since a bad
+  choice near the root can't be mended below.
+
+One bound, ``NODES`` choices that lead nowhere, ends the search; ``packed`` tells a proved optimum from a bound that was reached.
 
 The answer is a list of patterns with multiplicities.  Pieces get their place by rank among
 the pieces of their length; the ranks come from counts per (length, salt), so a very common length is dealt to
@@ -19,23 +24,31 @@ without id are packed like all others.  An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import random
+import re
 import struct
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import written
 from ._memo import Memo
+from .bpe import byte_alphabet
 
 CAPACITY = 4096
 SALTS = 64
-NODES = 3_000
-STEPS = 8
-MARKS = (b".", b",", b";", b":", b"!", b"?")
+NODES = 16_000
+FEW = 300
+FILLINGS = 4
+MEMO = 150_000
+#: Letters that lower-case one by one and have no other normal form, and the vocabulary's pre-tokens of words made of them.
+PLAIN = r"[!-~À-ÖØ-öø-įĲ-ňŊ-ſ]+"
+UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -49,19 +62,18 @@ def word_ids(path: str) -> Memo:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    merge, alphabet = tokenizer.model.tokenize, {b: c for c, b in byte_alphabet().items()}
+    units = Memo(lambda unit: b"".join(struct.pack("<I", x.id) for x in merge("".join(map(alphabet.__getitem__, unit.encode())))), MEMO)
+    plain, split = re.compile(PLAIN).fullmatch, re.compile(UNITS).findall
 
     def make(word: bytes) -> bytes:
-        if word.isascii() and b"<|" not in word:  # the normaliser lower-cases, and a mark after a letter or digit stands alone
-            low = word.lower()
-            if low != word:
-                return memo[low]
-            if len(word) > 1 and word[-1:] in MARKS and word[-2:-1].isalnum():
-                return memo[word[:-1]] + memo[word[-1:]]
-        ids = tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        text = word.decode()
+        if plain(text) and "<|" not in text:  # the normaliser only lower-cases these, and the units are the pre-tokens
+            return b"".join(map(units.__getitem__, split(text.lower())))
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    memo = Memo(make, 500_000)
-    return memo
+    return Memo(make, MEMO)
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -125,118 +137,238 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return full + [x for group in open_.values() for x in group]
 
 
-def fillings(counts: dict[int, int], room: int, spare: int):
-    """(waste, filling) for the undominated ways to fill ``room`` with a waste of at most ``spare``, least waste first, one by one.
-
-    A filling is dominated if a piece left outside fits too, if one of its pieces could give way to a longer one left
-    outside, or if one piece outside fills the room alone.
-    """
-    if counts.get(room):
-        yield 0, ((room, 1),)
-        return
-    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
-    if not lengths:
-        if room <= spare:
-            yield room, ()
-        return
-    reach, whole = [1], (1 << room + 1) - 1  # bit s of reach[k]: the pieces from place k on can add up to s
-    for n in reversed(lengths):
-        sums, left, times = reach[-1], min(counts[n], room // n), 1
-        while left:
-            step = min(times, left)
-            sums |= sums << n * step & whole
-            left, times = left - step, 2 * times
-        reach.append(sums)
-    reach.reverse()
-
-    for waste in range(min(room, spare) + 1):
-        if not reach[0] >> room - waste & 1:
-            continue
-        stack: list[tuple[int, int, Pattern]] = [(0, room - waste, ())]
-        while stack:
-            k, left, chosen = stack.pop()
-            if not left:
-                used = dict(chosen)
-                outside = lambda n, used=used: counts.get(n, 0) > used.get(n, 0)
-                if not waste or not any(outside(n + d) for n in (0, *used) for d in range(1, waste + 1)):
-                    yield waste, chosen
-                continue
-            if not reach[k] >> left & 1:
-                continue
-            n = lengths[k]
-            stack += [(k + 1, left - n * x, (*chosen, (n, x)) if x else chosen) for x in range(min(counts[n], left // n) + 1)]  # most first
+class _Table:
+    """How many pieces of each length are left, and which lengths, as bits and as bits from the capacity down."""
 
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.counts, self.capacity, self.bits, self.flip = {n: c for n, c in counts.items() if c}, capacity, 0, 0
+        for n in self.counts:
+            self.bits |= 1 << n
+            self.flip |= 1 << capacity - n
 
-def complete(counts: dict[int, int], capacity: int, target: int, nodes: int = NODES) -> list[tuple[Pattern, int]] | None:
-    """A packing into ``target`` bins by bin completion, or None if the search ends without one.
-
-    ``nodes`` bounds the branchings, that is choices after a node's first; the steps down grow with the number of lengths.
+    def take(self, pattern: Pattern, times: int) -> None:
+        """Remove ``times`` such bins; give them back if it is negative."""
+        for n, k in pattern:
+            before = self.counts.get(n, 0)
+            after = before - k * times
+            if after:
+                self.counts[n] = after
+            else:
+                del self.counts[n]
+            if not before or not after:
+                self.bits ^= 1 << n
+                self.flip ^= 1 << self.capacity - n
+
+    def few(self, total: int, k: int, least: int):
+        """Ascending tuples of ``k`` pieces of ``least`` or more that add up to ``total``, most even first."""
+        if k == 1:
+            if total >= least and self.bits >> total & 1:
+                yield (total,)
+            return
+        near = total // k
+        if k == 2:  # a bit is left where both a length and what it leaves exist
+            found = self.bits & self.flip >> self.capacity - total & (1 << near + 1) - 1
+        else:
+            least = max(least, total - (k - 1) * (self.bits.bit_length() - 1))
+            found = self.bits & (1 << near + 1) - 1
+        found >>= least
+        while found:
+            n = found.bit_length() - 1
+            found ^= 1 << n
+            n += least
+            if k == 2:
+                if 2 * n != total or self.counts[n] > 1:
+                    yield (n, total - n)
+                continue
+            for rest in self.few(total - n, k - 1, n):
+                if rest[0] != n or rest.count(n) < self.counts[n]:
+                    yield (n, *rest)
+
+    def many(self, room: int):
+        """A function: the ascending tuples of four or more pieces with a given sum of at most ``room``."""
+        order, whole = sorted(n for n in self.counts if n <= room), (1 << room + 1) - 1
+        reach = [1]  # bit s of reach[k]: the pieces from place k on can add up to s
+        for n in reversed(order):
+            sums, left, times = reach[-1], min(self.counts[n], room // n), 1
+            while left:
+                step = min(times, left)
+                sums |= sums << n * step & whole
+                left, times = left - step, 2 * times
+            reach.append(sums)
+        reach.reverse()
+
+        def of(total: int):
+            stack: list[tuple[int, int, tuple[int, ...]]] = [(0, total, ())]
+            while stack:
+                at, left, chosen = stack.pop()
+                if not left:
+                    if len(chosen) > 3:
+                        yield chosen
+                    continue
+                for k in range(at, len(order)):  # the next smallest piece, largest on top
+                    n = order[k]
+                    if n > left or not reach[k] >> left & 1:
+                        break
+                    got, rest = chosen, left
+                    for _ in range(min(self.counts[n], left // n)):
+                        got, rest = (*got, n), rest - n
+                        if reach[k + 1] >> rest & 1:
+                            stack.append((k + 1, rest, got))
+
+        return of
+
+    def fillings(self, room: int, spare: int, most: int | None = None):
+        """(waste, tuple of lengths) for the undominated ways to fill ``room``, of at most ``most`` pieces and a waste of at most ``spare``.
+
+        Least waste first, then one, two, three and more pieces; one by one.  A filling is dominated if a piece left outside
+        fits too, if one of its pieces could give way to a longer one left outside, or if one piece outside fills the room alone.
+        """
+        counts = self.counts
+        if room in counts:
+            yield 0, (room,)
+            return
+        least = (self.bits & -self.bits).bit_length() - 1 if counts else room + 1
+        if least > room:
+            if room <= spare:
+                yield room, ()
+            return
+        rest = None
+        for waste in range(min(room - least, spare) + 1):
+            total = room - waste
+            ways = [self.few(total, k, least) for k in range(1, min(3, most or 3) + 1)]
+            if 4 * least <= total and not most:
+                rest = rest or self.many(room)
+                ways.append(rest(total))
+            for way in chain.from_iterable(ways):
+                if not waste or not any(counts.get(n + d, 0) > way.count(n + d) for n in (0, *way) for d in range(1, waste + 1)):
+                    yield waste, way
+
+
+def complete(counts: dict[int, int], capacity: int, target: int, nodes: int = NODES, dive: int = 0) -> tuple[list[tuple[Pattern, int]] | None, bool, int]:
+    """Bin completion for ``target`` bins: (packing or None, whether None is a proof, nodes used).
+
+    A node is a choice that was found to lead nowhere.  Bins are completed around the largest piece; once few pieces
+    are left and no waste is, around the piece that has the fewest fillings, the largest of those.  The search without ``dive`` tries
+    all undominated fillings; a dive tries some of them in an order drawn from its number, and so proves nothing.
     """
-    waste_left = target * capacity - sum(n * c for n, c in counts.items())
-    counts = {n: c for n, c in counts.items() if c}
-    if waste_left < 0:
-        return None
-    if not counts:
-        return []
+    spare = target * capacity - sum(n * c for n, c in counts.items())
+    if spare < 0:
+        return None, True, 0
+    table, rnd = _Table(counts, capacity), random.Random(dive)
+    most = max(1, -(-sum(counts.values()) // target) - 1) if dive % 2 else None  # every other dive: no bin of more pieces than the mean
     path: list[tuple[Pattern, int]] = []
-    steps = STEPS * (len(counts) + 64)
-
-    def options(spare: int):
-        top = max(counts)
-        counts[top] -= 1
-        rest = dict(counts)
-        counts[top] += 1
-        for waste, way in fillings(rest, capacity - top, spare):
-            merged = dict(way)
-            merged[top] = merged.get(top, 0) + 1
-            times = min(counts[n] // k for n, k in merged.items())
+
+    def around(spare: int) -> int | None:
+        """The piece to complete a bin around; None if some piece has no filling."""
+        largest = table.bits.bit_length() - 1
+        if spare or len(table.counts) > FEW:
+            return largest
+        least, best = (table.bits & -table.bits).bit_length() - 1, None
+        for n in sorted(table.counts, reverse=True):
+            room = capacity - n
+            if not room or room in table.counts and (room != n or table.counts[n] > 1):
+                return n
+            k = (table.bits & table.flip >> n & (1 << room // 2 + 1) - 1).bit_count()
+            if k < FILLINGS and 3 * least <= room:
+                one = ((n, 1),)
+                table.take(one, 1)
+                k = sum(1 for _ in islice(table.fillings(room, 0, most), FILLINGS))
+                table.take(one, -1)
+            if not k:
+                return None
+            if k == 1:
+                return n
+            if best is None or k < best[0]:
+                best = k, n
+        return best[1]
+
+    def options(piece: int | None, spare: int):
+        if piece is None:
+            return
+        one = ((piece, 1),)
+        table.take(one, 1)
+        ways = table.fillings(capacity - piece, spare, most)
+        if dive:
+            key = lambda x: (x[0], rnd.random() + 0.5 * len(x[1]) - (x[1][0] / capacity if x[1] else 0))
+            ways = iter(sorted(islice(ways, 12 if dive % 4 < 2 else 64), key=key))
+        while True:
+            waste, way = next(ways, (None, ()))
+            table.take(one, -1)
+            if waste is None:
+                return
+            merged = Counter((piece, *way))
+            pattern = tuple(sorted(merged.items(), reverse=True))
+            times = min(table.counts[n] // k for n, k in pattern)
             if waste:
                 times = min(times, spare // waste)
             while times:  # the bulk first; single bins make up any other number
-                yield waste * times, tuple(sorted(merged.items(), reverse=True)), times
+                yield waste * times, pattern, times
                 times //= 2
-
-    stack = [[waste_left, 0]]  # waste left and choices taken; choices are made anew on the way back, so a level holds no table
-    while stack and nodes > 0 and steps > 0:
-        spare, taken = stack[-1]
-        step = next(islice(options(spare), taken, None), None)
+            table.take(one, 1)
+
+    # Choices are made anew on the way back, so a level holds no table; a dive holds its few.
+    stack: list[list] = [[spare, around(spare), 0, None]]
+    used = 0
+    while stack:
+        level = stack[-1]
+        if dive:
+            level[3] = level[3] if level[3] is not None else list(options(level[1], level[0]))
+            step = level[3][level[2]] if level[2] < len(level[3]) else None
+        else:
+            step = next(islice(options(level[1], level[0]), level[2], None), None)
         if step is None:
-            nodes -= 1
+            used += 1
+            if used > nodes:
+                return None, False, used
             stack.pop()
             if path:
-                pattern, times = path.pop()
-                for n, k in pattern:
-                    counts[n] = counts.get(n, 0) + k * times
+                table.take(path[-1][0], -path[-1][1])
+                path.pop()
             continue
-        stack[-1][1] += 1
-        nodes, steps = nodes - (taken > 0), steps - 1
+        level[2] += 1
         waste, pattern, times = step
-        for n, k in pattern:
-            counts[n] -= k * times
-            if not counts[n]:
-                del counts[n]
+        table.take(pattern, times)
         path.append((pattern, times))
-        if not counts:
-            return path
-        stack.append([spare - waste, 0])
-    return None
-
-
-def packed(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns with multiplicities that hold every piece of the length table."""
+        if not table.counts:
+            return path, False, used
+        stack.append([level[0] - waste, around(level[0] - waste), 0, None])
+    return None, not dive, used
+
+
+def searched(counts: dict[int, int], capacity: int, target: int, nodes: int = NODES) -> tuple[list[tuple[Pattern, int]] | None, bool]:
+    """(packing into ``target`` bins or None, whether None is a proof); ``nodes`` bounds the search with all its dives."""
+    share, dive = max(1, nodes // 64), 0
+    while nodes > 0:
+        found, proof, used = complete(counts, capacity, target, min(nodes, share), dive)
+        if found is not None or proof:
+            return found, proof
+        nodes -= max(1, used)
+        dive += 1
+        if dive % 8 == 0:
+            share *= 2
+    return None, False
+
+
+def packed(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Pattern, int]], str]:
+    """Patterns with multiplicities that hold every piece of the length table, and "optimal" or "bound reached".
+
+    "optimal": no packing has fewer bins, by the bound on waste or by a search that came to its end; "bound reached": ``nodes`` ran out first.
+    """
+    counts = {n: c for n, c in counts.items() if c}
     if not counts:
-        return []
-    best = best_fit(counts, capacity)
+        return [], "optimal"
+    best, proved = best_fit(counts, capacity), True
     size = lambda x: sum(times for _, times in x)
     target = bound = max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
     while target < size(best):  # the bound itself, then halfway to the incumbent
-        better = complete(counts, capacity, target, nodes)
+        nodes -= nodes // 2  # each target gets half of what is left
+        better, proof = searched(counts, capacity, target, nodes)
         if better is None:
-            bound = target + 1
+            bound, proved = target + 1, proved and proof
         else:
             best = better
         target = (bound + size(best)) // 2
-    return best
+    return best, "optimal" if proved else "bound reached"
 
 
 def slots(patterns: list[tuple[Pattern, int]], capacity: int):
@@ -262,7 +394,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = written(pieces(docs, path, id_col, text_col, capacity, end_id).withColumn("_salt", salt))
     by_salt = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # at most capacity * salts rows
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    table = slots(packed(counts, capacity), capacity)
+    table = slots(packed(counts, capacity)[0], capacity)
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = by_salt.select("length", "_salt", before.alias("_first"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row", "piece")) - 1 + F.col("_first")

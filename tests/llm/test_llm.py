@@ -397,7 +397,8 @@ def test_bin_completion_against_brute_force():
     rnd = random.Random(4)
     for _ in range(60):
         sizes = [rnd.randint(5, 60) for _ in range(9)]
-        got = packing.packed(dict(Counter(sizes)), 100)
+        got, told = packing.packed(dict(Counter(sizes)), 100)
+        assert told == "optimal"
         held = Counter()
         for pattern, times in got:
             assert sum(n * k for n, k in pattern) <= 100
@@ -407,15 +408,24 @@ def test_bin_completion_against_brute_force():
         assert sum(t for _, t in got) <= least_bins(sizes, 100) + 0
 
 
-@pytest.mark.parametrize("seed, bins", [(0, 200), (1, 200), (0, 2000)])
-def test_bin_completion_reaches_leaves_of_big_tables(seed, bins):
-    """Tables of many lengths that fill their bins exactly, which best-fit decreasing misses."""
+def planted(seed, bins, least, most, low=1):
+    """Lengths that fill ``bins`` bins of 4096 exactly, with ``least`` to ``most`` pieces of ``low`` tokens or more."""
     rnd, counts = random.Random(seed), Counter()
-    for _ in range(bins):
-        ends = [0, *sorted(rnd.sample(range(1, 4096), rnd.randint(2, 4) - 1)), 4096]
-        counts.update(b - a for a, b in zip(ends, ends[1:]))
+    while sum(counts.values()) < least * bins:
+        ends = [0, *sorted(rnd.sample(range(1, 4096), rnd.randint(least, most) - 1)), 4096]
+        sizes = [b - a for a, b in zip(ends, ends[1:])]
+        if min(sizes) >= low:
+            counts.update(sizes)
+    return dict(counts)
+
+
+@pytest.mark.parametrize("seed, bins, least, most, low", [(0, 200, 3, 3, 1), (1, 200, 3, 3, 1), (2, 200, 3, 3, 1), (0, 1000, 3, 3, 1), (3, 1000, 3, 3, 1), (0, 50, 3, 3, 1025)])
+def test_bin_completion_reaches_planted_optima(seed, bins, least, most, low):
+    """Triples that fill their bins exactly, which best-fit decreasing misses."""
+    counts = planted(seed, bins, least, most, low)
     assert sum(t for _, t in packing.best_fit(counts, 4096)) > bins
-    got, held = packing.packed(dict(counts)), Counter()
+    (got, told), held = packing.packed(dict(counts)), Counter()
+    assert told == "optimal"
     for pattern, times in got:
         assert sum(n * k for n, k in pattern) <= 4096
         held.update({n: k * times for n, k in pattern})
@@ -432,11 +442,19 @@ def test_fillings_are_all_undominated_ones():
         waste = lambda f, r=room: r - sum(n * k for n, k in f)
         out = lambda f, n, c=counts: c.get(n, 0) > dict(f).get(n, 0)
         kept = [f for f in every if waste(f) >= 0 and not any(out(f, n + d) for n in (0, *dict(f)) for d in range(1, waste(f) + 1))]
-        got = list(packing.fillings(counts, room, room))
+        got = [(w, tuple(sorted(Counter(f).items(), reverse=True))) for w, f in packing._Table(counts, 60).fillings(room, room)]
         assert [w for w, _ in got] == sorted(w for w, _ in got)
         assert sorted(f for _, f in got) == sorted(kept) and all(w == waste(f) for w, f in got)
 
 
+def test_completion_tells_a_proof_from_a_bound():
+    none, proof, _ = packing.complete({70: 1, 60: 1, 35: 2}, 100, 2)
+    assert none is None and proof  # 200 tokens, but nothing fits beside 70
+    assert packing.packed({70: 1, 60: 1, 35: 2}, 100)[1] == "optimal"
+    assert packing.packed(planted(0, 50, 3, 3), nodes=10)[1] == "bound reached"
+    assert packing.packed({}) == ([], "optimal")
+
+
 def test_lm_scores(spark, sf, edge):
     df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
     from math import log10
