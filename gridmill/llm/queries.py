@@ -91,14 +91,13 @@ ORACLES: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY t)
     """,
     "op8_token_counts": r"""
-        WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
-             k AS (SELECT * FROM d WHERE regexp_matches(t, '[^\x20\x09-\x0D]'))
-        SELECT source, lang, 'words-1' AS version, count(*)::BIGINT AS docs,
-               sum(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')))::BIGINT AS tokens
-        FROM k GROUP BY source, lang
-        UNION ALL
-        SELECT source, lang, 'pieces-1', count(*)::BIGINT,
-               sum(len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')))::BIGINT
-        FROM k GROUP BY source, lang
+        WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM documents),
+             gone AS (SELECT doc_id FROM d WHERE w < 5),
+             k AS (SELECT *, length(t) > 2000 AND doc_id IS NOT NULL AS long FROM d WHERE doc_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL) OR doc_id IS NULL),
+             u AS (SELECT CASE WHEN long THEN source || '/long' ELSE source END AS source, lang, 'words-1' AS version,
+                          CASE WHEN long THEN len(regexp_extract_all(t, '[^\x20\x09-\x0D][^\x20\x09-\x0D]+')) ELSE w END AS n FROM k
+                   UNION ALL
+                   SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM k)
+        SELECT source, lang, version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM u GROUP BY ALL
     """,
 }

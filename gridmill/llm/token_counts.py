@@ -1,23 +1,26 @@
 """Token counts kept up by deltas.
 
-A ledger in the shared folder holds, for each committed batch, the signed rows it added: +count for an
-insert, -count for a delete, both for a revision.  Totals by source, language and tokenizer version are sums of these rows,
-so they are additive and a batch costs its own size plus one join with the state of the ids it names.
+A ledger in the shared folder holds a small table of totals by source, language and tokenizer version, and the
+signed rows behind them: +count for an insert, -count for a delete, both for a revision, in buckets by id.  A batch reads the
+buckets that its own ids fall in, to learn what those ids hold, writes its signed rows, and adds their sums to the last
+totals.  So it costs its own size, those buckets and the totals; nothing else is summed again.
 
-A batch is written to a folder of its own name and becomes visible by its commit file; applying a committed
-batch again changes nothing, and a batch that broke off is overwritten.  ``compact`` folds
-all batches into one.
+A batch is prepared in a folder of its own and becomes visible by its commit, a numbered file that names it and is
+created only if that number is free; a second writer fails and may try again.  Applying a committed batch
+again changes nothing, and what a broken batch left is never read.  ``compact`` folds the signed rows of all batches into one
+set and keeps the totals and the committed names.
 
 Defined cases: null text has no tokens; null source or language is a group of its own; rows without id are counted but can't
-be revised or deleted.  A delete or revision of an id that isn't there counts nothing for the old row.  Of several
-changes to one id and version in one batch the last by ``seq`` holds; an insert of an id that is there is a revision.
-An empty batch commits no rows.
+be revised or deleted.  Rows that repeat an id all count, and a revision or a delete replaces all of them.  Of the changes to
+one id and version in one batch, those before the last delete or revision (by ``seq``) are void.  A delete or revision of an id that isn't there
+counts nothing.  An empty batch commits no rows, and an empty ledger has no totals.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from ._common import WORD, shared_dir, text_or_empty
 
 GROUP = ["source", "lang", "version"]
 SIGNED = "doc_id long, source string, lang string, version string, docs long, tokens long"
+TOTALS = "source string, lang string, version string, docs long, tokens long"
+BUCKETS = 64
 
 #: Tokenizer versions by name: a text column's count of tokens, in Spark's own functions.
 VERSIONS: dict[str, Callable[[Column], Column]] = {
@@ -56,11 +61,19 @@ def counted(docs: DataFrame, version: str, op: str = "insert", counter: Callable
     )
 
 
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("int")
+
+
 class Ledger:
-    """Committed batches of signed counts under one folder."""
+    """Totals and committed batches of signed counts under one folder."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        self.spark, self.buckets = spark, buckets
         self.path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
     def _file(self, name: str):
@@ -68,60 +81,110 @@ class Ledger:
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def committed(self) -> list[str]:
-        """Names of the committed batches."""
+    def _log(self) -> list[tuple[str, str, str]]:
+        """(batch, folder, "add" or "base") of each commit, in order; a base replaces the rows of all before it."""
         fs, where = self._file("commits")
-        return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+        read, log = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils, []
+        for file in sorted(x.getPath().toString() for x in fs.listStatus(where)) if fs.exists(where) else []:
+            stream = fs.open(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file))
+            told = read.toString(stream, "UTF-8").split("|")
+            stream.close()
+            if len(told) != 3:
+                raise RuntimeError(f"{file} was begun and not ended; if its writer is gone, delete it")
+            log.append(tuple(told))
+        return log
+
+    def _commit(self, number: int, batch: str, folder: str, kind: str) -> None:
+        """The ``number``-th commit; an error if another writer has made it."""
+        fs, where = self._file(f"commits/{number:09d}")
+        out = fs.create(where, False)
+        out.write(bytearray(f"{batch}|{folder}|{kind}".encode()))
+        out.close()
 
-    def rows(self, but: str | None = None) -> DataFrame:
-        """The signed rows of all committed batches."""
-        names = [b for b in self.committed() if b != but]
-        paths = [f"{self.path}/batches/{b}" for b in names]
-        return self.spark.read.schema(SIGNED).parquet(*paths) if paths else self.spark.createDataFrame([], SIGNED)
+    def committed(self) -> list[str]:
+        """Names of the committed batches, in order."""
+        return [batch for batch, _, kind in self._log() if kind == "add"]
+
+    def rows(self) -> DataFrame:
+        """The signed rows of all committed batches, with their bucket."""
+        log = self._log()
+        first = max((k for k, x in enumerate(log) if x[2] == "base"), default=0)
+        parts = [self.spark.read.schema(f"{SIGNED}, bucket int").parquet(f"{self.path}/{folder}/rows") for _, folder, _ in log[first:]]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{SIGNED}, bucket int")
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        """Signed rows, in folders by bucket; a bucket is dealt to as many tasks as there are for it."""
+        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        dealt = rows.withColumn("bucket", _bucket(self.buckets))
+        dealt.repartition("bucket", F.pmod(F.hash("doc_id", "version"), F.lit(tasks))).write.partitionBy("bucket").parquet(f"{self.path}/{folder}/rows")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes`` as ``batch``; False if that batch was committed before."""
-        if batch in self.committed():
+        if "|" in batch or "/" in batch:
+            raise ValueError("a batch's name has no | and no /")
+        log = self._log()
+        if any(x[0] == batch and x[2] == "add" for x in log):
             return False
-        keyed = changes.where("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "op", "tokens"), F.struct("seq", "op", "tokens", "source", "lang")).alias("c")).select("doc_id", "version", "c.*")
-        loose = changes.where("doc_id IS NULL AND op <> 'delete'")
-        state = self.rows().where("doc_id IS NOT NULL").groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
-        old = state.join(keyed.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+        folder = f"batch-{uuid.uuid4().hex}"
+        whole = changes.groupBy("doc_id", *GROUP, "op", "seq").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+        whole.write.parquet(f"{self.path}/{folder}/changes")
+        whole = self.spark.read.schema(whole.schema).parquet(f"{self.path}/{folder}/changes")
+
+        keyed, key = whole.where("doc_id IS NOT NULL"), ["doc_id", "version"]
+        named = keyed.groupBy(*key).agg(F.max(F.when(F.col("op") != "insert", F.col("seq"))).alias("last"))
+        touched = [r[0] for r in named.select(_bucket(self.buckets)).distinct().collect()]  # at most `buckets` numbers
+        held = self.rows().where(F.col("bucket").isin(touched)) if log and touched else self.rows().where(F.lit(False))
+        old = _summed(held.join(named.where("last IS NOT NULL"), key, "left_semi"), "doc_id")
         minus = old.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        revised = keyed.where("op = 'revise'").join(old.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi")
-        new = keyed.where("op = 'insert'").select("doc_id", *GROUP, "tokens").unionByName(revised.select("doc_id", *GROUP, "tokens")).unionByName(loose.select("doc_id", *GROUP, "tokens"))
-        plus = new.select("doc_id", *GROUP, F.lit(1).cast("long").alias("docs"), "tokens")
-        plus.union(minus).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
-        fs, where = self._file(f"commits/{batch}")
-        fs.create(where, True).close()
+        valid = keyed.join(named, key).where("last IS NULL OR seq >= last")
+        fresh = valid.where("op = 'insert'")
+        revised = valid.where("op = 'revise'").join(old.select(*key).distinct(), key, "left_semi")
+        loose = whole.where("doc_id IS NULL AND op = 'insert'")
+        signed = [x.select("doc_id", *GROUP, "docs", "tokens") for x in (fresh, revised, loose, minus)]
+        self._write(_summed(reduce(DataFrame.union, signed), "doc_id"), folder)
+
+        delta = self.spark.read.schema(SIGNED).parquet(f"{self.path}/{folder}/rows").select(*GROUP, "docs", "tokens")
+        _summed(self._totals(log).union(delta)).coalesce(1).write.parquet(f"{self.path}/{folder}/totals")
+        self._commit(len(log), batch, folder, "add")
         return True
 
+    def _totals(self, log: list) -> DataFrame:
+        return self.spark.read.schema(TOTALS).parquet(f"{self.path}/{log[-1][1]}/totals") if log else self.spark.createDataFrame([], TOTALS)
+
     def totals(self) -> DataFrame:
-        """source, lang, version, docs, tokens: the additive totals of all committed batches."""
-        return self.rows().groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        """source, lang, version, docs, tokens: the totals that the last commit left."""
+        return self._totals(self._log())
+
+    def recounted(self) -> DataFrame:
+        """The totals, summed anew from all signed rows; an audit, which costs the whole ledger."""
+        return _summed(self.rows())
 
-    def compact(self, batch: str) -> DataFrame:
-        """All committed rows folded to one per id and group, as a new ledger's first batch; returns its totals."""
-        into = Ledger(self.spark, f"{self.path}-{batch}")
-        folded = self.rows().groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
-        folded.write.mode("overwrite").parquet(f"{into.path}/batches/{batch}")
-        fs, where = into._file(f"commits/{batch}")
-        fs.create(where, True).close()
-        return into.totals()
+    def compact(self) -> None:
+        """Fold the signed rows of all batches into one set; totals and committed names stay."""
+        log = self._log()
+        if log:
+            folder = f"base-{uuid.uuid4().hex}"
+            self._write(_summed(self.rows(), "doc_id"), folder)
+            self._totals(log).write.parquet(f"{self.path}/{folder}/totals")
+            self._commit(len(log), "", folder, "base")
 
 
 def rolled_up(docs: DataFrame) -> DataFrame:
-    """Totals of ``docs`` after four batches: inserts, a second version, corrected counts, and deletes of empty texts.
+    """Totals of ``docs`` after four batches, with a compaction and repeated batches between.
 
-    The third batch revises every row's words-1 count to that of its lower-cased text (an equal count), and is applied
-    twice; the fourth deletes the rows whose text has no words.
+    1, 2: inserts of all rows in two versions.  3: documents of over 2,000 characters move to the source ``<source>/long`` and are
+    counted anew in words-1, without words of one character.  4: documents of fewer than five words are deleted in both versions.
     """
-    ledger = Ledger(docs.sparkSession)
-    ledger.apply("1-words", counted(docs, "words-1"))
+    ledger, text = Ledger(docs.sparkSession), text_or_empty("text")
+    first = counted(docs, "words-1")
+    ledger.apply("1-words", first)
     ledger.apply("2-pieces", counted(docs, "pieces-1"))
-    again = counted(docs.withColumn("text", F.lower("text")), "words-1", "revise")
+    moved = docs.where(F.length(text) > 2000).withColumn("source", F.concat("source", F.lit("/long")))
+    again = counted(moved, "words-1", "revise", lambda t: F.regexp_count(t, F.lit(WORD + WORD)))
     ledger.apply("3-revised", again)
     ledger.apply("3-revised", again)
-    blank = docs.where(~text_or_empty("text").rlike(WORD))
-    ledger.apply("4-deleted", counted(blank, "words-1", "delete").unionByName(counted(blank, "pieces-1", "delete")))
+    ledger.compact()
+    ledger.apply("1-words", first)
+    short = docs.where(VERSIONS["words-1"](text) < 5)
+    ledger.apply("4-deleted", counted(short, "words-1", "delete").unionByName(counted(short, "pieces-1", "delete")))
     return ledger.totals()

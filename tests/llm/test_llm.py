@@ -253,24 +253,52 @@ def test_secrets_lexer_is_linear(unit):
     assert took[1] < 24 * took[0] + 0.5
 
 
-def test_token_counts(spark, edge, sample):
-    total = lambda df, v: {(r.source, r.lang): (r.docs, r.tokens) for r in df.where(F.col("version") == v).collect()}
-    want = defaultdict(lambda: [0, 0])
-    for r in sample.collect():
-        n = len(WORDS.findall(r.text or ""))
-        if n:
-            want[r.source, r.lang][0] += 1
-            want[r.source, r.lang][1] += n
-    assert total(token_counts.rolled_up(sample), "words-1") == {k: tuple(v) for k, v in want.items()}
-    ledger = token_counts.Ledger(spark)
+def test_token_counts_query(sample, edge):
+    total = lambda df: {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in df.collect()}
+    for df in (sample, edge, edge.limit(0)):
+        rows, want = df.collect(), defaultdict(lambda: [0, 0])
+        words = lambda t: WORDS.findall(t or "")
+        gone = {r.doc_id for r in rows if len(words(r.text)) < 5} - {None}
+        for r in rows:
+            if r.doc_id in gone:
+                continue
+            text = r.text or ""
+            # Rows without id can't be revised or deleted.
+            long = len(text) > 2000 and r.doc_id is not None
+            n = sum(len(w) > 1 or not long for w in words(text))
+            for key, k in (((r.source + "/long" * long, r.lang, "words-1"), n), ((r.source, r.lang, "pieces-1"), len(re.findall(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]", text)))):
+                want[key][0] += 1
+                want[key][1] += k
+        assert total(token_counts.rolled_up(df)) == {k: tuple(v) for k, v in want.items()}
+
+
+def test_token_ledger(spark, sample, reference):
+    total = lambda df: {(r.source, r.lang): (r.docs, r.tokens) for r in df.collect()}
     change = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, lang string, version string, op string, tokens long, seq long")
-    first = change([(1, "a", "en", "v", "insert", 5, 0), (2, "a", "en", "v", "insert", 7, 0), (None, None, None, "v", "insert", 3, 0)])
+    ledger = token_counts.Ledger(spark)
+    assert total(ledger.totals()) == {}
+    first = change([(1, "a", "en", "v", "insert", 5, 0), (2, "a", "en", "v", "insert", 7, 0), (None, None, None, "v", "insert", 3, 0), (4, "a", "en", "v", "insert", 1, 0), (4, "a", "en", "v", "insert", 2, 0)])
     assert ledger.apply("b1", first) and not ledger.apply("b1", first)
-    assert ledger.apply("b2", change([(1, "b", "en", "v", "revise", 6, 1), (2, "a", "en", "v", "delete", 0, 0), (9, "a", "en", "v", "delete", 0, 0), (8, "a", "en", "v", "revise", 4, 0)]))
-    assert total(ledger.totals(), "v") == {("b", "en"): (1, 6), (None, None): (1, 3)}
-    assert total(ledger.compact("c"), "v") == total(ledger.totals(), "v")
-    assert ledger.apply("b3", change([])) and total(ledger.totals(), "v")[("b", "en")] == (1, 6)
-    assert token_counts.rolled_up(edge.select("doc_id", "text", "lang", "source")).count() > 0
+    assert total(ledger.totals()) == {("a", "en"): (4, 15), (None, None): (1, 3)}  # rows that repeat an id all count
+    # A revision of an absent id and a delete of one count nothing; what comes before a delete in a batch is void.
+    assert ledger.apply("b2", change([(1, "b", "en", "v", "revise", 6, 1), (2, "a", "en", "v", "delete", 0, 0), (9, "a", "en", "v", "delete", 0, 0), (8, "a", "en", "v", "revise", 4, 0), (5, "a", "en", "v", "insert", 9, 1), (5, "a", "en", "v", "delete", 0, 2)]))
+    want = {("b", "en"): (1, 6), ("a", "en"): (2, 3), (None, None): (1, 3)}
+    assert total(ledger.totals()) == total(ledger.recounted()) == want
+    ledger.compact()
+    assert ledger.committed() == ["b1", "b2"] and not ledger.apply("b1", first) and total(ledger.totals()) == total(ledger.recounted()) == want
+    assert ledger.apply("b3", change([])) and total(ledger.totals()) == want
+    assert ledger.apply("b4", change([(4, "a", "en", "v", "delete", 0, 0)]))
+    assert total(ledger.totals()) == total(ledger.recounted()) == {("b", "en"): (1, 6), (None, None): (1, 3)}
+    with pytest.raises(Exception, match="exist"):  # a second writer of the same commit
+        ledger._commit(0, "late", "x", "add")
+    # Totals come from the last totals and the batch alone: rows of buckets without the batch's ids are not read.
+    other = token_counts.Ledger(spark, ledger.path)
+    plan = other.rows().where(F.col("bucket").isin([3]))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    path = vocabulary("byte_bpe_50k.json")
+    rows = token_counts.counted(sample.limit(20), "bpe-50k", counter=token_counts.bpe_counter(path)).select("doc_id", "tokens").collect()
+    texts, tok = {r.doc_id: r.text or "" for r in sample.collect()}, reference("byte_bpe_50k.json")
+    assert all(r.tokens == len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in rows)
 
 
 @pytest.fixture(scope="module")
