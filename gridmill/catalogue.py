@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.timebucket import bucket, local, local_day, trailing_number
+from .functions.timebucket import bucket, iso_with_offset, local, local_day, snapped, trailing_number, utc_of_iso
 from .operators import analysis, compare, layout, quality, rollups
-from .plans import forecast, panels
+from .plans import evidence, forecast, panels
 from .sources import readings as src
+from .sources import stored
+from .sources.scratch import new_path
 from .streaming import live
 
 DAY = ("2024-01-10 22:00:00", "2024-01-11 22:00:00")
@@ -22,8 +23,20 @@ MARK = "2024-01-20 22:00:00"
 RANGE = ("2024-01-07 22:00:00", "2024-01-14 22:00:00")
 METER = 7
 SLOT = "6 hours"
+#: The events have a reading a meter and hour at most here and there, so slots of the day are an hour; the meters' own are 15 minutes.
+SLOT_MINUTES = 60
+
+R, RAW = src.readings, src.raw_readings
+
+
+def M(s: SparkSession, d: str) -> DataFrame:  # noqa: N802
+    """The meter dimension, written once and read by every query."""
+    return stored.table(s, d, "meters", lambda: src.meters(s, d))
+
+
+def L(s: SparkSession, d: str) -> DataFrame:  # noqa: N802
+    return src.labelled_events(M(s, d))
 
-R, RAW, M, L = src.readings, src.raw_readings, src.meters, src.labelled_events
 
 #: Common table expressions of the SQL twins, by name.
 CTES = {
@@ -38,9 +51,9 @@ CTES = {
     "clean": "SELECT DISTINCT * EXCLUDE (event_id) FROM raw",
     "net": "SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS event_time, sum(p)::DOUBLE AS kw FROM r GROUP BY 1",
     "day": "SELECT t::DATE AS day, sum(e)::DOUBLE AS energy_kwh, count(*) AS readings FROM r GROUP BY 1",
-    "w": "SELECT *, isodow(t) >= 6 AS weekend FROM r",
-    "base": "SELECT meter_id, 0 AS slot, weekend, quantile_cont(power_kw, 0.5) AS median_kw, count(*) AS n_days FROM w GROUP BY meter_id, weekend",
-    "ratio": "SELECT w.*, b.median_kw, w.power_kw / b.median_kw AS ratio FROM w JOIN base b USING (meter_id, weekend)",
+    "w": f"SELECT *, isodow(t) >= 6 AS weekend, ((hour(t) * 60 + minute(t)) // {SLOT_MINUTES} * {SLOT_MINUTES})::INT AS slot FROM r",
+    "base": "SELECT meter_id, slot, weekend, quantile_cont(power_kw, 0.5) AS median_kw, count(*) AS n_days FROM w GROUP BY meter_id, slot, weekend",
+    "ratio": "SELECT w.*, b.median_kw, w.power_kw / b.median_kw AS ratio FROM w JOIN base b USING (meter_id, slot, weekend)",
     "flag": "SELECT meter_id, event_time, power_kw, median_kw, ratio, CASE WHEN power_kw >= 2.0::DOUBLE * median_kw THEN 'high' ELSE 'low' END AS flag_type FROM ratio WHERE power_kw >= 2.0::DOUBLE * median_kw OR power_kw <= 0.3::DOUBLE * median_kw",
     "lab": "SELECT meter_id, TIMESTAMP '2024-01-01' + to_days((meter_id % 28)::INT) AS start_time, TIMESTAMP '2024-01-02' + to_days((meter_id % 28)::INT) AS end_time, CASE WHEN meter_id % 8 = 0 THEN 'demand_spike' ELSE 'unusual_drop' END AS event_type FROM m WHERE meter_id % 4 = 0",
     "hour": "SELECT region, date_trunc('hour', t) AS hour_start, sum(e)::DOUBLE AS energy_kwh, count(*) AS readings FROM r JOIN m USING (meter_id) GROUP BY 1, 2",
@@ -145,16 +158,10 @@ query("lineitem_conflicts", "", "SELECT count(*) AS groups, sum(n - 1)::BIGINT A
 )
 
 
-def _scratch(s: SparkSession) -> str:
-    """A folder for a query's own tables, in the shared folder if the session names one."""
-    named = s.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/t-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="gridmill-")
-
-
-@query("layout_checks", "r", "SELECT layout, count(*) AS readings, count(DISTINCT meter_id) AS meters, min(event_time) AS first_event, max(event_time) AS last_event, sum(p)::DOUBLE AS sum_power_kw, sum(e)::DOUBLE AS sum_energy_kwh, true AS matches FROM r, (VALUES ('3 hours'), ('1 day'), ('7 days')) v(layout) GROUP BY 1")
+@query("layout_checks", "r", "SELECT layout, count(*) AS readings, count(DISTINCT meter_id) AS meters, min(event_time) AS first_event, max(event_time) AS last_event, sum(p)::DOUBLE AS sum_power_kw, sum(e)::DOUBLE AS sum_energy_kwh, count(*) = first(count(*)) OVER w AND sum(p) = first(sum(p)) OVER w AND sum(e) = first(sum(e)) OVER w AS matches FROM r, (VALUES ('3 hours'), ('1 day'), ('7 days')) v(layout) GROUP BY 1 WINDOW w AS (ORDER BY layout)")
 def layout_checks(s, d):
     """One copy of the readings in each chunk width, and their facts side by side."""
-    top, tables = _scratch(s), {}
+    top, tables = new_path(s), {}
     for width in ("3 hours", "1 day", "7 days"):
         path = f"{top}/{width.replace(' ', '_')}"
         layout.write(R(s, d).drop("event_id"), path, width, "meter")
@@ -165,12 +172,70 @@ def layout_checks(s, d):
 @query("layout_pruned", "r", f"SELECT count(*) AS readings, {SUM_E} AS energy_kwh FROM r WHERE {IN('event_time', WEEK)}")
 def layout_pruned(s, d):
     """A week out of a chunked table; the range prunes chunks."""
-    path = f"{_scratch(s)}/chunks"
+    path = f"{new_path(s)}/chunks"
     layout.write(R(s, d).drop("event_id"), path)
     layout.compact(s, path, "2024-01-20 00:00:00")
     return layout.read(s, path, *WEEK).agg(F.count(F.lit(1)).alias("readings"), analysis.exact_sum("energy_kwh").alias("energy_kwh"))
 
 
+@query("layout_time_ordered", "r", f"SELECT count(*) AS readings, {SUM_E} AS energy_kwh FROM r WHERE {IN('event_time', DAY)}")
+def layout_time_ordered(s, d):
+    """A day out of a table that is ordered by time inside its chunks; row groups are skipped by their time range."""
+    path = stored.once(s, d, "by_time", lambda p: layout.write(R(s, d).drop("event_id"), p, "7 days", "time"))
+    return layout.read(s, path, *DAY, width="7 days").agg(F.count(F.lit(1)).alias("readings"), analysis.exact_sum("energy_kwh").alias("energy_kwh"))
+
+
+CHUNKS = ["2024-01-08 00:00:00", "2024-01-09 00:00:00", "2024-01-10 00:00:00"]
+
+
+@query("chunk_copy", "r", "SELECT date_trunc('day', event_time)::TIMESTAMP AS chunk, count(*) AS rows_loaded FROM r WHERE event_time >= '2024-01-08' AND event_time < '2024-01-11' GROUP BY 1")
+def chunk_copy(s, d):
+    """Three chunks copied one at a time, with the rows of each."""
+    loaded = layout.copy_chunks(R(s, d).drop("event_id"), new_path(s), CHUNKS)
+    return s.createDataFrame(list(loaded.items()), "chunk string, rows_loaded long").where("rows_loaded > 0").withColumn("chunk", F.col("chunk").cast("timestamp_ntz"))
+
+
+@query("storage_report")
+def storage_report(s, d):
+    """Bytes by chunk before and after compaction of all chunks that have ended: ratio, percent saved, share that got smaller."""
+    path = new_path(s)
+    R(s, d).drop("event_id").withColumn("chunk", bucket(F.col("event_time"), "1 day")).write.partitionBy("chunk").option("compression", "none").parquet(path)
+    before = s.createDataFrame(src.storage(s, path).collect(), "partition string, files long, bytes long")  # a row a chunk
+    layout.compact(s, path, "2024-02-20 00:00:00")
+    return layout.storage_report(before, src.storage(s, path))
+
+
+@query("deleted_copies", "raw clean", "SELECT (SELECT count(*) FROM raw) - (SELECT count(*) FROM clean) AS deleted, 0::BIGINT AS deleted_again, (SELECT count(*) FROM clean) AS remaining")
+def deleted_copies(s, d):
+    """Extra copies deleted from a stored table, twice: the second time there is nothing to delete."""
+    path = new_path(s)
+    RAW(s, d).drop("event_id").write.parquet(path)
+    first, again = (src.delete_copies(s, path, quality.clean) for _ in range(2))
+    return s.read.parquet(path).agg(F.lit(first).cast("long").alias("deleted"), F.lit(again).cast("long").alias("deleted_again"), F.count(F.lit(1)).alias("remaining"))
+
+
+@query("load_reconciled", "r", "SELECT n AS file_rows, n AS read_rows, n AS table_rows, c AS contract_rows, n = c AS agrees FROM (SELECT count(*) AS n FROM r), (SELECT count(*) AS c FROM events)")
+def load_reconciled(s, d):
+    """Readings out to CSV files and loaded from them; four counts side by side."""
+    top = new_path(s)
+    src.write_csv(R(s, d).drop("event_id"), f"{top}/csv")
+    src.load_csv(s, f"{top}/csv", f"{top}/table")
+    return src.reconciled(s, f"{top}/csv", f"{top}/table", s.read.parquet(f"{d}/events.parquet").count())
+
+
+@query("csv_roundtrip", "r", "SELECT meter_id, event_time, received_time, power_kw, energy_kwh FROM r")
+def csv_roundtrip(s, d):
+    """Readings after the way through CSV files with a header."""
+    top = new_path(s)
+    src.write_csv(R(s, d).drop("event_id"), f"{top}/csv")
+    src.load_csv(s, f"{top}/csv", f"{top}/table")
+    return s.read.parquet(f"{top}/table").select("meter_id", "event_time", "received_time", "power_kw", "energy_kwh")
+
+
+query("plan_evidence")(
+    lambda s, d: evidence.report({"q1": QUERIES["q1"](s, d), "q4": QUERIES["q4"](s, d), "q5": QUERIES["q5"](s, d), "layout_time_ordered": QUERIES["layout_time_ordered"](s, d), "panel_1_aggregate": QUERIES["panel_1_aggregate"](s, d)})
+)
+
 # Demand.
 query("daily", "day", "SELECT * FROM day")(lambda s, d: analysis.daily(R(s, d)))
 query("weekly", "day", "SELECT (DATE '2024-01-01' + 7 * (date_diff('day', DATE '2024-01-01', day) // 7)::INT)::DATE AS period_start, min(day) AS first_day, max(day) AS last_day, count(*) AS days, sum(energy_kwh::DECIMAL(20,8))::DOUBLE AS energy_kwh FROM day GROUP BY 1")(lambda s, d: analysis.weekly(R(s, d), "2024-01-01"))
@@ -186,7 +251,7 @@ query("by_region", "r m", MIX.format(k="region"))(lambda s, d: analysis.mix(R(s,
 query("by_type", "r m", MIX.format(k="customer_type"))(lambda s, d: analysis.mix(R(s, d), M(s, d), ["customer_type"]).orderBy(F.desc("kwh_per_meter")))
 query("mix", "r m", MIX.format(k="region, customer_type"))(lambda s, d: analysis.mix(R(s, d), M(s, d), ["region", "customer_type"]))
 query("mix_pivot", "r m", "SELECT region, " + ", ".join(f"max(k) FILTER (WHERE customer_type = '{t}') AS {t}" for t in ("residential", "commercial", "industrial")) + f" FROM (SELECT region, customer_type, kwh_per_meter AS k FROM ({MIX.format(k='region, customer_type')})) GROUP BY 1")(lambda s, d: analysis.mix_pivot(R(s, d), M(s, d), ["residential", "commercial", "industrial"]))
-query("region_correlation", "r m", f"SELECT round(corr(share, kwh_per_meter), 6) AS r, round(max(kwh_per_meter) / min(kwh_per_meter), 6) AS spread FROM ({MIX.format(k='region')}) JOIN (SELECT region, avg(CASE WHEN customer_type = 'industrial' THEN 1.0 ELSE 0.0 END) AS share FROM m GROUP BY 1) USING (region)")(lambda s, d: analysis.industrial_correlation(R(s, d), M(s, d)))
+query("region_correlation", "r m", f"SELECT CASE WHEN var_pop(share) > 0 AND var_pop(kwh_per_meter) > 0 THEN round(corr(share, kwh_per_meter), 6) END AS r, round(max(kwh_per_meter) / min(kwh_per_meter), 6) AS spread FROM ({MIX.format(k='region')}) JOIN (SELECT region, avg(CASE WHEN customer_type = 'industrial' THEN 1.0 ELSE 0.0 END) AS share FROM m GROUP BY 1) USING (region)")(lambda s, d: analysis.industrial_correlation(R(s, d), M(s, d)))
 
 
 @query("orders_mix", "", "SELECT r_name AS region, c_mktsegment AS segment, count(*) AS orders, sum(o_totalprice::DECIMAL(20,8))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -204,21 +269,29 @@ COMPLETE = "SELECT *, planned_pairs - observed_pairs AS missing_pairs, 100.0::DO
 query("completeness", "r m", "SELECT * FROM (SELECT region, registered_meters, planned_pairs, observed_pairs, planned_pairs - observed_pairs AS missing_pairs, 100.0::DOUBLE * observed_pairs / planned_pairs AS completeness_pct FROM (SELECT coalesce(region, 'NETWORK') AS region, sum(n)::BIGINT AS registered_meters, sum(n * 120)::BIGINT AS planned_pairs, sum(o)::BIGINT AS observed_pairs FROM (SELECT region, count(*) AS n FROM m GROUP BY 1) JOIN (SELECT region, count(*) AS o FROM r JOIN m USING (meter_id) GROUP BY 1) USING (region) GROUP BY ROLLUP (region)))")(
     lambda s, d: analysis.in_region_order(analysis.completeness(R(s, d), M(s, d), 120))
 )
+query("completeness_spread", "r m", "SELECT max(p) AS best_pct, min(p) AS worst_pct, round(max(p) - min(p), 9) AS spread_points FROM (SELECT 100.0::DOUBLE * o / (n * 120) AS p FROM (SELECT region, count(*) AS n FROM m GROUP BY 1) JOIN (SELECT region, count(*) AS o FROM r JOIN m USING (meter_id) GROUP BY 1) USING (region))")(
+    lambda s, d: analysis.completeness_spread(analysis.completeness(R(s, d), M(s, d), 120))
+)
 query("day_provisional", "r", f"SELECT count(*) FILTER (WHERE received_time <= '{DAY[1]}') AS readings_by_cutoff, count(*) AS readings_final, (sum(e) FILTER (WHERE received_time <= '{DAY[1]}'))::DOUBLE AS energy_by_cutoff_kwh, {SUM_E} AS energy_final_kwh, min(event_time) FILTER (WHERE received_time > '{DAY[1]}') AS first_late_event, max(received_time) AS last_arrival FROM r WHERE {IN('event_time', DAY)}")(lambda s, d: analysis.provisional(R(s, d), *DAY))
 query("late_detail", "r", f"SELECT date_trunc('hour', received_time + INTERVAL 2 HOUR) AS arrival_hour, count(*) AS readings, {SUM_E} AS energy_kwh FROM r WHERE {IN('event_time', DAY)} AND received_time > '{DAY[1]}' GROUP BY 1")(lambda s, d: analysis.late_detail(R(s, d), *DAY))
 
 
 # Anomalies.
+def _keyed(s, d):
+    return analysis.slot_keys(R(s, d), SLOT_MINUTES)
+
+
 def _ratio(s, d):
-    return analysis.ratios(analysis.slot_keys(R(s, d)))
+    known = stored.table(s, d, "baseline", lambda: analysis.baseline(_keyed(s, d)))
+    return analysis.ratios(_keyed(s, d), known)
 
 
 def _flags(s, d):
     return analysis.flags(_ratio(s, d))
 
 
-LEVELS = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999, 0.9999)
-query("anomaly_baseline", "base", "SELECT * FROM base")(lambda s, d: analysis.baseline(analysis.slot_keys(R(s, d))))
+LEVELS = analysis.LEVELS
+query("anomaly_baseline", "base", "SELECT * FROM base")(lambda s, d: analysis.baseline(_keyed(s, d)))
 query("ratio_dist", "ratio", "SELECT min(ratio) AS min_ratio, " + ", ".join(f"round(quantile_cont(ratio, {q}), 9) AS q{k}" for k, q in enumerate(LEVELS)) + ", max(ratio) AS max_ratio FROM ratio")(lambda s, d: analysis.ratio_distribution(_ratio(s, d)))
 query("flags", "flag", "SELECT * FROM flag")(_flags)
 query("interval_count", "r", f"SELECT count(*) AS n FROM r WHERE meter_id = {METER} AND {IN('event_time', WEEK)}")(
@@ -243,15 +316,26 @@ query("cagg_daily", "r", CAGG.format(b=BDAY, k="meter_id", j="", w="true"))(lamb
 @query("rollup_refresh", "r", CAGG.format(b=BDAY, k="meter_id", j="", w=IN("event_time", ("2024-01-04 22:00:00", "2024-01-12 22:00:00"))))
 def rollup_refresh(s, d):
     """Two overlapping refreshes; only whole buckets inside the windows are stored."""
-    from datetime import datetime
-
-    store = rollups.Store(s, f"{_scratch(s)}/rollup", rollups.Rollup("1 day", ("meter_id",), "UTC", "shifted"))
+    store = rollups.Store(s, f"{new_path(s)}/rollup", rollups.Rollup("1 day", ("meter_id",), "UTC", "shifted"))
     shifted = R(s, d).withColumn("shifted", local(F.col("event_time")))
     store.refresh(shifted, datetime(2024, 1, 4, 12), datetime(2024, 1, 10))
     store.refresh(shifted, datetime(2024, 1, 8), datetime(2024, 1, 13, 5))
     return store.read().withColumn("bucket", F.col("bucket") - F.expr("interval 2 hours")).where(F.col("bucket") >= F.lit("2024-01-04 22:00:00").cast("timestamp_ntz"))
 
 
+TICKS = (datetime(2024, 1, 10, 10, 20), datetime(2024, 1, 12, 10, 35), datetime(2024, 1, 14, 3, 5))
+
+
+@query("rollup_policy", "r", CAGG.format(b=B60, k="meter_id", j="", w=IN("event_time", ("2024-01-07 11:00:00", "2024-01-10 09:00:00")) + " OR " + IN("event_time", ("2024-01-11 04:00:00", "2024-01-14 02:00:00"))))
+def rollup_policy(s, d):
+    """Three runs of the refresh policy, the second of which finds the store paused."""
+    store = rollups.Store(s, new_path(s), rollups.Rollup("1 hour", ("meter_id",), "UTC"))
+    for k, now in enumerate(TICKS):
+        store.paused = k == 1
+        store.tick(R(s, d), now, rollups.Policy())
+    return store.read()
+
+
 @query("realtime_rollup", "r m", f"SELECT bucket, region, energy_kwh, power_kw_sum, reading_count FROM (SELECT {B60} AS bucket, region, sum(e)::DOUBLE AS energy_kwh, sum(p)::DOUBLE AS power_kw_sum, count(*) AS reading_count FROM r {JM} WHERE event_time >= '{MARK}' OR received_time <= event_time + INTERVAL 15 MINUTE GROUP BY 1, 2)")
 def realtime_rollup(s, d):
     """Stored without the late rows below the watermark, computed above it."""
@@ -272,7 +356,13 @@ query("fresh_agg", "r", f"SELECT {B60} AS bucket, sum(e)::DOUBLE AS energy_kwh,
 
 # Dashboards: raw and rollup form of each panel have one SQL twin.
 def _rollup(s, d, which):
-    return which.compute(R(s, d), M(s, d))
+    """The range of a stored rollup, which is refreshed once over all readings."""
+    name = f"rollup_{which.width.replace(' ', '_')}"
+
+    def build(path):
+        rollups.Store(s, path, which).refresh(R(s, d), datetime(1990, 1, 1), datetime(2100, 1, 1), M(s, d))
+
+    return rollups.Store(s, stored.once(s, d, name, build), which).read(*snapped(*INSIDE_RANGE))
 
 
 SNAP = IN("event_time", RANGE)
@@ -289,7 +379,7 @@ PANELS = {
     1: (lambda s, d: panels.hourly_regional(R(s, d), *INSIDE_RANGE, M(s, d)), lambda s, d: panels.hourly_regional(_rollup(s, d, rollups.HOURLY_REGION), *INSIDE_RANGE)),
     2: (lambda s, d: panels.daily_network(R(s, d), *INSIDE_RANGE), lambda s, d: panels.daily_network(_rollup(s, d, rollups.QUARTER_REGION), *INSIDE_RANGE)),
     3: (lambda s, d: panels.seven_day_network(R(s, d), *INSIDE_RANGE, ORIGIN), lambda s, d: panels.seven_day_network(_rollup(s, d, rollups.QUARTER_REGION), *INSIDE_RANGE, ORIGIN)),
-    4: (lambda s, d: panels.meter_daily(R(s, d), *INSIDE_RANGE, METER), lambda s, d: panels.meter_daily(rollups.DAILY_METER.compute(R(s, d)), *INSIDE_RANGE, METER)),
+    4: (lambda s, d: panels.meter_daily(R(s, d), *INSIDE_RANGE, METER), lambda s, d: panels.meter_daily(_rollup(s, d, rollups.DAILY_METER), *INSIDE_RANGE, METER)),
     5: (lambda s, d: panels.completeness(R(s, d), *INSIDE_RANGE, M(s, d)), lambda s, d: panels.completeness(_rollup(s, d, rollups.QUARTER_REGION), *INSIDE_RANGE, M(s, d))),
 }
 for _n, (_raw, _agg) in PANELS.items():
@@ -347,7 +437,24 @@ def forecast_ridge(s, d):
     return forecast.ridge_metrics(_features(s, d))
 
 
-# Set operations, upserts, JSON and streams.
+# Set operations, upserts, subqueries, JSON and streams.
+query("in_list", "r", "SELECT meter_id, count(*) AS readings FROM r WHERE meter_id IN (1, 3, 7, 12) GROUP BY 1")(lambda s, d: R(s, d).where(F.col("meter_id").isin(1, 3, 7, 12)).groupBy("meter_id").agg(F.count(F.lit(1)).alias("readings")))
+query("correlated", "r m", "SELECT meter_id, (SELECT max(power_kw) FROM r WHERE r.meter_id = m.meter_id) AS max_power_kw, (SELECT count(*) FROM r WHERE r.meter_id = m.meter_id) AS readings FROM m")(
+    lambda s, d: s.sql("SELECT m.meter_id, (SELECT max(power_kw) FROM {r} r WHERE r.meter_id = m.meter_id) AS max_power_kw, (SELECT count(*) FROM {r} r WHERE r.meter_id = m.meter_id) AS readings FROM {m} m", r=R(s, d), m=M(s, d))
+)
+query("lateral", "r m", "SELECT region, x.* FROM (SELECT DISTINCT region FROM m) g, LATERAL (SELECT count(*) AS readings, min(event_time) AS first_event FROM r JOIN m USING (meter_id) WHERE m.region = g.region) x")(
+    lambda s, d: s.sql("SELECT g.region, x.readings, x.first_event FROM (SELECT DISTINCT region FROM {m}) g, LATERAL (SELECT count(*) AS readings, min(event_time) AS first_event FROM {j} j WHERE j.region = g.region) x", m=M(s, d), j=R(s, d).join(M(s, d), "meter_id").select("region", "event_time"))
+)
+query("ended_chunks", "r", "SELECT date_trunc('day', event_time)::TIMESTAMP AS chunk, count(*) AS readings FROM r WHERE date_trunc('day', event_time) + INTERVAL 1 DAY <= now()::TIMESTAMP - INTERVAL 48 HOUR GROUP BY 1")(
+    lambda s, d: R(s, d).groupBy(bucket(F.col("event_time"), "1 day").alias("chunk")).agg(F.count(F.lit(1)).alias("readings")).where(F.col("chunk") + F.expr("interval 1 day") <= F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp()) - F.expr("interval 48 hours"))
+)
+query("iso_offset", "r", "SELECT event_time, strftime(t, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00' AS told FROM r")(
+    lambda s, d: R(s, d).select(iso_with_offset(F.col("event_time")).alias("told")).select(utc_of_iso(F.col("told")).alias("event_time"), "told")
+)
+TOP = "(SELECT row_number() OVER (ORDER BY total_kw DESC, event_time) AS n, * FROM (SELECT time_bucket(INTERVAL 15 MINUTE, event_time) AS event_time, sum(p)::DOUBLE AS total_kw, count(*) AS meters_reporting FROM {} GROUP BY 1 ORDER BY total_kw DESC, 1 LIMIT 10))"
+query("ordered_compare", "r raw", f"SELECT count(a.n) AS rows_left, count(b.n) AS rows_right, count(*) FILTER (WHERE NOT coalesce(a.event_time = b.event_time AND a.meters_reporting = b.meters_reporting AND abs(a.total_kw - b.total_kw) <= 0.001, false)) AS differing, count(*) FILTER (WHERE NOT coalesce(a.event_time = b.event_time AND a.meters_reporting = b.meters_reporting AND abs(a.total_kw - b.total_kw) <= 0.001, false)) = 0 AS passes FROM {TOP.format('r')} a FULL JOIN {TOP.format('raw')} b USING (n)")(
+    lambda s, d: compare.ordered(analysis.top_intervals(R(s, d), 10), analysis.top_intervals(RAW(s, d), 10), [F.desc("total_kw"), F.col("event_time")])
+)
 query("union_counts", "r m", "SELECT 'readings' AS name, count(*) AS n FROM r UNION ALL SELECT 'meters', count(*) FROM m")(lambda s, d: R(s, d).agg(F.lit("readings").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(M(s, d).agg(F.lit("meters").alias("name"), F.count(F.lit(1)).alias("n"))))
 query("upsert_meters", "m", "SELECT meter_id, CASE WHEN meter_id % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM m")(
     lambda s, d: src.upsert_ignore(M(s, d).where("meter_id % 3 = 0").select("meter_id", F.lit("kept").alias("origin")), M(s, d).select("meter_id", F.lit("new").alias("origin")), ["meter_id"])
@@ -355,24 +462,63 @@ query("upsert_meters", "m", "SELECT meter_id, CASE WHEN meter_id % 3 = 0 THEN 'k
 query("json_roundtrip", "r", f"SELECT meter_id, event_time, {'power_kw'}, energy_kwh FROM r")(lambda s, d: live.parsed(live.to_messages(R(s, d)).select(F.col("payload").alias("value"))).where("ok").select("meter_id", "event_time", "power_kw", "energy_kwh"))
 
 
-@query("live_ledger", "r", "SELECT count(*) + 2 AS received, count(*) AS inserted, 2::BIGINT AS parse_errors FROM r")
+ALL_FILES = 1_000_000
+BAD = [("energy/meters/1\t{broken",), ('energy/meters/1\t{"meter_id": 1}',), ("energy/alerts/1\t{}",)]
+
+
+def _landed(s, d):
+    """The folder of a landing run: all raw readings as messages, with two bad ones and one of another topic."""
+
+    def build(top):
+        live.truncate(s, f"{top}/in", f"{top}/landed")
+        live.publish(RAW(s, d), f"{top}/in")
+        s.createDataFrame(BAD, "value string").coalesce(1).write.mode("append").text(f"{top}/in")
+        live.land(live.messages(s, f"{top}/in", ALL_FILES), f"{top}/landed", f"{top}/bad", f"{top}/ledger", f"{top}/checkpoint").awaitTermination()
+
+    return stored.once(s, d, "landing", build)
+
+
+@query("live_ledger", "raw", "SELECT n + 2 AS received, n AS inserted, 2::BIGINT AS parse_errors, n - u AS redelivered, n + 2 AS acked, n + 2 AS taken, 0::BIGINT AS backlog FROM (SELECT count(*) AS n FROM raw), (SELECT count(*) AS u FROM (SELECT DISTINCT * EXCLUDE (event_id) FROM raw))")
 def live_ledger(s, d):
-    """All readings published as messages with two bad ones, and landed by a stream."""
-    top = _scratch(s)
-    live.publish(R(s, d), f"{top}/in", 3)
-    s.createDataFrame([("{broken",), ('{"meter_id": 1}',)], "value string").coalesce(1).write.mode("append").text(f"{top}/in")
-    live.land(live.messages(s, f"{top}/in"), f"{top}/landed", f"{top}/bad", f"{top}/ledger", f"{top}/checkpoint").awaitTermination()
-    return live.totals(s, f"{top}/ledger")
+    """The ledger of the landing run: copies are kept and counted, other topics aren't taken."""
+    top = _landed(s, d)
+    return live.totals(s, f"{top}/ledger", f"{top}/in")
+
+
+@query("live_landed", "raw", "SELECT meter_id, event_time, received_time, power_kw, energy_kwh FROM raw")
+def live_landed(s, d):
+    """What the landing run stored, copies included."""
+    return s.read.schema(src.READINGS).parquet(f"{_landed(s, d)}/landed/*").select("meter_id", "event_time", "received_time", "power_kw", "energy_kwh")
+
+
+def _run(stream: DataFrame, top: str, mode: str) -> DataFrame:
+    """The result of a stream over what is there now, by way of files; in complete mode each micro-batch replaces the last result."""
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        w.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{top}/out")).start().awaitTermination()
+    else:
+        w.format("parquet").option("path", f"{top}/out").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{top}/out")
+
+
+def _landed_stream(s, d):
+    return s.readStream.schema(src.READINGS).parquet(f"{_landed(s, d)}/landed/*")
+
+
+query("live_deduplicated", "raw", "SELECT meter_id, event_time, count(*) AS n FROM (SELECT DISTINCT meter_id, event_time FROM raw) GROUP BY 1, 2")(
+    lambda s, d: _run(live.deduplicated(_landed_stream(s, d)), new_path(s), "append").groupBy("meter_id", "event_time").agg(F.count(F.lit(1)).alias("n"))
+)
+query("live_sessions", "raw", "SELECT meter_id, min(event_time) AS first_event, max(event_time) + INTERVAL 1 HOUR AS closed, count(*) AS reading_count FROM (SELECT *, sum(new) OVER (PARTITION BY meter_id ORDER BY event_time, rn) AS k FROM (SELECT meter_id, event_time, row_number() OVER w AS rn, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM raw WINDOW w AS (PARTITION BY meter_id ORDER BY event_time))) GROUP BY meter_id, k")(
+    lambda s, d: _run(live.sessions(_landed_stream(s, d)), new_path(s), "complete")
+)
 
 
 @query("stream_rollup", "r", f"SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS bucket, round({SUM_E}, 6) AS energy_kwh, count(*) AS reading_count FROM r GROUP BY 1")
 def stream_rollup(s, d):
     """Hourly windows by a stream in complete mode, which equals the batch result."""
-    name = f"rollup_{uuid.uuid4().hex}"
-    e = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
+    e = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")  # a file or a folder of part files
     w = live.windowed(e.select(F.col("ts").alias("event_time"), (F.col("value") * 0.25).alias("energy_kwh")), "1 hour")
-    w.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_scratch(s)}/c").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).withColumn("energy_kwh", F.round("energy_kwh", 6))
+    return _run(w, new_path(s), "complete").withColumn("energy_kwh", F.round("energy_kwh", 6))
 
 
 query("day_bounds", "r", "SELECT t::DATE AS day, min(event_time) AS first_event, max(event_time) AS last_event, count(DISTINCT event_time::DATE) AS utc_days FROM r GROUP BY 1")(lambda s, d: R(s, d).groupBy(local_day(F.col("event_time")).alias("day")).agg(F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"), F.countDistinct(bucket(F.col("event_time"), "1 day")).alias("utc_days")))

@@ -40,8 +40,27 @@ def local_day(ts: Column, zone: str = ZONE) -> Column:
     return F.to_date(local(ts, zone))
 
 
-def minute_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 60 + F.minute(ts)
+def slot_of_day(ts: Column, minutes: int = 15) -> Column:
+    """Minute of the day at which the slot of ``minutes`` that holds ``ts`` starts."""
+    past = F.hour(ts) * 60 + F.minute(ts)
+    return (past - past % minutes).cast("int")
+
+
+def iso_with_offset(ts: Column, zone: str = ZONE) -> Column:
+    """UTC wall time as ISO-8601 text in a zone, with microseconds and the zone's offset."""
+    there = local(ts, zone)
+    minutes = F.timestamp_diff("MINUTE", ts, there)
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(F.abs(minutes) / 60)), F.lit(":"), two(F.abs(minutes) % 60))
+    return F.concat(F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), offset)
+
+
+def utc_of_iso(text: Column) -> Column:
+    """ISO-8601 text as UTC wall time; text without an offset is UTC, and other text null."""
+    sign = F.when(F.substring(text, -6, 1) == "-", -1).otherwise(1)
+    shift = sign * (F.substring(text, -5, 2).try_cast("int") * 60 + F.substring(text, -2, 2).try_cast("int"))
+    plain = F.regexp_replace(text, r"(Z|[+-][0-9]{2}:[0-9]{2})$", "").try_cast("timestamp_ntz")
+    return F.when(text.rlike(r"T.*[+-][0-9]{2}:[0-9]{2}$"), F.timestamp_add("MINUTE", -shift, plain)).otherwise(plain)
 
 
 def is_weekend(ts: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import DECIMAL, exact_avg, exact_sum, percent
-from ..functions.timebucket import ZONE, bucket, is_weekend, local, local_day, trailing_number, within
+from ..functions.timebucket import ZONE, bucket, is_weekend, local, local_day, slot_of_day, trailing_number, within
+
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -109,7 +113,9 @@ def industrial_correlation(r: DataFrame, meters: DataFrame) -> DataFrame:
     """Correlation over regions of the industrial share of meters with energy per meter, and the spread of the latter."""
     share = meters.groupBy("region").agg(F.avg(F.when(F.col("customer_type") == "industrial", 1.0).otherwise(0.0)).alias("share"))
     per = mix(r, meters, ["region"]).select("region", "kwh_per_meter").join(share, "region")
-    return per.agg(F.round(F.corr("share", "kwh_per_meter"), 6).alias("r"), F.round(F.max("kwh_per_meter") / F.min("kwh_per_meter"), 6).alias("spread"))
+    # Null where a side doesn't vary; the built-in correlation divides by zero there.
+    r = F.try_divide(F.covar_pop("share", "kwh_per_meter"), F.stddev_pop("share") * F.stddev_pop("kwh_per_meter"))
+    return per.agg(F.round(r, 6).alias("r"), F.round(F.max("kwh_per_meter") / F.min("kwh_per_meter"), 6).alias("spread"))
 
 
 def completeness(r: DataFrame, meters: DataFrame, slots: int) -> DataFrame:
@@ -126,6 +132,13 @@ def completeness(r: DataFrame, meters: DataFrame, slots: int) -> DataFrame:
     )
 
 
+def completeness_spread(per_region: DataFrame) -> DataFrame:
+    """Best, worst and the points between them, over regions; the network's own row is left out."""
+    c = F.col("completeness_pct")
+    one = per_region.where("region <> 'NETWORK'").agg(F.max(c).alias("best_pct"), F.min(c).alias("worst_pct"))
+    return one.withColumn("spread_points", F.round(F.col("best_pct") - F.col("worst_pct"), 9))
+
+
 def in_region_order(df: DataFrame) -> DataFrame:
     """By the number in the region's name, the network last."""
     return df.orderBy(F.col("region") == "NETWORK", trailing_number(F.col("region")))
@@ -146,24 +159,65 @@ def late_detail(r: DataFrame, start: str, end: str) -> DataFrame:
     return late.groupBy(bucket(local(F.col("received_time")), "1 hour").alias("arrival_hour")).agg(rows().alias("readings"), exact_sum("energy_kwh").alias("energy_kwh"))
 
 
-def slot_keys(r: DataFrame, slot: Column | None = None, zone: str = ZONE) -> DataFrame:
-    """``r`` with the anomaly baseline's keys: weekend and, if given, a slot of the day."""
-    keyed = r.withColumn("weekend", is_weekend(local(F.col("event_time"), zone)))
-    return keyed.withColumn("slot", slot if slot is not None else F.lit(0))
+def slot_keys(r: DataFrame, minutes: int = 15, zone: str = ZONE) -> DataFrame:
+    """``r`` with the anomaly baseline's keys: the slot of the local day, by its first minute, and weekend."""
+    there = local(F.col("event_time"), zone)
+    return r.withColumn("weekend", is_weekend(there)).withColumn("slot", slot_of_day(there, minutes))
 
 
 def baseline(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("meter_id", "slot", "weekend").agg(F.percentile("power_kw", 0.5).alias("median_kw"), rows().alias("n_days"))
 
 
-def ratios(keyed: DataFrame) -> DataFrame:
-    return keyed.join(baseline(keyed), ["meter_id", "slot", "weekend"]).withColumn("ratio", F.col("power_kw") / F.col("median_kw"))
-
-
-def ratio_distribution(ratio: DataFrame, levels: tuple[float, ...] = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999, 0.9999)) -> DataFrame:
-    """Exact quantiles need each distinct value once: the sort is per value, not per row."""
-    q = F.percentile("ratio", F.lit(list(levels)))
-    return ratio.agg(F.min("ratio").alias("min_ratio"), q.alias("q"), F.max("ratio").alias("max_ratio")).select("min_ratio", *[F.round(F.col("q")[k], 9).alias(f"q{k}") for k in range(len(levels))], "max_ratio")
+def ratios(keyed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Each reading over its slot's median; ``stored`` is a baseline that was written before.  A median of 0 gives a null ratio."""
+    known = stored if stored is not None else baseline(keyed)
+    return keyed.join(known, ["meter_id", "slot", "weekend"]).withColumn("ratio", F.try_divide("power_kw", "median_kw"))
+
+
+LEVELS = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999, 0.9999)
+
+
+def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...] = LEVELS) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, of any number of rows.
+
+    One pass counts rows by a bin of the value, 256 an octave, so a few thousand counts reach the driver; they tell which bins hold
+    the wanted ranks.  A second pass sorts the distinct values of those bins alone, each bin in a task of its own.
+    """
+    v = F.col(value).cast("double")
+    octave = lambda x: F.floor(F.log2(x) * 256)
+    far = 1_000_000  # beyond any octave of a double
+    bin_ = F.when(v > 0, octave(v)).when(v < 0, -2 * far - octave(-v)).otherwise(-far).cast("long")
+    binned = df.where(v.isNotNull()).select(bin_.alias("b"), v.alias("v"))
+    counts = sorted(map(tuple, binned.groupBy("b").agg(F.count(F.lit(1))).collect()))
+    n = sum(c for _, c in counts)
+    if not n:
+        return [None] * len(levels)
+    ranks = sorted({k for q in levels for k in (floor(q * (n - 1)), ceil(q * (n - 1)))})
+    before, first = 0, {}
+    for b, c in counts:
+        if any(before <= k < before + c for k in ranks):
+            first[b] = before
+        before += c
+    start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("b")]
+    values = binned.where(F.col("b").isin(list(first))).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("b").orderBy("v")) + start
+    placed = values.select("v", (upto - F.col("c")).alias("low"), upto.alias("high"))
+    hit = [(F.col("low") <= k) & (F.col("high") > k) for k in ranks]
+    found = placed.where(reduce(Column.__or__, hit)).collect()  # at most two rows a level
+    at = {k: next(r.v for r in found if r.low <= k < r.high) for k in ranks}
+    out = []
+    for q in levels:
+        low, high = at[floor(q * (n - 1))], at[ceil(q * (n - 1))]
+        out.append(low + (high - low) * (q * (n - 1) - floor(q * (n - 1))))
+    return out
+
+
+def ratio_distribution(ratio: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Least and greatest ratio, and exact quantiles between."""
+    q = exact_quantiles(ratio, "ratio", levels)
+    fixed = [F.round(F.lit(x).cast("double"), 9).alias(f"q{k}") for k, x in enumerate(q)]
+    return ratio.agg(F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio")).select("min_ratio", *fixed, "max_ratio")
 
 
 def flags(ratio: DataFrame, high: float = 2.0, low: float = 0.3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,24 @@ def by_key(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]
     ])
     df = j.agg(facts.alias("f")).select(F.explode("f").alias("x")).select("x.*")
     return df.withColumn("passes", (F.col("unmatched") == 0) & (F.coalesce("max_difference", F.lit(0.0)) <= tolerance))
+
+
+def ordered(left: DataFrame, right: DataFrame, by: list[str], tolerance: float = 0.001) -> DataFrame:
+    """Two ordered results row by row: rows of each, rows that differ, and whether they pass.
+
+    Rows are numbered by ``by`` in one task, so this is for results that are shown, not for tables.  Floats and decimals
+    may differ by ``tolerance``; other values, nulls included, must be equal.
+    """
+    number = F.row_number().over(Window.orderBy(*by))
+    names = left.columns
+    l = left.select(number.alias("_n"), *[F.col(c).alias(f"l_{c}") for c in names], F.lit(1).alias("_l"))
+    r = right.select(number.alias("_n"), *[F.col(c).alias(f"r_{c}") for c in names], F.lit(1).alias("_r"))
+    same = F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    for c in names:
+        a, b = F.col(f"l_{c}"), F.col(f"r_{c}")
+        close = a.eqNullSafe(b)
+        if left.schema[c].dataType.typeName() in ("double", "float", "decimal"):
+            close = close | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+        same = same & close
+    facts = l.join(r, "_n", "full").agg(F.count("_l").alias("rows_left"), F.count("_r").alias("rows_right"), F.count_if(~same).alias("differing"))
+    return facts.withColumn("passes", F.col("differing") == 0)

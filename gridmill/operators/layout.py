@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timebucket import WIDTHS, bucket, ntz
+from ..sources.scratch import new_path
 
 PARTITION = "chunk"
 CLUSTERING = {"time": ("event_time",), "meter": ("meter_id", "event_time")}
 
 
-def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter", tasks: int | None = None, mode: str = "overwrite") -> None:
+def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter", tasks: int | None = None, mode: str = "overwrite", rows_per_task: int = 5_000_000) -> None:
     """One directory for each time chunk, rows clustered inside, with bloom filters on the meter.
 
-    Chunks are dealt by (chunk, salt), so one chunk with many rows is written by several tasks.
+    Rows are dealt by (chunk, salt), and a chunk gets as many salts as ``rows_per_task`` asks for by its own count, which
+    a first pass takes: so a chunk of any size is written by enough tasks, and a small one by one.
     """
-    chunk = bucket(F.col("event_time"), width)
-    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("meter_id"), F.lit(4))
-    dealt = df.withColumn(PARTITION, chunk).repartition(tasks, PARTITION, salt)
+    rows = df.withColumn(PARTITION, bucket(F.col("event_time"), width))
+    sizes = rows.groupBy(PARTITION).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("_salts"))  # a row a chunk
+    salted = rows.join(sizes, PARTITION).withColumn("_salt", F.pmod(F.xxhash64("meter_id"), F.col("_salts")))
+    by = ([tasks] if tasks else []) + [PARTITION, "_salt"]
+    dealt = salted.repartition(*by).drop("_salts", "_salt")
     (
         dealt.sortWithinPartitions(PARTITION, *CLUSTERING[cluster])
         .write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.enabled#meter_id", "true")
@@ -37,14 +40,24 @@ def read(spark: SparkSession, path: str, start: str | None = None, end: str | No
     return df.where((F.col(PARTITION) >= first) & (F.col(PARTITION) < ntz(end)) & inside).drop(PARTITION)
 
 
+def copy_chunks(df: DataFrame, path: str, starts: list[str], width: str = "1 day", cluster: str = "meter") -> dict[str, int]:
+    """Copy one chunk at a time; returns the rows of each.  Doing a chunk again replaces it."""
+    loaded = {}
+    for start in starts:
+        end = F.timestamp_add("SECOND", F.lit(WIDTHS[width]), ntz(start))
+        write(df.where((F.col("event_time") >= ntz(start)) & (F.col("event_time") < end)), path, width, cluster)
+        loaded[start] = df.sparkSession.read.parquet(path).where(F.col(PARTITION).cast("timestamp_ntz") == ntz(start)).count()
+    return loaded
+
+
 def compact(spark: SparkSession, path: str, cutoff: str, width: str = "1 day", cluster: str = "meter", paused: bool = False) -> int:
     """Rewrite the chunks that ended before ``cutoff`` clustered and compressed; returns how many."""
     if paused:
         return 0
     ended = F.timestamp_add("SECOND", F.lit(WIDTHS[width]), F.col(PARTITION)) <= ntz(cutoff)
     old = spark.read.parquet(path).withColumn(PARTITION, F.col(PARTITION).cast("timestamp_ntz")).where(ended)
-    staged = f"{path}.staged"
-    old.write.mode("overwrite").parquet(staged)
+    staged = new_path(spark, "staged")
+    old.write.parquet(staged)
     again = spark.read.schema(old.schema).parquet(staged)
     n = again.select(PARTITION).distinct().count()
     if n:
@@ -52,6 +65,15 @@ def compact(spark: SparkSession, path: str, cutoff: str, width: str = "1 day", c
     return n
 
 
+def storage_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(layout) Two listings of ``storage`` side by side: bytes, ratio, percent saved, and the share of chunks that got smaller."""
+    a = before.select("partition", F.col("bytes").alias("b"))
+    both = a.join(after.select("partition", F.col("bytes").alias("c")), "partition", "left")
+    facts = both.agg(F.count(F.lit(1)).alias("chunks"), F.sum("b").alias("bytes_before"), F.sum(F.coalesce("c", "b")).alias("bytes_after"), F.count_if(F.col("c") < F.col("b")).alias("smaller"))
+    b, c = F.col("bytes_before"), F.col("bytes_after")
+    return facts.select("chunks", "bytes_before", "bytes_after", F.try_divide(b, c).alias("ratio"), (100 * F.try_divide(b - c, b)).alias("saved_pct"), (100 * F.try_divide("smaller", "chunks")).alias("compressed_pct"))
+
+
 def checks(tables: dict[str, DataFrame]) -> DataFrame:
     """Per layout: rows, meters, time range and exact sums, and whether they equal the first layout's."""
     facts = None

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_sum
-from ..functions.timebucket import WIDTHS, ZONE, local_bucket, local_day, within
+from ..functions.timebucket import WIDTHS, ZONE, local_bucket, local_day, ntz, within
+from ..sources.scratch import new_path, remove
 
 
 @dataclass(frozen=True)
@@ -85,11 +86,26 @@ class Store:
             days = F.to_date(F.lit(str(low)).cast("timestamp_ntz") - F.expr("interval 1 day")), F.to_date(F.lit(str(high)).cast("timestamp_ntz") + F.expr("interval 1 day"))
             carried = old.where(F.col("day").between(*days) & ~within(F.col("bucket"), str(low), str(high)))
             new = new.unionByName(carried)
-        staged = f"{self.path}.staged"
-        new.write.mode("overwrite").parquet(staged)
-        self.spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+        staged = new_path(self.spark, "staged")
+        new.write.parquet(staged)
+        ready = self.spark.read.schema(new.schema).parquet(staged)
+        before = old.where(F.col("day").between(*days)).select("day").distinct().collect() if old is not None else []  # the window's days
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
+        if before:  # an overwrite leaves days alone that have no row any more
+            there = {r[0] for r in ready.select("day").distinct().collect()}
+            for (gone,) in before:
+                if gone not in there:
+                    remove(self.spark, f"{self.path}/day={gone}")
         self.log.append((low, high))
 
+    def tick(self, readings: DataFrame, now: datetime, policy: Policy, meters: DataFrame | None = None) -> tuple[datetime, datetime] | None:
+        """One run of the policy: refresh its window as of ``now``; None if the store is paused or the window is empty."""
+        low, high = policy.window(now, self.rollup.width)
+        if self.paused or low >= high:
+            return None
+        self.refresh(readings, low, high, meters)
+        return low, high
+
     def stored(self) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self.path)
@@ -98,10 +114,15 @@ class Store:
                 return None
             raise
 
-    def read(self) -> DataFrame | None:
-        """Only what is stored."""
+    def read(self, start=None, end=None) -> DataFrame | None:
+        """Only what is stored; a range of buckets (columns or UTC text) also prunes the days."""
         df = self.stored()
-        return df.drop("day") if df is not None else None
+        if df is None:
+            return None
+        if start is not None:
+            low, high = (ntz(x) if isinstance(x, str) else x for x in (start, end))
+            df = df.where(within(F.col("bucket"), low, high) & F.col("day").between(local_day(low, self.rollup.zone), local_day(high, self.rollup.zone)))
+        return df.drop("day")
 
     def watermark(self) -> datetime | None:
         """The end of the newest stored bucket."""

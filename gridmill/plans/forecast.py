@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg, exact_sum
 from ..functions.timebucket import bucket, local
+from ..sources.scratch import new_path
 
 KEYS = ["region", "hour_start"]
 LAGS = (24, 48, 168)
@@ -138,12 +139,20 @@ def select_ridge(df: DataFrame, alphas: tuple[float, ...] = ALPHAS):
     return best[1], best[0]["alpha"], [x[0] for x in tried]
 
 
-def ridge_metrics(df: DataFrame) -> DataFrame:
-    """Metrics and alpha of the selected ridge over the complete test rows; n = 0 and nulls if a part has no complete row."""
+def ridge_metrics(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Metrics and alpha of the selected ridge over the complete test rows; n = 0 and nulls if a part has no complete row.
+
+    The model is chosen on the validation part, frozen in a folder (``path``, or a new one), read back, and only then
+    sees the test part.
+    """
     test = df.where("split = 'test' AND complete")
     usable = {r["split"]: r["usable_rows"] for r in split_summary(df).select("split", "usable_rows").collect()}  # three rows
     if not all(usable.get(part) for part in ("train", "validation", "test")):
         empty = test.select(*KEYS, "energy_kwh", F.lit(None).cast("double").alias("prediction")).where(F.lit(False))
         return metrics(empty).withColumn("alpha", F.lit(None).cast("double"))
+    from pyspark.ml import PipelineModel
+
     model, alpha, _ = select_ridge(df)
-    return metrics(predict(model, test)).withColumn("alpha", F.lit(alpha))
+    path = path or new_path(df.sparkSession, "model")
+    model.write().overwrite().save(path)
+    return metrics(predict(PipelineModel.load(path), test)).withColumn("alpha", F.lit(alpha))

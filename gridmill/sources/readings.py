@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import new_path
+
 READINGS = (
     "meter_id bigint, event_time timestamp_ntz, received_time timestamp_ntz, power_kw double, "
     "voltage_v double, current_a double, frequency_hz double, energy_kwh double"
@@ -14,6 +16,7 @@ METERS = "meter_id bigint, region string, customer_type string, base_power_kw do
 #: Fixed values of the data model.
 INTERVAL_HOURS = 0.25
 POWER_FACTOR = 0.95
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def region_of(meter: Column) -> Column:
@@ -57,21 +60,21 @@ def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select(m, region_of(m).alias("region"), type_of(m).alias("customer_type"), (m % 7 + 0.5).alias("base_power_kw"), F.lit(POWER_FACTOR).alias("power_factor"))
 
 
-def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One labelled day for every fourth meter."""
-    m = meters(spark, sf_dir).where("meter_id % 4 = 0").select("meter_id")
+def labelled_events(known: DataFrame) -> DataFrame:
+    """One labelled day for every fourth of the ``known`` meters."""
+    m = known.where("meter_id % 4 = 0").select("meter_id")
     start = F.timestamp_add("DAY", (F.col("meter_id") % 28).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     kind = F.when(F.col("meter_id") % 8 == 0, "demand_spike").otherwise("unusual_drop")
     return m.select("meter_id", start.alias("start_time"), F.timestamp_add("DAY", F.lit(1), start).alias("end_time"), kind.alias("event_type"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, header=True)
+    df.write.option("timestampNTZFormat", CSV_TIME.replace("[", "").replace("]", "")).csv(path, header=True)
 
 
 def load_csv(spark: SparkSession, path: str, into: str, schema: str = READINGS) -> int:
     """Bulk load with a declared schema; refuses a target that exists.  Returns the rows loaded."""
-    spark.read.schema(schema).csv(path, header=True, mode="FAILFAST").write.mode("errorifexists").parquet(into)
+    spark.read.schema(schema).option("timestampNTZFormat", CSV_TIME).csv(path, header=True, mode="FAILFAST").write.mode("errorifexists").parquet(into)
     return spark.read.parquet(into).count()
 
 
@@ -82,6 +85,31 @@ def recount(spark: SparkSession, path: str) -> int:
     return n - files
 
 
+def reconciled(spark: SparkSession, csv: str, table: str, contract: int) -> DataFrame:
+    """One row: lines of the files, rows read from them, rows of the loaded table, the contract, and whether all four agree."""
+    lines = spark.read.text(csv).select(F.col("_metadata.file_path").alias("f")).agg((F.count(F.lit(1)) - F.countDistinct("f")).alias("file_rows"))
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    read = one(spark.read.schema(READINGS).option("timestampNTZFormat", CSV_TIME).csv(csv, header=True), "read_rows")
+    all_ = lines.crossJoin(read).crossJoin(one(spark.read.parquet(table), "table_rows")).withColumn("contract_rows", F.lit(contract).cast("long"))
+    n = F.col("file_rows")
+    return all_.withColumn("agrees", (n == F.col("read_rows")) & (n == F.col("table_rows")) & (n == F.col("contract_rows")))
+
+
+def delete_copies(spark: SparkSession, path: str, clean) -> int:
+    """Replace the stored table by ``clean`` of it; returns the rows that went.  Doing it again changes nothing.
+
+    The cleaned rows are written beside the table first, so a run that breaks off leaves the table or the staged copy whole.
+    """
+    old = spark.read.parquet(path)
+    staged = new_path(spark, "staged")
+    clean(old).write.parquet(staged)
+    kept = spark.read.schema(old.schema).parquet(staged)
+    gone = old.count() - kept.count()
+    if gone:
+        kept.write.mode("overwrite").parquet(path)
+    return gone
+
+
 def upsert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``existing`` plus the rows of ``new`` whose key it lacks, one for each key."""
     return existing.unionByName(new.dropDuplicates(keys).join(existing, keys, "left_anti"))

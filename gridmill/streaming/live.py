@@ -2,60 +2,94 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timebucket import ZONE, iso_with_offset, utc_of_iso
 from ..sources.readings import READINGS
+from ..sources.scratch import remove
 
 FIELDS = [x.split()[0] for x in READINGS.split(", ")]
 TOPIC = "energy/meters"
 
 
-def to_messages(readings: DataFrame) -> DataFrame:
-    """(topic, payload) of each reading."""
-    return readings.select(F.concat(F.lit(f"{TOPIC}/"), F.col("meter_id").cast("string")).alias("topic"), F.to_json(F.struct(*FIELDS)).alias("payload"))
+def to_messages(readings: DataFrame, zone: str = ZONE) -> DataFrame:
+    """(topic, payload) of each reading; times are ISO-8601 in the zone, with its offset and microseconds."""
+    fields = [iso_with_offset(F.col(c), zone).alias(c) if c.endswith("_time") else F.col(c) for c in FIELDS]
+    return readings.select(F.concat(F.lit(f"{TOPIC}/"), F.col("meter_id").cast("string")).alias("topic"), F.to_json(F.struct(*fields)).alias("payload"))
+
+
+def publish(readings: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
+    """Messages as lines of topic, tab and payload, the transport between publisher and subscriber; each task writes its own files."""
+    lines = to_messages(readings).select(F.concat_ws("\t", "topic", "payload").alias("value"))
+    lines.write.mode("append").option("maxRecordsPerFile", rows_per_file).text(path)
+
 
+def topic_matches(topic: Column, pattern: str) -> Column:
+    """Does a topic match a filter?  ``+`` stands for one level, ``#`` at the end for all that follow."""
+    levels = ["[^/]+" if x == "+" else "" if x == "#" else re.escape(x) for x in pattern.split("/")]
+    body = "/".join(levels[:-1]) + "(/.*)?" if pattern.endswith("/#") else ".*" if pattern == "#" else "/".join(levels)
+    return topic.rlike(f"^{body}$")
 
-def publish(readings: DataFrame, path: str, files: int = 1) -> None:
-    """Messages as text files, the transport between publisher and subscriber."""
-    to_messages(readings).select("payload").repartition(files).write.mode("append").text(path)
 
+def messages(spark: SparkSession, path: str, files_per_trigger: int = 10, pattern: str = f"{TOPIC}/#") -> DataFrame:
+    """A stream of the payloads (value) whose topic matches ``pattern``; the pace is so many files a micro-batch."""
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path)
+    cut = F.split("value", "\t", 2)
+    return lines.select(F.get(cut, F.lit(0)).alias("topic"), F.get(cut, F.lit(1)).alias("value")).where(topic_matches(F.col("topic"), pattern))
 
-def messages(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataFrame:
-    """A stream of raw payloads; the pace is so many files a micro-batch."""
-    return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path)
+
+def truncate(spark: SparkSession, *paths: str) -> None:
+    """Empty landing tables, ledgers and checkpoints before a run."""
+    for path in paths:
+        remove(spark, path)
 
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Payloads to readings; ``ok`` is false for malformed JSON and for a missing key."""
     r = F.from_json("value", READINGS.replace("timestamp_ntz", "string"), {"mode": "PERMISSIVE"})
     df = raw.select("value", r.alias("r"))
-    times = [F.col(f"r.{c}").try_cast("timestamp_ntz").alias(c) if c.endswith("_time") else F.col(f"r.{c}").alias(c) for c in FIELDS]
-    ok = F.col("r").isNotNull()
+    times = [utc_of_iso(F.col(f"r.{c}")).alias(c) if c.endswith("_time") else F.col(f"r.{c}").alias(c) for c in FIELDS]
+    read = df.select("value", F.col("r").isNotNull().alias("_read"), *times)
+    ok = F.col("_read")
     for c in FIELDS:
-        ok = ok & F.col(f"r.{c}").isNotNull()
-    return df.select("value", *times, ok.alias("ok"))
+        ok = ok & F.col(c).isNotNull()
+    return read.select("value", *FIELDS, ok.alias("ok"))
+
+
+COUNTS = ("received", "inserted", "parse_errors", "redelivered", "acked")
 
 
 def land(raw: DataFrame, into: str, bad: str, ledger: str, checkpoint: str):
     """Append good rows to ``into`` and bad payloads to ``bad``, with one ledger row a micro-batch.
 
-    Duplicates are kept at landing.  Each micro-batch writes folders of its own number, so a batch that is
-    done again replaces what it wrote.
+    Duplicates are kept at landing; ``redelivered`` counts the further copies of a payload within a micro-batch.  Each micro-batch writes folders
+    of its own number, so a batch that is done again replaces what it wrote.  The ledger row comes last: what it counts is acknowledged,
+    since the source won't send it again once the micro-batch is checkpointed.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         p = parsed(df).persist()
         p.where("ok").select(*FIELDS).write.mode("overwrite").parquet(f"{into}/batch={number}")
         p.where("NOT ok").select("value").write.mode("overwrite").parquet(f"{bad}/batch={number}")
-        p.agg(F.count(F.lit(1)).alias("received"), F.count_if("ok").alias("inserted"), F.count_if(~F.col("ok")).alias("parse_errors")).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        by = p.groupBy("value", "ok").agg(F.count(F.lit(1)).alias("n"))
+        n, ok = F.col("n"), F.col("ok")
+        facts = by.agg(F.sum(n).alias("received"), F.sum(F.when(ok, n).otherwise(0)).alias("inserted"), F.sum(F.when(~ok, n).otherwise(0)).alias("parse_errors"), F.sum(n - 1).alias("redelivered"), F.sum(n).alias("acked"))
+        facts.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS]).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
         p.unpersist()
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def totals(spark: SparkSession, ledger: str) -> DataFrame:
-    return spark.read.parquet(ledger).agg(*[F.sum(c).alias(c) for c in ("received", "inserted", "parse_errors")])
+def totals(spark: SparkSession, ledger: str, sent: str | None = None, pattern: str = f"{TOPIC}/#") -> DataFrame:
+    """Sums of the ledger; with the folder of sent messages also ``taken`` and ``backlog``, what isn't acknowledged yet."""
+    found = spark.read.parquet(ledger).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    if sent is None:
+        return found
+    taken = spark.read.text(sent).where(topic_matches(F.get(F.split("value", "\t", 2), F.lit(0)), pattern)).agg(F.count(F.lit(1)).alias("taken"))
+    return found.crossJoin(taken).withColumn("backlog", F.col("taken") - F.col("acked"))
 
 
 def windowed(readings: DataFrame, width: str = "15 minutes", late: str = "180 minutes") -> DataFrame:

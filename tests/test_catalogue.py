@@ -42,6 +42,16 @@ def test_matches_sql(name, spark, sf, duck):
     assert table(got.columns, got.collect()) == table(want.columns, want.fetchall())
 
 
-def test_ridge_beats_nothing_known(spark, sf):
-    row = QUERIES["forecast_ridge"](spark, sf).first()
-    assert row.n > 0 and row.mae >= 0 and row.rmse >= row.mae
+def test_ridge_on_complete_rows(spark, sf):
+    """The smallest tables have no complete row, since gaps are never filled; sf0.1 has."""
+    none = QUERIES["forecast_ridge"](spark, sf).first()
+    assert none.n == 0 and none.mae is None and none.alpha is None
+    row = QUERIES["forecast_ridge"](spark, sf.replace("sf0.001", "sf0.1")).first()
+    assert row.n > 0 and row.rmse >= row.mae > 0 and row.alpha in (0.1, 1.0, 10.0, 100.0)
+
+
+def test_reports_without_twin(spark, sf):
+    r = QUERIES["storage_report"](spark, sf).first()
+    assert r.chunks > 0 and r.bytes_before > 0 and r.ratio == pytest.approx(r.bytes_before / r.bytes_after)
+    plans = {x.query: x for x in QUERIES["plan_evidence"](spark, sf).collect()}
+    assert plans["q1"].filters_pushed and plans["panel_1_aggregate"].partitions_pruned and not plans["q5"].filters_pushed

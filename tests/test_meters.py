@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill import catalogue
-from gridmill.functions.timebucket import bucket, local_bucket, local_day, snapped
+from gridmill.functions.timebucket import bucket, iso_with_offset, local_bucket, local_day, slot_of_day, snapped, utc_of_iso
 from gridmill.operators import analysis, compare, layout, quality, rollups
 from gridmill.plans import forecast, panels
-from gridmill.sources import generator, readings
+from gridmill.sources import readings
 from gridmill.streaming import live
 
 T = datetime.fromisoformat
@@ -139,16 +139,6 @@ def test_csv_and_upsert(spark, tmp_path):
     assert sorted(map(tuple, readings.upsert_ignore(old, new, ["k"]).collect())) == [(1, "a"), (2, "c")]
 
 
-def test_generator_rates(spark):
-    g = generator.readings(spark, 200, 7).cache()
-    n, planned = g.dropDuplicates(["meter_id", "event_time"]).count(), 200 * 7 * 96
-    assert abs(1 - n / planned - 0.01) < 0.002 and abs(g.count() / n - 1.005) < 0.002
-    late = g.dropDuplicates(["meter_id", "event_time"]).where("received_time > event_time + interval 15 minutes").count()
-    assert abs(late / n - 0.02) < 0.003
-    assert generator.readings(spark, 200, 7).exceptAll(g).count() == 0
-    assert generator.labels(spark, 200, 7).select("meter_id").distinct().count() == 40
-
-
 def test_forecast_lags_are_exact(spark):
     hours = [T("2026-09-01") + timedelta(hours=i) for i in range(24 * 9)]
     rows = [("Region 1", h, float(k), 1) for k, h in enumerate(hours) if k != 30]
@@ -196,10 +186,10 @@ def test_empty_region_panel(spark):
 def test_stream_ledger_and_windows(spark, tmp_path):
     good = [reading(1, "2026-09-01 00:00"), reading(1, "2026-09-01 00:00"), reading(2, "2026-09-01 01:00")]
     live.publish(frame(spark, good, SHORT), str(tmp_path / "in"))
-    frame(spark, [("{bad",), ('{"meter_id": 5}',)], "value string").write.mode("append").text(str(tmp_path / "in"))
+    frame(spark, [("energy/meters/1\t{bad",), ('energy/meters/1\t{"meter_id": 5}',), ("energy/other\t{}",)], "value string").write.mode("append").text(str(tmp_path / "in"))
     q = live.land(live.messages(spark, str(tmp_path / "in")), *(str(tmp_path / x) for x in ("landed", "bad", "ledger", "ck")))
     q.awaitTermination()
-    assert live.totals(spark, str(tmp_path / "ledger")).first()[:] == (5, 3, 2)
+    assert live.totals(spark, str(tmp_path / "ledger"), str(tmp_path / "in")).first()[:] == (5, 3, 2, 1, 5, 5, 0)
     landed = spark.read.parquet(str(tmp_path / "landed")).drop("batch")
     assert landed.count() == 3
     s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "landed")).schema).parquet(str(tmp_path / "landed"))
@@ -224,3 +214,82 @@ def test_ridge_leaves_out_incomplete_rows(spark, monkeypatch, from_day, scored):
     got = catalogue.QUERIES["forecast_ridge"](spark, "").collect()
     assert len(got) == 1 and got[0].n == scored == df.where("split = 'test' AND complete").count()
     assert (got[0].mae is None and got[0].alpha is None) if not scored else got[0].mae >= 0
+
+
+def test_iso_times_keep_offset_and_microseconds(spark):
+    df = frame(spark, [("2026-09-01T00:00:00.123456+02:00",), ("2026-09-01T00:00:00-05:30",), ("2026-09-01T00:00:00Z",), ("2026-09-01 00:00:00",), ("soon",), (None,)], "x string")
+    got = [r[0] for r in df.select(utc_of_iso(F.col("x"))).collect()]
+    assert got == [T("2026-08-31 22:00:00.123456"), T("2026-09-01 05:30:00"), T("2026-09-01"), T("2026-09-01"), None, None]
+    one = frame(spark, [(T("2026-08-31 22:00:00.123456"),)], "t timestamp_ntz")
+    assert [one.select(iso_with_offset(F.col("t"), z)).first()[0] for z in ("Africa/Kigali", "America/St_Johns")] == ["2026-09-01T00:00:00.123456+02:00", "2026-08-31T19:30:00.123456-02:30"]
+    assert one.select(slot_of_day(F.col("t"), 15)).first()[0] == 22 * 60
+
+
+def test_topic_filters(spark):
+    df = frame(spark, [("energy/meters/1",), ("energy/meters",), ("energy/meters/1/x",), ("energy/other/1",)], "t string")
+    hits = lambda p: [r[0] for r in df.select(live.topic_matches(F.col("t"), p)).collect()]
+    assert hits("energy/meters/#") == [True, True, True, False] and hits("energy/+/1") == [True, False, False, True] and hits("#") == [True] * 4
+
+
+def test_refresh_drops_days_whose_readings_are_gone(spark, tmp_path):
+    schema = "event_time timestamp_ntz, energy_kwh double, power_kw double"
+    days = [T("2026-09-01 10:00"), T("2026-09-02 10:00"), T("2026-09-03 10:00")]
+    rows = lambda *ts: frame(spark, [(t, 1.0, 4.0) for t in ts], schema)
+    store = rollups.Store(spark, str(tmp_path / "r"), rollups.Rollup("1 hour", (), "UTC"))
+    store.refresh(rows(*days), T("2026-09-01"), T("2026-09-04"))
+    store.refresh(rows(days[0], days[2]), T("2026-09-02"), T("2026-09-03"))
+    assert sorted(r.bucket for r in store.read().collect()) == [days[0], days[2]]
+    assert store.read("2026-09-03 00:00:00", "2026-09-04 00:00:00").count() == 1
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in (list(map(float, rng.lognormal(size=5000))), [1.0] * 50, [-3.0, -1.0, 0.0, 0.0, 2.0, 1e300, 1e-300], [4.5]):
+        df = frame(spark, [(v,) for v in values] + [(None,)], "v double")
+        assert analysis.exact_quantiles(df, "v") == pytest.approx(list(np.quantile(values, analysis.LEVELS)), rel=1e-12)
+    assert analysis.exact_quantiles(frame(spark, [], "v double"), "v") == [None] * 7
+
+
+def test_ordered_compare(spark):
+    a = frame(spark, [(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
+    b = frame(spark, [(1, 1.0004), (2, 2.1), (3, None)], "k int, v double")
+    assert compare.ordered(a, b, ["k"]).first()[:] == (3, 3, 1, False) and compare.ordered(a, a, ["k"]).first().passes
+    assert compare.ordered(a, a.limit(2), ["k"]).first()[:] == (3, 2, 1, False)
+
+
+def test_delete_copies_twice(spark, tmp_path):
+    same = reading(1, "2026-09-01")
+    frame(spark, [same, same, reading(2, "2026-09-01")], SHORT).write.parquet(str(tmp_path / "t"))
+    assert [readings.delete_copies(spark, str(tmp_path / "t"), quality.clean) for _ in range(2)] == [1, 0]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_plans_prune_and_push(spark, sf):
+    """Filters and columns reach the scan, and a panel from a rollup reads only the days of its range."""
+    from gridmill.plans.evidence import evidence
+
+    q4, q5, panel = (evidence(catalogue.QUERIES[n](spark, sf)) for n in ("q4", "q5", "panel_1_aggregate"))
+    assert any("user_id" in x for x in q4["pushed"]) and any("ts" in x for x in q4["pushed"])
+    assert q5["columns"] == ["value"] or set(q5["columns"]) == {"value", "user_id"} - {"user_id"}
+    assert any("day" in x for x in panel["partitions"]) and any("bucket" in x for x in panel["pushed"])
+    timed = catalogue.QUERIES["layout_time_ordered"](spark, sf)
+    assert any("chunk" in x for x in evidence(timed)["partitions"])
+
+
+def test_big_chunks_get_more_tasks(spark, tmp_path):
+    rows = [reading(k, "2026-09-01", float(k)) for k in range(400)] + [reading(1, "2026-09-02")]
+    layout.write(frame(spark, rows, SHORT), str(tmp_path / "t"), tasks=64, rows_per_task=50)
+    files = {r.partition: r.files for r in readings.storage(spark, str(tmp_path / "t")).collect()}
+    assert sorted(files.values())[0] == 1 and sorted(files.values())[-1] >= 6
+
+
+def test_frozen_model_scores_the_same(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [("a", start + timedelta(hours=h), 5.0 + h % 24 + (h * 7) % 5, 1) for h in range(28 * 24)]
+    df = forecast.split(forecast.features(forecast.on_grid(frame(spark, rows, "region string, hour_start timestamp_ntz, energy_kwh double, readings bigint"), "2024-01-01", "2024-01-29")), "2024-01-15", "2024-01-22")
+    got = forecast.ridge_metrics(df, str(tmp_path / "m")).first()
+    model, alpha, _ = forecast.select_ridge(df)
+    want = forecast.metrics(forecast.predict(model, df.where("split = 'test' AND complete"))).first()
+    assert (tmp_path / "m" / "stages").exists() and got.alpha == alpha and got.mae == pytest.approx(want.mae, rel=1e-6)
