@@ -269,8 +269,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, all columns as they were."""
-    gone = _decided(docs, id_col, text_col, words, percent).where("_key <> _stay_key").select(F.col("_key").alias("_gone")).distinct()
-    key = fresh("_key", docs)
-    left = docs.withColumn(key, _row_key(id_col, text_col))
-    return left.join(gone, F.col(key) == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one document of each group, all columns as they were.
+
+    Of rows with equal id and text one stays; rows without words have no group, and all of them stay.
+    """
+    rows = written(_decided(docs, id_col, text_col, words, percent).select("_key", "_stay_key", "n"))
+    gone = rows.where("_key <> _stay_key").select(F.col("_key").alias("_gone")).distinct()
+    key, row, n = fresh("_key", docs), fresh("_row", docs), fresh("_copies", docs)
+    left = docs.withColumn(key, _row_key(id_col, text_col)).join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Which rows are repeated is counted on keys alone, and only their texts are shuffled; each task keeps one of a key before that.
+    twice = rows.where("n > 0 AND _key = _stay_key").groupBy("_key").agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    if twice.isEmpty():
+        return left.select(*columns)
+    marked = left.join(twice.withColumnRenamed("_key", "_twice"), F.col(key) == F.col("_twice"), "left")
+    by = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    whole = F.struct(*columns).alias(row)
+    once = marked.where(F.col(n).isNull()).select(*columns)
+    again = marked.where(F.col(n).isNotNull()).groupBy(key).agg(F.min_by(whole, by).alias(row)).select(f"{row}.*")
+    return once.unionByName(again)
