@@ -7,7 +7,7 @@ A literal is scored by how sensitive the words of its target names are, and by i
 variety and placeholders; from ``SCORE`` on it is a span of kind ``lexed``.  Names, blanks, literals, parts and constants have
 no bound; matching never goes back, and values are kept as places in the text.  A PEM block is read to its end line.
 
-Defined cases: null counts as empty text, which has no spans.  Texts are scanned one by one and whole, so ties,
+Defined cases: null counts as empty text, which has no spans.  An empty table gives an empty result.  Texts are scanned one by one and whole, so ties,
 repeated rows and null ids need no care.  Spans count code points, end exclusive.
 """
 
@@ -17,6 +17,7 @@ import hashlib
 import re
 from bisect import bisect_right, insort
 from collections import Counter
+from itertools import accumulate
 from math import log2
 
 from pyspark.sql import DataFrame
@@ -215,7 +216,12 @@ def lexed_spans(text: str) -> list[tuple[int, str, int, int]]:
 def all_spans(text: str) -> tuple[list, list]:
     """(base spans, all spans), in order of start, then kind; a lexed span inside a base one isn't repeated."""
     base = base_spans(text)
-    extra = [x for x in lexed_spans(text) if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)]
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))  # reach[k]: the furthest end of the first k + 1
+    extra = []
+    for x in lexed_spans(text):
+        k = bisect_right(starts, x[0])
+        if not k or reach[k - 1] < x[2]:
+            extra.append(x)
     return base, sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[1])))
 
 

@@ -25,7 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORD, shared_dir, text_or_empty
+from ..sources.scratch import new_path
+from ._common import WORD, text_or_empty
 
 GROUP = ["source", "lang", "version"]
 SIGNED = "doc_id long, source string, lang string, version string, docs long, tokens long"
@@ -74,7 +75,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
-        self.path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        self.path = path or new_path(spark, "ledger")
 
     def _file(self, name: str):
         jvm = self.spark.sparkContext._jvm

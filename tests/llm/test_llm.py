@@ -114,6 +114,15 @@ def test_near_dedup(spark, monkeypatch, short, rounds):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(five.values()))
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark, edge):
+    text = prose(1, 40)
+    rows = docs(spark, [text] * 3 + [text + " end", "", "", prose(2, 40)], [1, 1, 1, 2, 3, 3, 4]).withColumns({"_key": F.lit(1), "_copies": F.lit(2)})
+    left = near_dedup.drop_near_duplicates(rows)
+    assert left.columns == rows.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 3, 4]
+    kept = near_dedup.drop_near_duplicates(edge)
+    assert kept.columns == edge.columns and sum(r.doc_id == 50 for r in kept.collect()) == 1
+
+
 def test_near_dedup_edges(spark, edge):
     rows = near_dedup.near_dedup(edge).collect()
     assert len(rows) == edge.count()
@@ -224,6 +233,89 @@ def test_secrets_lexer(spark, edge):
     assert secrets.scan(edge.limit(0)).count() == 0
 
 
+def plain_lexer(text):
+    """The lexer's rules by plain recursion: strings are put together, and nothing is remembered but the constants' parts."""
+    constants, found, before = {}, set(), 0
+
+    def parts(at):
+        out = []
+        while True:
+            m = re.compile(r"""[ \t]*(?:"((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([A-Za-z0-9_$+/=.~!@^-]+))""").match(text, at)
+            if not m:
+                return out
+            a, b = m.span(m.lastindex)
+            ref = re.fullmatch(r"(?:\$\{?|%|#\{)?([A-Za-z_][A-Za-z0-9_.]*)[}%]?", text[a:b])
+            if ref and (m.lastindex == 4 or text[a] in "$%#") and ref[1] in constants:
+                out += constants[ref[1]]
+            else:
+                out.append((a, b))
+            plus = re.compile(r"[ \t]*\+(?=[ \t]*[\"'`A-Za-z_$])").match(text, m.end())
+            if not plus:
+                return out
+            at = plus.end()
+
+    for sep in re.finditer(r"(?::=|=>|=|:)(?![=/])", text):
+        left = text[before : sep.start()].rstrip(" \t")
+        before = sep.end()
+        left = left[:-1] if left[-1:] in ('"', "'", "]") else left
+        name = re.search(r"[A-Za-z0-9_$.-]*$", left)[0].lstrip("0123456789.-")
+        value = parts(sep.end()) if name else []
+        if not value:
+            continue
+        constants[name] = constants[name.split(".")[-1]] = value
+        whole = "".join(text[a:b] for a, b in value)
+        if secrets.name_score(name) * plain_score(whole) >= secrets.SCORE:
+            found |= {(a, b) for a, b in value if b > a}
+    return sorted(found)
+
+
+def plain_score(s):
+    from math import log2
+
+    low = s.lower()
+    if len(s) < 6 or set(low) in ({"x"}, {"*"}, {"."}, {"-"}) or low in secrets.PLACEHOLDERS:
+        return 0
+    if re.fullmatch(r"example\w*|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%", low, re.S):
+        return 0
+    words = s.split()
+    if s.count(" ") > 2 and (s[-1] in ".?!:" or 4 * sum(w.strip(".,;:!?").lower() in secrets.COMMON for w in words) >= s.count(" ") + 1):
+        return 0
+    bits = -sum(k / len(s) * log2(k / len(s)) for k in Counter(s).values())
+    kinds = sum(bool(re.search(p, s)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    return min(1.0, bits / 3) * (1.0 if kinds >= 2 or s.count(" ") > 2 else 0.7 if len(s) >= 12 else 0.5)
+
+
+def source_text(rnd):
+    """Some lines of configuration and source code with names, constants, parts, references and prose between."""
+    names = ["password", "db_pwd", "client_secret", "K", "base", "auth_key", "title", "self.token", "app.apiKey", "note", "signing_key"]
+    word = lambda: "".join(rnd.choice("abcXYZ0189+/!") for _ in range(rnd.choice([3, 6, 9, 14, 30])))
+    part = lambda: rnd.choice([f'"{word()}"', f"'{word()}'", f"`{word()}`", word(), rnd.choice(names), "${" + rnd.choice(names) + "}", f'"${{{rnd.choice(names)}}}"', '"changeme"', '"<fill in>"', '"one two three four five"', '"the key is not for you to use"', '""'])
+    line = lambda: rnd.choice(["", "  ", "export "]) + rnd.choice(names) + rnd.choice(["", " ", "   "]) + rnd.choice(["=", ":", ":=", "=>", "=="]) + rnd.choice(["", " "]) + " + ".join(part() for _ in range(rnd.choice([1, 1, 1, 2, 3])))
+    return "\n".join(line() if rnd.random() < 0.85 else f"see http://x.y/{word()}?k={word()} and wait" for _ in range(rnd.randint(1, 12)))
+
+
+def test_secrets_lexer_against_plain_recursion():
+    rnd, added = random.Random(11), 0
+    for _ in range(3000):
+        text = source_text(rnd)
+        want = plain_lexer(text)
+        assert sorted((a, b) for a, _, b, _ in secrets.lexed_spans(text)) == want, text
+        base, spans = secrets.all_spans(text)
+        inside = lambda x, base=base: any(b[0] <= x[0] and x[1] <= b[2] for b in base)
+        assert [(a, b) for a, k, b, _ in spans if k == "lexed"] == [x for x in want if not inside(x)]
+        added += len(spans) > len(base)
+    assert added > 500  # the lexer finds what the base patterns don't
+
+
+def test_many_secrets_in_one_text():
+    import time
+
+    text = "\n".join(f'password = "aB3dE5fG7hJ{k}"\ndb_pwd = "zZ9{k}yY8xX7"' for k in range(20_000))
+    start = time.process_time()
+    base, spans = secrets.all_spans(text)
+    assert len(base) == 20_000 and len(spans) == 40_000 and time.process_time() - start < 5
+
+
 def test_secrets_are_found_whole(spark):
     rnd = random.Random(7)
     token = "".join(rnd.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(9000))
