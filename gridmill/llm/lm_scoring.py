@@ -1,21 +1,28 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-A word's class comes from its last two bytes; the end of a text is a class of its own.  The model is
+A word belongs to one of ``GROUPS * CLASSES`` classes by the bucket of its last three bytes; the end of a text is a class of its own.  The
+model is
 
-    P(w | h) = P(class(w) | h) * P(w | class, h)
+    P(w | h) = P(group(w) | h) * P(class(w) | group, h) * P(w | class, h)
 
-with one softmax over the classes and, for each class, one over its most frequent words and a remainder, which
-is shared out in proportion to smoothed counts, unseen words included.  Features of the history h: the last word, the
-last two, the word before the last (a skip), the same with classes instead of words, and a constant; each is hashed to a row of weights.
+with a softmax on each level.  The last one is over the class's most frequent words and a remainder, which
+is shared out in proportion to smoothed counts, one unseen word included, so each counted word has its place.  Features of the history h:
+the last word, the last two, the word before the last (a skip), the same with classes, the groups of the last four words, and a
+constant; each is hashed to a row of weights.
 
-1.  Words are counted over all training documents (a shuffle by 64-bit word hash).
+1.  Words are counted over all training documents (a shuffle by 64-bit word hash), and so are pairs of a word's bucket and
+    its predecessor's.  Buckets that follow alike buckets form the groups, and in each group the classes (weighted k-means of 2048 rows).
 2.  Training passes over all training documents in ``ROUNDS`` disjoint parts.  Each partition takes Adagrad steps on
-    minibatches from the common weights, and the partitions' changes are averaged by row with a grouped aggregate.
+    minibatches from the common weights, and hands back each row's change with its evidence, the squared gradients it has
+    seen.  A grouped aggregate merges them: where the evidence is large the result is its weighted mean, and where each
+    partition saw little it is the sum, so what more partitions see counts as more.
 3.  Scoring adds up log-probabilities in numpy.  Counts of at most ``HEAD`` frequent words travel with the model;
     the other words of each text meet their counts in a join, so nothing of the corpus' size passes the driver.
 
+The weight tables have ``ROWS`` rows each, a parameter: it is what every task holds and hands back.
+
 Defined cases: null counts as empty text, which is the end token alone.  Null ids count as the empty text in the
-split.  Repeated rows are counted as often as they occur and get equal scores.  Without training rows all
+split.  Repeated rows are counted as often as they occur and get equal scores.  An empty table gives an empty result.  Without training rows all
 counts are 0 and the weights stay 0.
 """
 
@@ -28,30 +35,39 @@ from pyspark.sql import functions as F
 
 from ._common import crc_mod, text_or_empty, written
 
-CLASSES = 16
-OUTCOMES = 16
-ROWS = 1 << 15
+BUCKETS = 2048
+CONTEXTS = 256
+GROUPS = 16
+CLASSES = 16  # of a group
+OUTCOMES = 16  # of a class: its most frequent words and the remainder
+LEVELS = 3
+ROWS = 1 << 16
 HEAD = 200_000
 ROUNDS = 2
 BATCH = 16_384
 RATE = 0.25
+PRIOR = 8.0
 END, START = 11, 13
+PAIR = -1  # stands for the bucket in rows that count pairs
+OFF = -1e4
 
 
 @dataclass
 class Vocabulary:
-    """Totals, and the frequent words: keys ascending, their counts, and each one's place in its class (or -1)."""
+    """Totals, the classes, and the frequent words: keys ascending, their counts, and each one's place in its class (or -1)."""
 
     n: int
     v: int
     keys: object
     counts: object
     place: object
+    of_bucket: object  # class of each bucket; the end's comes last and is 0
     rest: object  # by class: log10 of (tokens outside the class's own words + half their number, and a half)
+    masks: list  # by level: 0 where a choice exists, else OFF
 
 
 def _tokens(data: bytes, starts):
-    """(key, class, document) of each token of a block, ends included."""
+    """(key, bucket, document) of each token of a block, ends included."""
     import numpy as np
 
     from ._vector import U, mixed, word_hashes
@@ -61,19 +77,21 @@ def _tokens(data: bytes, starts):
     doc = np.searchsorted(starts, first, side="right") - 1
     size = np.bincount(doc, minlength=len(starts)) + 1
     key = np.full(len(h) + len(starts), END, dtype=np.int64)
-    kind = np.zeros(len(key), dtype=np.int64)
+    bucket = np.full(len(key), BUCKETS, dtype=np.int64)
     at = np.arange(len(h)) + doc
     key[at] = h.view(np.int64)
     low = np.arange(256, dtype=np.uint64)
     low[65:91] += U(32)
     if len(h):
-        pair = low[a[end - 1]] * U(257) + np.where(end - first > 1, low[a[np.maximum(end - 2, 0)]], U(0))
-        kind[at] = 1 + (mixed(pair + U(1)) % U(CLASSES - 1)).astype(np.int64)
-    return key, kind, np.repeat(np.arange(len(starts)), size)
+        ending = np.zeros(len(h), dtype=np.uint64)
+        for k in (3, 2, 1):
+            ending = ending * U(257) + np.where(end - first >= k, low[a[np.maximum(end - k, 0)]], U(0))
+        bucket[at] = (mixed(ending + U(1)) % U(BUCKETS)).astype(np.int64)
+    return key, bucket, np.repeat(np.arange(len(starts)), size)
 
 
-def _features(key, kind, doc):
-    """Hashed feature rows (n, 6) of each token's history."""
+def _history(key, kind, doc):
+    """Hashed features of each token's history, by name; rows of weights are made of them by level."""
     import numpy as np
 
     from ._vector import P, U, mixed
@@ -87,21 +105,38 @@ def _features(key, kind, doc):
 
     w1 = shifted(key.view(np.uint64), U(START))
     w2 = shifted(w1, U(START))
-    c1 = shifted(kind.astype(np.uint64), U(CLASSES))
-    c2 = shifted(c1, U(CLASSES))
-    raw = (w1, w1 * U(P) + w2, w2 * U(3), c1, c1 * U(64) + c2)
-    return np.stack([*[(mixed(x * U(8) + U(k + 1) + (x >> U(61))) % U(ROWS)).astype(np.int64) for k, x in enumerate(raw)], np.zeros(len(key), dtype=np.int64)], 1)
+    c1 = shifted(kind.astype(np.uint64), U(GROUPS * CLASSES))
+    c2 = shifted(c1, U(GROUPS * CLASSES))
+    g = [c1 // U(CLASSES), c2 // U(CLASSES)]
+    for _ in range(2):
+        g.append(shifted(g[-1], U(GROUPS)))
+    groups = ((g[0] * U(32) + g[1]) * U(32) + g[2]) * U(32) + g[3]
+    raw = (w1, w1 * U(P) + w2, w2 * U(3), c1, c1 * U(512) + c2, groups)
+    hashed = [(mixed(x * U(8) + U(k + 1) + (x >> U(61))) % U(1 << 40)).astype(np.int64) for k, x in enumerate(raw)]
+    return np.stack([*hashed, np.zeros(len(key), dtype=np.int64)], 1)
+
+
+#: The features of each level: groups by all, classes without the word pair and the skip, words without groups and the skip.
+FEATURES = ([0, 1, 2, 3, 4, 5, 6], [0, 3, 4, 5, 6], [0, 1, 3, 6])
 
 
-def _in_class(features, kind):
-    """The feature rows of the softmax within a class."""
-    return (features * 31 + kind[:, None] * 2_097_169 + 17) % ROWS
+def _rows(history, level: int, given):
+    """Rows of weights (n, features) of a level; ``given`` is what the levels above chose."""
+    return (history[:, FEATURES[level]] + (given[:, None] + 1) * 2_097_169 * (level > 0)) % ROWS
 
 
-def _softmax(weights, rows):
+def _levels(words: Vocabulary, kind, place):
+    """(level, which tokens, given, target) of each softmax; the end has the first alone."""
     import numpy as np
 
-    z = weights[rows[:, 0]]
+    word = np.flatnonzero(kind > 0)
+    return ((0, slice(None), np.zeros(len(kind), dtype=np.int64), kind // CLASSES), (1, word, kind[word] // CLASSES, kind[word] % CLASSES), (2, word, kind[word], place[word]))
+
+
+def _softmax(weights, rows, mask):
+    import numpy as np
+
+    z = weights[rows[:, 0]] + mask
     for k in range(1, rows.shape[1]):
         z += weights[rows[:, k]]
     z -= z.max(1, keepdims=True)
@@ -110,11 +145,11 @@ def _softmax(weights, rows):
     return z
 
 
-def _step(weights, squares, rows, target, rate):
+def _step(weights, squares, rows, target, mask, rate):
     """One Adagrad step on a minibatch."""
     import numpy as np
 
-    g = _softmax(weights, rows)
+    g = _softmax(weights, rows, mask)
     g[np.arange(len(g)), target] -= 1
     at = rows.ravel()
     touched = np.zeros(len(weights), dtype=bool)
@@ -146,8 +181,41 @@ def _outcomes(vocabulary: Vocabulary, at):
     return np.where(at >= 0, vocabulary.place[at], OUTCOMES - 1)
 
 
+def grouped(pairs, size: int, least: float = 50.0):
+    """The class of each bucket from counts of (bucket, context): groups of buckets that follow alike contexts, and classes within; 0 is kept for the end."""
+    import numpy as np
+
+    total = pairs.sum(1, keepdims=True)
+    mean = (pairs.sum(0) + 1e-9) / (pairs.sum() + 1e-9 * pairs.shape[1])
+    x, weight = np.sqrt((pairs + least * mean) / (total + least)), total[:, 0] + 1e-3
+
+    def parted(rows, k):
+        """k-means from the heaviest row and those farthest from what is chosen, by weight."""
+        centres = [x[rows[np.argmax(weight[rows])]]]
+        far = np.full(len(rows), np.inf)
+        while len(centres) < min(k, len(rows)):
+            far = np.minimum(far, ((x[rows] - centres[-1]) ** 2).sum(1))
+            centres.append(x[rows[np.argmax(far * weight[rows])]])
+        centres = np.array(centres)
+        for _ in range(20):
+            near = np.argmax(x[rows] @ centres.T - 0.5 * (centres**2).sum(1), 1)
+            for c in range(len(centres)):
+                own = rows[near == c]
+                if len(own):
+                    centres[c] = np.average(x[own], axis=0, weights=weight[own])
+        return near
+
+    every, out = np.arange(size), np.zeros(size + 1, dtype=np.int64)
+    group = parted(every, GROUPS - 1) + 1
+    for g in range(1, GROUPS):
+        own = every[group == g]
+        if len(own):
+            out[own] = g * CLASSES + parted(own, CLASSES)
+    return out
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, kind, c) of every distinct token of ``docs``."""
+    """(key, bucket, c) of every distinct token of ``docs``; rows whose bucket is ``PAIR`` count pairs of a word's bucket and its context."""
 
     def run(batches):
         import numpy as np
@@ -155,20 +223,32 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
         from ._vector import blocks
 
+        pairs = np.zeros(BUCKETS * CONTEXTS, dtype=np.int64)
+        made = lambda key, bucket, c: pa.RecordBatch.from_arrays([pa.array(key), pa.array(bucket), pa.array(c)], names=["key", "bucket", "c"])
         for batch in batches:
             for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
-                key, kind, _ = _tokens(data, starts)
+                key, bucket, doc = _tokens(data, starts)
                 keys, at, n = np.unique(key, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kind[at]), pa.array(n)], names=["key", "kind", "c"])
+                both = (bucket[1:] < BUCKETS) & (bucket[:-1] < BUCKETS) & (doc[1:] == doc[:-1])
+                pairs += np.bincount((bucket[1:] * CONTEXTS + bucket[:-1] * CONTEXTS // BUCKETS)[both], minlength=len(pairs))
+                yield made(keys, bucket[at], n)
+        at = np.flatnonzero(pairs)
+        yield made(at, np.full(len(at), PAIR), pairs[at])
 
-    counted = docs.select(text_or_empty(text_col)).mapInArrow(run, "key long, kind long, c long")
-    return counted.groupBy("key").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))
+    counted = docs.select(text_or_empty(text_col)).mapInArrow(run, "key long, bucket long, c long")
+    return counted.groupBy("key", "bucket").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """Totals and frequent words; at most ``head`` rows and a histogram reach the driver."""
+    """Totals, classes and frequent words; at most ``head`` rows, BUCKETS * CONTEXTS pairs and a histogram reach the driver."""
     import numpy as np
 
+    pairs = np.zeros(BUCKETS * CONTEXTS)
+    found = counts.where(F.col("bucket") == PAIR).select("key", "c").toPandas()
+    pairs[found["key"].to_numpy(np.int64)] = found["c"].to_numpy(float)
+    of_bucket = grouped(pairs.reshape(BUCKETS, CONTEXTS), BUCKETS)
+
+    counts = counts.where(F.col("bucket") != PAIR)
     step = F.floor(F.log2("c") * 8).cast("int")
     bins = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # some hundred rows
     least, room = 0, head
@@ -177,65 +257,100 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
             least = b + 1
             break
         room -= n
-    frequent = counts.where(step >= least).select("key", "kind", "c").toPandas().sort_values(["c", "key"], ascending=[False, True])
-    rank = frequent.groupby("kind").cumcount().to_numpy()
+    frequent = counts.where(step >= least).toPandas().sort_values(["c", "key"], ascending=[False, True])
+    kind = of_bucket[frequent["bucket"].to_numpy(np.int64)]
+    rank = frequent.groupby(kind).cumcount().to_numpy() if len(frequent) else np.zeros(0, dtype=np.int64)
     place = np.where(rank < OUTCOMES - 1, rank, OUTCOMES - 1)
-    by_class = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    rest = np.zeros(CLASSES)
-    own = frequent[place < OUTCOMES - 1].groupby("kind")["c"].agg(["sum", "count"])
-    for c in range(CLASSES):
-        n, v = (by_class[c]["n"], by_class[c]["v"]) if c in by_class else (0, 0)
-        if c in own.index:
-            n, v = n - own.loc[c, "sum"], v - own.loc[c, "count"]
-        rest[c] = np.log10(n + 0.5 * (v + 1))
+
+    every = GROUPS * CLASSES
+    n, v = np.zeros(every), np.zeros(every)
+    total = [0, 0]
+    for r in counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # a row a bucket
+        n[of_bucket[r["bucket"]]] += r["n"]
+        v[of_bucket[r["bucket"]]] += r["v"]
+        total = [total[0] + r["n"], total[1] + r["v"]]
+    own = place < OUTCOMES - 1
+    n -= np.bincount(kind[own], frequent["c"].to_numpy(float)[own], every)
+    v -= np.bincount(kind[own], minlength=every)
+
+    there = np.zeros(every, dtype=bool)
+    there[of_bucket] = True
+    held = np.bincount(kind[own], minlength=every)
+    choice = there.reshape(GROUPS, CLASSES)
+    places = np.arange(OUTCOMES)[None, :]
+    masks = [np.where(x, 0, OFF).astype(np.float32) for x in (choice.any(1)[None, :], choice, (places < held[:, None]) | (places == OUTCOMES - 1))]
     order = np.argsort(frequent["key"].to_numpy())
-    total = (sum(r["n"] for r in by_class.values()), sum(r["v"] for r in by_class.values()))
-    return Vocabulary(*total, frequent["key"].to_numpy()[order], frequent["c"].to_numpy()[order], place[order], rest)
+    return Vocabulary(*total, frequent["key"].to_numpy()[order], frequent["c"].to_numpy()[order], place[order], of_bucket, np.log10(n + 0.5 * (v + 1)), masks)
 
 
 def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, rounds: int = ROUNDS):
-    """The two weight tables after ``rounds`` averaged passes; round r reads the rows whose ``part`` is r."""
+    """The weight tables after ``rounds`` merged passes; round r reads the rows whose ``part`` is r."""
     import numpy as np
 
-    weights = [np.zeros((ROWS, CLASSES), dtype=np.float32), np.zeros((ROWS, OUTCOMES), dtype=np.float32)]
-    columns = [f"w{k}" for k in range(max(CLASSES, OUTCOMES))]
+    weights = [np.zeros((ROWS, n), dtype=np.float32) for n in (GROUPS, CLASSES, OUTCOMES)]
+    known = [np.zeros(ROWS, dtype=np.float32) for _ in weights]  # evidence so far
+    columns = [f"w{k}" for k in range(max(GROUPS, CLASSES, OUTCOMES))]
 
     for r in range(rounds):
 
-        def run(batches, begun=weights):
+        def run(batches, begun=weights, before=known):
             import pyarrow as pa
 
             from ._vector import blocks
 
             now = [w.copy() for w in begun]
-            squares = [np.full_like(w, 8) for w in begun]
+            squares = [np.repeat((PRIOR + e)[:, None], w.shape[1], 1) for w, e in zip(begun, before)]
             seen = [np.zeros(ROWS, dtype=bool) for _ in begun]
             for batch in batches:
                 for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
-                    key, kind, doc = _tokens(data, starts)
-                    rows = _features(key, kind, doc)
-                    out = _outcomes(words, _places(words, key))
+                    key, bucket, doc = _tokens(data, starts)
+                    kind = words.of_bucket[bucket]
+                    history = _history(key, kind, doc)
+                    place = _outcomes(words, _places(words, key))
                     for a in range(0, len(key), BATCH):
                         b = slice(a, a + BATCH)
-                        seen[0] |= _step(now[0], squares[0], rows[b], kind[b], RATE)
-                        word = kind[b] > 0
-                        if word.any():
-                            seen[1] |= _step(now[1], squares[1], _in_class(rows[b][word], kind[b][word]), out[b][word], RATE)
-            for k in range(2):
-                at = np.flatnonzero(seen[k])
-                change = (now[k] - begun[k])[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", *columns])
-
-        schema = "t long, row long, " + ", ".join(f"{c} float" for c in columns)
+                        for level, which, given, target in _levels(words, kind[b], place[b]):
+                            if len(given):
+                                rows = _rows(history[b][which], level, given)
+                                seen[level] |= _step(now[level], squares[level], rows, target, words.masks[level][given], RATE)
+            for level in range(LEVELS):
+                at = np.flatnonzero(seen[level])
+                change = (now[level] - begun[level])[at]
+                evidence = squares[level][at].mean(1) - PRIOR - before[level][at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level)), pa.array(at), pa.array(evidence), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
+
+        schema = "t long, row long, e float, " + ", ".join(f"{c} float" for c in columns)
         changes = docs.where(part == r).select(text_or_empty(text_col)).mapInArrow(run, schema)
-        mean = changes.groupBy("t", "row").agg(*[F.avg(c).cast("float").alias(c) for c in columns]).toPandas()  # at most 2 * ROWS rows
-        weights = [w.copy() for w in weights]
-        for k in range(2):
-            some = mean[mean["t"] == k]
-            weights[k][some["row"].to_numpy()] += some[columns].to_numpy(np.float32)[:, : weights[k].shape[1]]
+        # Each change was held back by the prior and what was known before; all evidence together is held back by them once.
+        sums = changes.groupBy("t", "row").agg(F.sum("e").cast("float").alias("e"), *[F.sum(F.col(c) * F.col("e")).cast("float").alias(f"{c}_e") for c in columns], *[F.sum(c).cast("float").alias(c) for c in columns])
+        merged = sums.toPandas()  # at most LEVELS * ROWS rows
+        weights, known = [w.copy() for w in weights], [e.copy() for e in known]
+        for level in range(LEVELS):
+            some = merged[merged["t"] == level]
+            at, e = some["row"].to_numpy(), some["e"].to_numpy(np.float32)
+            base = PRIOR + known[level][at]
+            plain, weighted = some[columns].to_numpy(np.float32), some[[f"{c}_e" for c in columns]].to_numpy(np.float32)
+            weights[level][at] += (base[:, None] * plain + weighted) / (base + e)[:, None]
+            known[level][at] += e
     return weights
 
 
+def _log_p(weights, words: Vocabulary, key, kind, doc, place):
+    """log10 of each token's probability, but for a remainder's shares."""
+    import numpy as np
+
+    history = _history(key, kind, doc)
+    log_p = np.empty(len(key))
+    for a in range(0, len(key), BATCH):
+        b = slice(a, a + BATCH)
+        p = np.ones(len(kind[b]))
+        for level, which, given, target in _levels(words, kind[b], place[b]):
+            if len(given):
+                p[which] *= _softmax(weights[level], _rows(history[b][which], level, given), words.masks[level][given])[np.arange(len(given)), target]
+        log_p[b] = np.log10(np.maximum(p, 1e-30))
+    return log_p
+
+
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), learning from rows not held out."""
     import numpy as np
@@ -257,17 +372,11 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
             tail_keys, tail_n, sizes = [], [], []
             for data, starts in blocks(x.as_py() or b"" for x in batch.column(3).cast(pa.binary())):
-                key, kind, doc = _tokens(data, starts)
-                rows, at = _features(key, kind, doc), _places(words, key)
+                key, bucket, doc = _tokens(data, starts)
+                kind, at = words.of_bucket[bucket], _places(words, key)
                 place = _outcomes(words, at)
                 found = np.where(at >= 0, known_log[at], 0.0)
-                log_p = np.empty(len(key))
-                for a in range(0, len(key), BATCH):
-                    b = slice(a, a + BATCH)
-                    n = np.arange(len(kind[b]))
-                    inner = _softmax(weights[1], _in_class(rows[b], kind[b]))[n, place[b]]
-                    inner[kind[b] == 0] = 1
-                    log_p[b] = np.log10(np.maximum(_softmax(weights[0], rows[b])[n, kind[b]].astype(float) * inner, 1e-30))
+                log_p = _log_p(weights, words, key, kind, doc, place)
                 rest = (kind > 0) & (place == OUTCOMES - 1)
                 log_p += np.where(rest, found - words.rest[kind], 0.0)
                 total = lambda x, d=doc, m=len(starts): np.bincount(d, x, m)
@@ -293,7 +402,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     scored = written(picked.mapInArrow(run, f"_row long, _id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<long>"))
 
     tail = scored.select("_row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("_row", F.col("x.tail").alias("key"), F.col("x.tail_n").alias("_n"))
-    met = tail.join(counts.select("key", "c"), "key", "left")
+    met = tail.join(counts.where(F.col("bucket") != PAIR).select("key", "c"), "key", "left")
     c = F.coalesce("c", F.lit(0))
     sums = met.groupBy("_row").agg(F.sum(F.col("_n") * F.log10(c + 0.5)).alias("_log"), F.sum(F.when(c > 0, F.col("_n")).otherwise(0)).alias("_known"))
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))

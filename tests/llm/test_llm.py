@@ -590,31 +590,69 @@ def test_lm_scores(spark, sf, edge):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel=1e-9)
     mean = lambda k: sum(getattr(r, k) for r in rows if r.held_out)
-    assert mean("score") > mean("base_score")
+    assert mean("score") - mean("base_score") > 0.2 * sum(r.n_tokens for r in rows if r.held_out)
     out = lm_scoring.lm_scores(edge, lm_scoring.split()).collect()
     assert len(out) == edge.count() and all(r.score <= 0 for r in out)
     assert lm_scoring.lm_scores(edge.limit(0), lm_scoring.split()).count() == 0
 
 
 def test_lm_is_a_distribution(spark):
-    """Probabilities of all one-word continuations, one unseen word included, add up to one."""
-    train = docs(spark, ["a b", "a c", "b a", "c", "a"] * 3, range(15))
-    words = ["a", "b", "c", None]
-    vocab = lm_scoring.vocabulary(lm_scoring.word_counts(train, "text"))
+    """After any history, the probabilities of all counted words, one unseen word of each class and the end add up to one."""
     import numpy as np
 
-    total = 0.0
-    weights = lm_scoring.train(train, F.col("doc_id") % 2, vocab, "text")
-    for w in words:
-        data = b"" if w is None else w.encode()
-        key, kind, doc = lm_scoring._tokens(data, np.array([0]))
-        rows = lm_scoring._features(key, kind, doc)[:1]
-        p = lm_scoring._softmax(weights[0], rows)[0, kind[0]]
-        at = lm_scoring._places(vocab, key)
-        if w is not None:
-            p *= lm_scoring._softmax(weights[1], lm_scoring._in_class(rows, kind[:1]))[0, lm_scoring._outcomes(vocab, at)[0]]
-        total += p
-    assert 0 < total <= 1 + 1e-6
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("the of and le la der die und".split()) + rnd.choice("abcdefgh") * rnd.randrange(3) for _ in range(30)) for _ in range(60)]
+    train = docs(spark, texts)
+    words = lm_scoring.vocabulary(lm_scoring.word_counts(train, "text"), head=70)
+    weights = lm_scoring.train(train, F.col("doc_id") % 2, words, "text")
+    counts = Counter(w for t in texts for w in t.split())
+    there = set(words.of_bucket.tolist()) - {0}
+    for history in ([], ["the"], ["der", "lea", "undb"], ["neverseen", "of"]):
+        total, rest = 0.0, Counter()
+        for w in [*counts, None]:
+            data = " ".join([*history, w] if w else history).encode()
+            key, bucket, doc = lm_scoring._tokens(data, np.array([0]))
+            key, bucket, doc = (x[: len(history) + 1] for x in (key, bucket, doc))
+            kind, at = words.of_bucket[bucket], lm_scoring._places(words, key)
+            place = lm_scoring._outcomes(words, at)
+            p = 10 ** lm_scoring._log_p(weights, words, key, kind, doc, place)[-1]
+            if w and place[-1] == lm_scoring.OUTCOMES - 1:
+                rest[int(kind[-1])] += counts[w] + 0.5
+                p *= (counts[w] + 0.5) / 10 ** words.rest[kind[-1]]
+            total += p
+        # What the unseen words get: each class's remainder has room for one.
+        key, bucket, doc = lm_scoring._tokens(" ".join([*history, "x"]).encode(), np.array([0]))
+        key, doc = key[: len(history) + 1], doc[: len(history) + 1]
+        for c in there:
+            kind = np.append(words.of_bucket[bucket[: len(history)]], c)
+            place = np.full(len(kind), lm_scoring.OUTCOMES - 1)
+            room = 10 ** words.rest[c]
+            assert rest[c] + 0.5 == pytest.approx(room)
+            total += 10 ** lm_scoring._log_p(weights, words, key, kind, doc, place)[-1] * 0.5 / room
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_learns_more_from_more_partitions(spark):
+    """Evidence that partitions gather apart counts as if one had seen it, and doesn't fade in a mean."""
+    import numpy as np
+
+    rnd = random.Random(8)
+    line = lambda: " ".join(x for _ in range(12) for x in rnd.choice([("kaffee", "tasse"), ("rotes", "licht"), ("zum", "hafen")]))
+    texts = [line() for _ in range(320)]
+    held = [line() for _ in range(40)]
+
+    def gain(n, partitions):
+        train = docs(spark, texts[:n]).repartition(partitions, "doc_id")
+        words = lm_scoring.vocabulary(lm_scoring.word_counts(docs(spark, texts), "text"))
+        weights = lm_scoring.train(train, F.lit(0), words, "text", rounds=1)
+        total = 0.0
+        for t in held:
+            key, bucket, doc = lm_scoring._tokens(t.encode(), np.array([0]))
+            total += lm_scoring._log_p(weights, words, key, words.of_bucket[bucket], doc, lm_scoring._outcomes(words, lm_scoring._places(words, key))).sum()
+        return total
+
+    one, eight, eighth = gain(320, 1), gain(320, 8), gain(40, 1)
+    assert eight > eighth + 0.5 * (one - eighth)
 
 
 def test_pipeline(spark, sf, tmp_path):
