@@ -244,8 +244,8 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     import numpy as np
 
     pairs = np.zeros(BUCKETS * CONTEXTS)
-    found = counts.where(F.col("bucket") == PAIR).select("key", "c").toPandas()
-    pairs[found["key"].to_numpy(np.int64)] = found["c"].to_numpy(float)
+    found = counts.where(F.col("bucket") == PAIR).select("key", "c").toArrow()
+    pairs[found["key"].to_numpy()] = found["c"].to_numpy()
     of_bucket = grouped(pairs.reshape(BUCKETS, CONTEXTS), BUCKETS)
 
     counts = counts.where(F.col("bucket") != PAIR)
@@ -257,7 +257,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
             least = b + 1
             break
         room -= n
-    frequent = counts.where(step >= least).toPandas().sort_values(["c", "key"], ascending=[False, True])
+    frequent = counts.where(step >= least).toArrow().to_pandas().sort_values(["c", "key"], ascending=[False, True])
     kind = of_bucket[frequent["bucket"].to_numpy(np.int64)]
     rank = frequent.groupby(kind).cumcount().to_numpy() if len(frequent) else np.zeros(0, dtype=np.int64)
     place = np.where(rank < OUTCOMES - 1, rank, OUTCOMES - 1)
@@ -323,14 +323,15 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
         changes = docs.where(part == r).select(text_or_empty(text_col)).mapInArrow(run, schema)
         # Each change was held back by the prior and what was known before; all evidence together is held back by them once.
         sums = changes.groupBy("t", "row").agg(F.sum("e").cast("float").alias("e"), *[F.sum(F.col(c) * F.col("e")).cast("float").alias(f"{c}_e") for c in columns], *[F.sum(c).cast("float").alias(c) for c in columns])
-        merged = sums.toPandas()  # at most LEVELS * ROWS rows
+        merged = sums.toArrow()  # at most LEVELS * ROWS rows
+        levels = merged["t"].to_numpy()
         weights, known = [w.copy() for w in weights], [e.copy() for e in known]
         for level in range(LEVELS):
-            some = merged[merged["t"] == level]
-            at, e = some["row"].to_numpy(), some["e"].to_numpy(np.float32)
+            here = np.flatnonzero(levels == level)
+            at, e = merged["row"].to_numpy()[here], merged["e"].to_numpy()[here]
             base = PRIOR + known[level][at]
-            plain, weighted = some[columns].to_numpy(np.float32), some[[f"{c}_e" for c in columns]].to_numpy(np.float32)
-            weights[level][at] += (base[:, None] * plain + weighted) / (base + e)[:, None]
+            for k, c in enumerate(columns):
+                weights[level][at, k] += (base * merged[c].to_numpy()[here] + merged[f"{c}_e"].to_numpy()[here]) / (base + e)
             known[level][at] += e
     return weights
 
