@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def sliced(batches: Iterable, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of a few hundred rows, so that what a task makes of them at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -30,6 +30,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import sliced
 from ._memo import Memo
 
 #: The byte-level alphabet's printable ranges, and the pre-tokenizer's pattern with white space spelt out.
@@ -202,7 +203,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         bpe = loaded(path)
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_values else {})
             for text in batch.column(1):
                 ids = bpe.encode(text.as_py() or "")

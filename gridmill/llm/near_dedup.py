@@ -27,7 +27,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, text_or_empty, written
+from ._common import fresh, sliced, text_or_empty, written
 from ._graph import components
 
 K = 32
@@ -68,7 +68,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) -
 
         from ._vector import U, mixed, shingles, words_by_text
 
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             texts = (x.as_py() or b"" for x in batch.column(2).cast(pa.binary()))
             n, f1, f2, sketch = [], [], [], []
             for found in words_by_text(texts):
@@ -94,7 +94,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
 
         from ._vector import shingles, words_by_text
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = (x.as_py() or b"" for x in batch.column(1).cast(pa.binary()))
             sets = [shingles(x, words) for x in words_by_text(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "set"])

@@ -36,7 +36,7 @@ from itertools import chain, islice
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import sliced, written
 from ._memo import Memo
 from .bpe import byte_alphabet
 
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         memo = word_ids(path)
         end = struct.pack("<I", end_id)
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             texts = batch.column(2).cast(pa.binary())
             out: tuple = ([], [], [], [], [])
             for k in range(batch.num_rows):

@@ -23,7 +23,7 @@ from math import log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import fresh, sliced
 
 #: Fixed patterns of the base kinds, in the order of kinds.
 _any_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -248,8 +248,8 @@ def scan(docs: DataFrame, text_col: str = "text", redact: bool = False) -> DataF
         import pyarrow as pa
 
         made_type = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
-        for batch in batches:
-            made, texts = [], []
+        for batch in sliced(batches):
+            made, texts, changed = [], [], False
             for x in batch.column(at):
                 raw = x.as_py()
                 text = raw or ""
@@ -257,9 +257,11 @@ def scan(docs: DataFrame, text_col: str = "text", redact: bool = False) -> DataF
                 told = lambda some: ",".join(f"{k}:{a}:{b}" for a, k, b, _ in some)
                 count = lambda kind: sum(k == kind for _, k, _, _ in base)
                 made.append({"n_assign": count("assign"), "n_access": count("access"), "n_hex": count("hex"), "base_sha256": hashlib.sha256(told(base).encode()).hexdigest(), "spans": told(spans), "found": [{"kind": k, "start": a, "end": b} for a, k, b, _ in spans]})
-                texts.append(redacted(text, spans) if spans else raw)
+                if redact:
+                    changed = changed or bool(spans)
+                    texts.append(redacted(text, spans) if spans else raw)
             columns = [*batch.columns, pa.array(made, made_type)]
-            if redact:
+            if changed:
                 columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
