@@ -19,7 +19,7 @@ constant; each is hashed to a row of weights.
 3.  Scoring adds up log-probabilities in numpy.  Counts of at most ``HEAD`` frequent words travel with the model;
     the other words of each text meet their counts in a join, so nothing of the corpus' size passes the driver.
 
-The weight tables have ``ROWS`` rows each, a parameter: it is what every task holds and hands back.
+The weight tables have ``ROWS`` rows, a parameter: it is what every task holds and hands back.
 
 Defined cases: null counts as empty text, which is the end token alone.  Null ids count as the empty text in the
 split.  Repeated rows are counted as often as they occur and get equal scores.  An empty table gives an empty result.  Without training rows all
@@ -41,10 +41,10 @@ GROUPS = 16
 CLASSES = 16  # of a group
 OUTCOMES = 16  # of a class: its most frequent words and the remainder
 LEVELS = 3
-ROWS = 1 << 16
+ROWS = (1 << 16, 1 << 15, 1 << 15)  # of each level
 HEAD = 200_000
 ROUNDS = 2
-BATCH = 16_384
+BATCH = 32_768
 RATE = 0.25
 PRIOR = 8.0
 END, START = 11, 13
@@ -122,7 +122,7 @@ FEATURES = ([0, 1, 2, 3, 4, 5, 6], [0, 3, 4, 5, 6], [0, 1, 3, 6])
 
 def _rows(history, level: int, given):
     """Rows of weights (n, features) of a level; ``given`` is what the levels above chose."""
-    return (history[:, FEATURES[level]] + (given[:, None] + 1) * 2_097_169 * (level > 0)) % ROWS
+    return (history[:, FEATURES[level]] + (given[:, None] + 1) * 2_097_169 * (level > 0)) % ROWS[level]
 
 
 def _levels(words: Vocabulary, kind, place):
@@ -136,31 +136,31 @@ def _levels(words: Vocabulary, kind, place):
 def _softmax(weights, rows, mask):
     import numpy as np
 
-    z = weights[rows[:, 0]] + mask
+    z = weights.take(rows[:, 0], 0)
+    z += mask
     for k in range(1, rows.shape[1]):
-        z += weights[rows[:, k]]
-    z -= z.max(1, keepdims=True)
+        z += weights.take(rows[:, k], 0)
+    np.minimum(z, 60, out=z)  # weights stay far below; a float's exponential must not overflow
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z *= (1 / (z @ np.ones(z.shape[1], dtype=z.dtype)))[:, None]
     return z
 
 
-def _step(weights, squares, rows, target, mask, rate):
-    """One Adagrad step on a minibatch."""
+def _step(weights, squares, seen, rows, target, mask, rate):
+    """One Adagrad step on a minibatch; ``squares`` has a row for each outcome."""
     import numpy as np
 
     g = _softmax(weights, rows, mask)
     g[np.arange(len(g)), target] -= 1
-    at = rows.ravel()
-    touched = np.zeros(len(weights), dtype=bool)
-    touched[at] = True
-    change = np.empty((len(weights), g.shape[1]), dtype=np.float32)
-    for c in range(g.shape[1]):
-        change[:, c] = np.bincount(at, np.repeat(g[:, c], rows.shape[1]), len(weights))
-    change = change[touched]
-    squares[touched] += change * change
-    weights[touched] -= rate * change / np.sqrt(squares[touched])
-    return touched
+    by_outcome, at = np.ascontiguousarray(g.T, dtype=np.float64), rows.T.ravel()
+    seen[at] = True
+    change = np.empty_like(squares)
+    for c, x in enumerate(by_outcome):
+        change[c] = np.bincount(at, np.tile(x, rows.shape[1]), len(weights))
+    squares += change * change
+    change /= np.sqrt(squares)
+    change *= rate
+    weights -= change.T
 
 
 def _places(vocabulary: Vocabulary, key):
@@ -287,8 +287,8 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
     """The weight tables after ``rounds`` merged passes; round r reads the rows whose ``part`` is r."""
     import numpy as np
 
-    weights = [np.zeros((ROWS, n), dtype=np.float32) for n in (GROUPS, CLASSES, OUTCOMES)]
-    known = [np.zeros(ROWS, dtype=np.float32) for _ in weights]  # evidence so far
+    weights = [np.zeros((rows, n), dtype=np.float32) for rows, n in zip(ROWS, (GROUPS, CLASSES, OUTCOMES))]
+    known = [np.zeros(rows, dtype=np.float32) for rows in ROWS]  # evidence so far
     columns = [f"w{k}" for k in range(max(GROUPS, CLASSES, OUTCOMES))]
 
     for r in range(rounds):
@@ -299,8 +299,8 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
             from ._vector import blocks
 
             now = [w.copy() for w in begun]
-            squares = [np.repeat((PRIOR + e)[:, None], w.shape[1], 1) for w, e in zip(begun, before)]
-            seen = [np.zeros(ROWS, dtype=bool) for _ in begun]
+            squares = [np.repeat((PRIOR + e)[None, :], w.shape[1], 0) for w, e in zip(begun, before)]
+            seen = [np.zeros(rows, dtype=bool) for rows in ROWS]
             for batch in batches:
                 for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
                     key, bucket, doc = _tokens(data, starts)
@@ -312,18 +312,17 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
                         for level, which, given, target in _levels(words, kind[b], place[b]):
                             if len(given):
                                 rows = _rows(history[b][which], level, given)
-                                seen[level] |= _step(now[level], squares[level], rows, target, words.masks[level][given], RATE)
+                                _step(now[level], squares[level], seen[level], rows, target, words.masks[level][given], RATE)
             for level in range(LEVELS):
                 at = np.flatnonzero(seen[level])
-                change = (now[level] - begun[level])[at]
-                evidence = squares[level][at].mean(1) - PRIOR - before[level][at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level)), pa.array(at), pa.array(evidence), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
+                held = squares[level].mean(0)[at]
+                change = (now[level] - begun[level])[at] * held[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(held - PRIOR - before[level][at]), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
 
-        schema = "t long, row long, e float, " + ", ".join(f"{c} float" for c in columns)
+        schema = "t int, row int, e float, " + ", ".join(f"{c} float" for c in columns)
         changes = docs.where(part == r).select(text_or_empty(text_col)).mapInArrow(run, schema)
-        # Each change was held back by the prior and what was known before; all evidence together is held back by them once.
-        sums = changes.groupBy("t", "row").agg(F.sum("e").cast("float").alias("e"), *[F.sum(F.col(c) * F.col("e")).cast("float").alias(f"{c}_e") for c in columns], *[F.sum(c).cast("float").alias(c) for c in columns])
-        merged = sums.toArrow()  # at most LEVELS * ROWS rows
+        # Each change was held back by the prior and what was known before, besides its own evidence; all evidence together is held back by them once.
+        merged = changes.groupBy("t", "row").agg(*[F.sum(c).cast("float").alias(c) for c in ("e", *columns)]).toArrow()  # at most sum(ROWS) rows
         levels = merged["t"].to_numpy()
         weights, known = [w.copy() for w in weights], [e.copy() for e in known]
         for level in range(LEVELS):
@@ -331,7 +330,7 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
             at, e = merged["row"].to_numpy()[here], merged["e"].to_numpy()[here]
             base = PRIOR + known[level][at]
             for k, c in enumerate(columns):
-                weights[level][at, k] += (base * merged[c].to_numpy()[here] + merged[f"{c}_e"].to_numpy()[here]) / (base + e)
+                weights[level][at, k] += merged[c].to_numpy()[here] / (base + e)
             known[level][at] += e
     return weights
 
