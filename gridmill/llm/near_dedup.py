@@ -34,6 +34,7 @@ K = 32
 MISS = 1e-9
 SHORT = 32
 ROUNDS = 3
+PART = 512
 
 
 def least_shared(k: int, percent: int, miss: float = MISS) -> int:
@@ -103,6 +104,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return rows.join(wanted, "_key").select("node", "_text").mapInArrow(run, "node long, n long, set array<long>")
 
 
+def _salt(size: Column) -> Column:
+    """The part of a list of ``size`` members that a member is in: one for each ``PART`` of them."""
+    return F.pmod(F.hash("node"), F.ceil(size / PART).cast("int"))
+
+
+def _salts(size: Column) -> Column:
+    """All parts of a list of ``size`` members."""
+    return F.explode(F.sequence(F.lit(0), F.ceil(size / PART).cast("int") - 1))
+
+
 class _Search:
     """The candidate search and verification over classes."""
 
@@ -134,7 +145,7 @@ class _Search:
         return l.join(r, (l.v == r.v) & (F.col("a") < F.col("b")) & self.fits(*map(F.col, ("na", "ra", "nb", "rb")))).select("a", "b")
 
     def apart_pairs(self, lists: DataFrame) -> DataFrame:
-        """The pairs (a, b) across components that ``lists`` (v, node, n, r, typical, comp) leave possible.
+        """The pairs (a, b) across components that ``lists`` (v, m, node, n, r, typical, comp) leave possible; long lists meet their pivot in parts.
 
         Each list has a pivot p, its most typical member; D(x) is the symmetric difference of x and p.  Sets x and y are
         linked if and only if |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= h (n(x) + n(y)), h = (1 - t) / (1 + t).  If x is not
@@ -142,9 +153,9 @@ class _Search:
         """
         lists = written(lists)
         pivot = F.max(F.struct("typical", "node", "n", "comp")).alias("p")
-        open_ = lists.groupBy("v").agg(pivot, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        open_ = open_.select("v", F.col("p.node").alias("p"), F.col("p.n").alias("np"), F.col("p.comp").alias("pcomp"))
-        met = lists.join(open_, "v").where("node <> p").select("p", "np", "pcomp", "node", "n", "r", "comp").distinct()
+        open_ = lists.groupBy("v", "m").agg(pivot, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        open_ = open_.select("v", _salts(F.col("m")).alias("s"), F.col("p.node").alias("p"), F.col("p.n").alias("np"), F.col("p.comp").alias("pcomp"))
+        met = lists.withColumn("s", _salt(F.col("m"))).join(open_, ["v", "s"]).where("node <> p").select("p", "np", "pcomp", "node", "n", "r", "comp").distinct()
         full = lambda node, x: self.sets.select(F.col("node").alias(node), F.col("set").alias(x))
         both = met.join(full("node", "t"), "node").join(full("p", "tp"), "p")
         diff = F.concat(F.array_except("t", "tp"), F.array_except("tp", "t"))
@@ -174,26 +185,27 @@ class _Search:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def long_links(self, long: DataFrame, links: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links, labels) with those of the long lists (v, node, n, typical)."""
+        """(links, labels) with those of the long lists (v, m, node, n, r, typical), m members each."""
 
         def labelled(rows: DataFrame) -> DataFrame:
             return rows.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-        left = labelled(long.select("v", "node", "n", "r", "typical"))
+        left = labelled(long.select("v", "m", "node", "n", "r", "typical"))
         for _ in range(ROUNDS):
-            centre = left.groupBy("v").agg(F.max(F.struct("typical", "node", "n", "r", "comp")).alias("c"))
-            apart = written(left.join(centre, "v").where("comp <> c.comp"))
+            centre = left.groupBy("v", "m").agg(F.max(F.struct("typical", "node", "n", "r", "comp")).alias("c"))
+            centre = centre.select("v", _salts(F.col("m")).alias("s"), "c")
+            apart = written(left.withColumn("s", _salt(F.col("m"))).join(centre, ["v", "s"]).where("comp <> c.comp"))
             if apart.isEmpty():
                 break
             # A member tries one centre a round, the most typical of its lists.
             tried = apart.where(self.fits(*map(F.col, ("n", "r", "c.n", "c.r")))).groupBy("node").agg(F.max("c").alias("c"))
             links = written(links.union(self.links(tried.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")))))
             label = components(links)
-            now = labelled(apart.select("v", "node", "n", "r", "typical", F.col("c.node").alias("_c")))
+            now = labelled(apart.select("v", "m", "node", "n", "r", "typical", F.col("c.node").alias("_c")))
             of = label.select(F.col("node").alias("_c"), F.col("comp").alias("_comp"))
             left = written(now.join(of, "_c", "left").where("comp <> coalesce(_comp, _c)").drop("_c", "_comp"))
         # Whatever is still apart: by what sets differ in from a member of their list.
-        links = written(links.union(self.links(self.apart_pairs(labelled(long.select("v", "node", "n", "r", "typical"))))))
+        links = written(links.union(self.links(self.apart_pairs(labelled(long.select("v", "m", "node", "n", "r", "typical"))))))
         return links, components(links)
 
 
