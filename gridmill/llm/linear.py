@@ -1,14 +1,15 @@
 """Linear classifiers on naive Bayes features: quality (hinge loss, dual coordinate descent) and toxicity.
 
-N-gram indicators are scaled by the classes' log-count ratios r = log((p / |p|) / (q / |q|)), counted over all rows
-that are learnt from and shrunk towards 0 by ``CONFIDENCE`` standard errors, so n-grams seen a few times carry no
-weight.  Shards of those rows each fit a linear model by dual coordinate
+N-gram indicators are scaled by the classes' log-count ratios r = log((p / |p|) / (q / |q|)), counted over the rows
+of the fit and shrunk towards 0 by ``CONFIDENCE`` standard errors, so n-grams seen a few times carry no
+weight.  Shards of those rows, each in the order of a hash of the id, fit a linear model by dual coordinate
 descent (hinge loss) or its logistic counterpart, and the shards' weights are averaged; one fifth of each shard is
-held back to turn margins into probabilities by a logistic curve.  The fit reads at most about
+held back to turn margins into scores by a logistic curve, whose shift puts ``DECISION`` where the rarer class is told
+best on those rows (F1).  The fit reads at most about
 ``max_rows`` labelled rows, chosen by a hash of the id; scoring reads every text whole.
 
 Defined cases: null counts as empty text; an empty text scores with the model's constant alone.  Rows whose label or id is null
-are not learnt from; of several labels of an id the mean counts, 1 from one half.  Without both classes
+are not learnt from; of several labels of an id the mean counts, 1 from one half.  An empty table gives an empty result.  Without both classes
 every score is the share of class 1 (0.5 if no row can be learnt from).  Repeated rows get equal scores.
 """
 
@@ -24,6 +25,7 @@ from ._common import text_or_empty, written
 MAX_ROWS = 20_000
 SHARD_ROWS = 5_000
 CONFIDENCE = 2.0
+DECISION = 0.7
 
 
 @dataclass
@@ -96,6 +98,24 @@ def curve(margins, labels) -> tuple[float, float]:
     return float(max(ab[0], 1e-3) / scale), float(ab[1])
 
 
+def best_cut(margins, labels) -> float:
+    """The margin that tells the rarer class best, by F1; the middle one of those nearly as good."""
+    import numpy as np
+
+    m, y = np.asarray(margins, float), np.asarray(labels, int)
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    if 2 * y.sum() > len(y):  # class 0 is the rarer: the same from the other side
+        return -best_cut(-m, 1 - y)
+    order = np.argsort(-m, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    ends = np.append(m[order][:-1] > m[order][1:], True)  # equal margins fall on one side
+    good = np.flatnonzero(ends & (f1 >= f1[ends].max() - 0.002))
+    k = good[len(good) // 2]
+    return float(m[order][k] if k + 1 == len(m) else (m[order][k] + m[order][k + 1]) / 2)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, kind: str, loss: str, cost: float, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS) -> Model:
     """Fit on the labelled rows of ``docs`` for which ``learn`` (of the id) holds."""
     import numpy as np
@@ -145,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, kind: str
     def train(pdf):
         import pandas as pd
 
+        pdf = pdf.assign(size=pdf["slots"].map(len)).sort_values(["mix", "y", "size"], kind="stable")
         held = (pdf["mix"].to_numpy() // 64) % 5 == 0
         x, y_ = list(pdf["slots"]), pdf["y"].to_numpy()
         if len({*y_[~held]}) < 2 or len({*y_[held]}) < 2:
@@ -165,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, kind: str
         else:
             weights[s] = w
     held_back = fitted.where("s = -2").select("w", "y").toPandas()  # a fifth of max_rows
-    slope, shift = curve(held_back["w"], held_back["y"])
+    held_back = held_back.sort_values(["w", "y"])
+    slope, _ = curve(held_back["w"], held_back["y"])
+    shift = float(np.log(DECISION / (1 - DECISION))) - slope * best_cut(held_back["w"], held_back["y"])
     return Model(kind, weights.astype(np.float32), float(constant), slope, shift)
 
 

@@ -88,11 +88,12 @@ def shingle_sets(pairs, size):
     return out
 
 
-@pytest.mark.parametrize(("short", "rounds"), [(32, 3), (3, 3), (3, 0)])
-def test_near_dedup(spark, monkeypatch, short, rounds):
+@pytest.mark.parametrize(("short", "rounds", "part"), [(32, 3, 512), (3, 3, 4), (3, 0, 4)])
+def test_near_dedup(spark, monkeypatch, short, rounds, part):
     """Chains, copies, groups around a centre and passages that many documents share; without rounds, differences alone find the links."""
     monkeypatch.setattr(near_dedup, "SHORT", short)
     monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "PART", part)
     rnd, texts = random.Random(3), []
     for g in range(12):
         base = prose(g, 120, 5000).split()
@@ -197,6 +198,39 @@ def test_classifiers_held_out(labels, make, label, least, edge):
     assert len(rows) == edge.count() and all(0 <= r.score <= 1 for r in rows)
     none = make(df, lab.limit(0), learn)
     assert {r.score for r in score(edge, none).collect()} == {0.5}
+    assert score(edge.limit(0), model).count() == 0
+    assert {r.score for r in score(edge, make(df.limit(0), lab, learn)).collect()} == {0.5}
+    again = make(df.repartition(7), lab, learn)  # shards are learnt in an order of their own
+    assert abs(again.weights - model.weights).max() == 0 and again.shift == model.shift
+
+
+def test_best_cut_by_trying_all():
+    from gridmill.llm.linear import best_cut
+
+    rnd = random.Random(2)
+    for share in (0.1, 0.5, 0.9):
+        y = [int(rnd.random() < share) for _ in range(200)]
+        m = [round(rnd.gauss(2 * x - 1, 1), 1) for x in y]
+
+        def f1(cut, y=y, m=m):
+            rare = int(2 * sum(y) <= len(y))
+            told = [int(x >= cut) for x in m]
+            hit = sum(a == b == rare for a, b in zip(told, y))
+            return 2 * hit / (told.count(rare) + y.count(rare))
+
+        assert f1(best_cut(m, y)) >= max(f1(c) for c in m) - 0.0021
+    assert best_cut([1.0, 2.0], [1, 1]) == 0.0
+
+
+def test_toxicity_held_out_on_its_own_split(spark, sf):
+    """The query's own split: precision and recall at 0.7 on the rows held out from it."""
+    from gridmill.llm.queries import op5_toxicity
+
+    big = sf.replace("sf0.001", "sf0.1")
+    lab = spark.read.parquet(f"{big}/labels.parquet").where("toxic IS NOT NULL")
+    rows = op5_toxicity(spark, big).join(lab, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit / sum(r.predicted for r in rows) >= 0.85 and hit / sum(r.toxic for r in rows) >= 0.7
 
 
 def brute_base(text):
