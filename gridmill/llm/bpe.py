@@ -12,10 +12,12 @@ positions is final.  The transducer emits such tokens and forgets them, so pendi
 stays within a few lookaheads however long a piece is.
 
 Decoding feeds token bytes to an incremental byte-to-text state machine; bytes that are not
-UTF-8 become U+FFFD.
+UTF-8 become U+FFFD.  Texts pass through both some tens of thousands of characters at a time, cut where a pre-token starts for
+certain, so besides the text itself memory doesn't grow with it.  A stretch without such a place is one part; a pre-token in it
+still streams.
 
 Defined cases: null counts as empty text, which has no tokens.  The special token's own string in a text is that
-token, as in the tokenizers library.  Rows are encoded one by one, so ties, repeated rows and null ids need no care.
+token, as in the tokenizers library.  An empty table gives an empty result.  Rows are encoded one by one, so ties, repeated rows and null ids need no care.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +75,7 @@ class Bpe:
         self.follows: dict[tuple[int, int], bool] = {}
         self.pretokens = regex.compile(PATTERN).findall
         self.space_run = regex.compile(rf" [{WS}]").search
+        self.boundary = regex.compile(rf"(?<=[^{WS}]) (?=[^{WS}])").search
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
         self.pieces, self.memo = Memo(self._piece), Memo(self._unit, memo)
 
@@ -167,6 +171,18 @@ class Bpe:
         # A single space before a word always starts a pre-token.
         return b"".join([get(first) if first else b"", *[get(" " + w) for w in rest]])
 
+    def parts(self, text: str, step: int = 1 << 16) -> Iterator[bytes]:
+        """Ids of ``text``, some tens of thousands of characters at a time.
+
+        A part ends before a single space between two other characters, where a pre-token always starts and which no special token holds.
+        """
+        at = 0
+        while at < len(text):
+            cut = self.boundary(text, at + step)
+            end = cut.start() if cut else len(text)
+            yield self.encode(text[at:end])
+            at = end
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
         if not self.special or not self.at_special.search(text):
@@ -180,9 +196,9 @@ class Bpe:
     def decode(self, ids: Iterable[int], step: int = 4096) -> Iterator[str]:
         """The text of ``ids``, in parts."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        get, ids = self.bytes_of.__getitem__, list(ids)
-        for k in range(0, len(ids), step):
-            yield machine.decode(b"".join(map(get, ids[k : k + step])))
+        get, ids = self.bytes_of.__getitem__, iter(ids)
+        while some := b"".join(map(get, islice(ids, step))):
+            yield machine.decode(some)
         yield machine.decode(b"", True)
 
 
@@ -206,19 +222,27 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in sliced(batches):
             out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_values else {})
             for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                values = np.frombuffer(ids, "<u4").tolist()
-                digest, parts = hashlib.sha256(), []
-                for part in bpe.decode(values):
+                told, digest, sizes, kept, decoded = hashlib.sha256(), hashlib.sha256(), [], [], []
+
+                def fed(text=text, told=told, sizes=sizes, kept=kept):
+                    """The ids one by one, as the encoder emits them."""
+                    for part in bpe.parts(text.as_py() or ""):
+                        told.update(part)
+                        sizes.append(len(part) // 4)
+                        if with_values:
+                            kept.append(part)
+                        yield from np.frombuffer(part, "<u4").tolist()
+
+                for part in bpe.decode(fed()):
                     digest.update(part.encode())
                     if with_values:
-                        parts.append(part)
-                out["n_tokens"].append(len(values))
-                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                        decoded.append(part)
+                out["n_tokens"].append(sum(sizes))
+                out["ids_sha256"].append(told.hexdigest())
                 out["decoded_sha256"].append(digest.hexdigest())
                 if with_values:
-                    out["ids"].append(values)
-                    out["decoded"].append("".join(parts))
+                    out["ids"].append(np.frombuffer(b"".join(kept), "<u4").tolist())
+                    out["decoded"].append("".join(decoded))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out.values())], names=["_id", *out])
 
     # An empty batch has no types of its own, so the schema names them.

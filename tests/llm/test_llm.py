@@ -475,7 +475,16 @@ def test_bpe_stream_is_bounded(bpe):
     assert "".join(bpe.decode(ids)).endswith("�") or len(ids) == 3
 
 
+def test_bpe_parts_equal_the_whole(bpe):
+    for text in [*odd_texts(), "a <|endoftext|> b<|endoftext|>  c  d 　 e 's don't " * 40]:
+        for step in (1, 7, 50):
+            assert b"".join(bpe.parts(text, step)) == bpe.encode(text)
+    sizes = [len(x) for x in bpe.parts("some words and more " * 50_000)]
+    assert len(sizes) > 10 and max(sizes) < 4 * (1 << 16)
+
+
 def test_bpe_operator(edge, reference):
+    assert encode_decode(edge.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
     rows = encode_decode(edge, vocabulary("byte_bpe_50k.json")).collect()
     assert len(rows) == edge.count()
     tok = reference("byte_bpe_50k.json")
