@@ -1,4 +1,13 @@
-"""A training corpus from raw documents: each stage is one operator on all that its predecessor kept."""
+"""A training corpus from raw documents: each stage is one operator on all that its predecessor kept.
+
+Defined cases, by stage.  All: an empty table gives an empty result with the stage's columns, and columns besides ``doc_id`` and ``text`` pass
+through whatever they are called.
+quality_rules: null and empty texts, and all under 20 words, fail the base rules and go; repeated rows get one verdict.
+exact_dedup: of equal texts the row with the smallest id stays, rows without id last; of rows with equal id and text one stays.
+near_dedup: the same order among near copies; of rows with equal id and text one stays, and texts without words all stay.
+secrets: no row goes; a null text stays null, and ``n_chars``, if there is one, follows a text that changes.
+packing: a null text is one piece that holds the end alone; rows without id and repeated rows are packed like others.
+"""
 
 from __future__ import annotations
 
@@ -38,6 +47,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text replaced and n_chars brought up to date."""
     clean = scan(docs, redact=True)
+    if "n_chars" not in docs.columns:
+        return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
     found = F.size(F.col(f"`{clean.columns[-1]}`.found")) > 0
     n_chars = F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return clean.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

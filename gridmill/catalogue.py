@@ -387,7 +387,26 @@ for _n, (_raw, _agg) in PANELS.items():
     query(f"panel_{_n}_aggregate", *PANEL_SQL[_n])(_agg)
 
 
-@query("panel_compare", "r m", " UNION ALL ".join(f"SELECT '{n}' AS panel, '{v}' AS value, count(*) AS cells, 0::BIGINT AS unmatched, 0.0::DOUBLE AS max_difference, true AS passes FROM ({PANEL_SQL[n][1]})" for n in PANEL_SQL for v in (["completeness_pct"] if n == 5 else ["energy_kwh", "reading_count"])))
+#: The panels once more, from rollups that SQL makes itself.
+ROLLED = {"c15": f"SELECT {B15} AS bucket, region, sum(e)::DOUBLE AS e, count(*) AS n FROM r {JM} GROUP BY 1, 2", "c60": f"SELECT {B60} AS bucket, region, sum(e)::DOUBLE AS e, count(*) AS n FROM r {JM} GROUP BY 1, 2", "cday": f"SELECT {BDAY} AS bucket, meter_id, sum(e)::DOUBLE AS e, count(*) AS n FROM r GROUP BY 1, 2"}
+SUMS, STORED_SNAP = "sum(e::DECIMAL(20,8))::DOUBLE AS energy_kwh, sum(n)::BIGINT AS reading_count", IN("bucket", RANGE)
+ROLLED_PANEL_SQL = {
+    1: f"SELECT bucket AS time, region AS metric, {SUMS} FROM c60 WHERE {STORED_SNAP} GROUP BY 1, 2",
+    2: f"SELECT date_trunc('day', bucket + INTERVAL 2 HOUR) - INTERVAL 2 HOUR AS time, {SUMS} FROM c15 WHERE {STORED_SNAP} GROUP BY 1",
+    3: f"SELECT strftime(time_bucket(INTERVAL 7 DAY, bucket + INTERVAL 2 HOUR, TIMESTAMP '{ORIGIN}'), '%d %b') AS period, {SUMS} FROM c15 WHERE {STORED_SNAP} GROUP BY time_bucket(INTERVAL 7 DAY, bucket + INTERVAL 2 HOUR, TIMESTAMP '{ORIGIN}')",
+    4: f"SELECT bucket AS time, {SUMS} FROM cday WHERE meter_id = {METER} AND {STORED_SNAP} GROUP BY 1, meter_id",
+    5: f"SELECT region, 100.0::DOUBLE * coalesce(n, 0) / (k * 96 * 7) AS completeness_pct FROM (SELECT region, count(*) AS k FROM m GROUP BY 1) LEFT JOIN (SELECT region, sum(n) AS n FROM c15 WHERE {STORED_SNAP} GROUP BY 1) USING (region)",
+}
+COMPARED = " UNION ALL ".join(
+    f"SELECT '{n}' AS panel, '{v}' AS value, count(*) AS cells, count(*) FILTER (WHERE a._l IS NULL OR b._r IS NULL) AS unmatched, round(max(abs(a.{v}::DOUBLE - b.{v}::DOUBLE)), 6) AS max_difference, count(*) FILTER (WHERE a._l IS NULL OR b._r IS NULL) = 0 AND coalesce(max(abs(a.{v}::DOUBLE - b.{v}::DOUBLE)), 0) <= 0.001 AS passes "
+    f"FROM (SELECT *, 1 AS _l FROM ({PANEL_SQL[n][1]})) a FULL JOIN (SELECT *, 1 AS _r FROM ({ROLLED_PANEL_SQL[n]})) b USING ({', '.join(panels.KEYS[n])})"
+    for n in PANEL_SQL for v in (["completeness_pct"] if n == 5 else ["energy_kwh", "reading_count"])
+)
+CTES |= ROLLED
+NEEDS |= {"c15": "r m", "c60": "r m", "cday": "r"}
+
+
+@query("panel_compare", "c15 c60 cday", COMPARED)
 def panel_compare(s, d):
     """Every cell of every panel, raw against rollup."""
     found = None
