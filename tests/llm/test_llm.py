@@ -715,3 +715,31 @@ def test_pipeline(spark, sf, tmp_path):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in texts}
     check_packing(rows, 4096)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, rows without id, columns of the stages' own names, and an empty table."""
+    import corpus_pipeline
+
+    good = [prose(k, 60, 4000) for k in range(6)]
+    texts = [None, "", "few words", good[0], good[0], good[0] + " more", good[1] + ' password = "hunter2hunter2"', good[2] * 200, good[3], good[3], good[4], *good[4:]]
+    ids = [1, 2, 3, 4, 4, 5, 6, 7, None, 8, 9, 9, 10]
+    df = docs(spark, texts, ids).withColumns({c: F.lit(1) for c in ("_kept", "rules", "secrets", "_mark", "_key", "_row", "_copies", "kept")})
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), df.schema)
+        assert now.columns == df.columns
+        kept.append(sorted(r.doc_id for r in now.where("doc_id IS NOT NULL").collect()))
+    assert not {1, 2, 3} & set(kept[0])
+    assert len(kept[1]) == len(set(kept[1])) and set(kept[1]) <= set(kept[0]) and kept[3] == kept[2]
+    assert not ({4, 5} <= set(kept[2])) and now.where("text LIKE '%hunter2%'").count() == 0
+    changed = now.where("doc_id = 6").first()
+    assert changed is None or changed.n_chars == len(changed.text)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in now.collect()}
+    check_packing(rows, 4096)
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    assert corpus_pipeline.secrets(spark, df.drop("n_chars"), "").columns == [c for c in df.columns if c != "n_chars"]
