@@ -19,7 +19,8 @@ constant; each is hashed to a row of weights.
 3.  Scoring adds up log-probabilities in numpy.  Counts of at most ``HEAD`` frequent words travel with the model;
     the other words of each text meet their counts in a join, so nothing of the corpus' size passes the driver.
 
-The weight tables have ``ROWS`` rows, a parameter: it is what every task holds and hands back.
+The weight tables have ``ROWS`` rows, a parameter: it is what every training task holds and hands back, and a task
+reads ``TASK_TOKENS`` tokens or more where there are as many.
 
 Defined cases: null counts as empty text, which is the end token alone.  Null ids count as the empty text in the
 split.  Repeated rows are counted as often as they occur and get equal scores.  An empty table gives an empty result.  Without training rows all
@@ -44,8 +45,9 @@ LEVELS = 3
 ROWS = (1 << 16, 1 << 15, 1 << 15)  # of each level
 HEAD = 200_000
 ROUNDS = 2
-BATCH = 32_768
-RATE = 0.25
+BATCH = 65_536
+TASK_TOKENS = 2_000_000
+RATE = 0.4
 PRIOR = 8.0
 END, START = 11, 13
 PAIR = -1  # stands for the bucket in rows that count pairs
@@ -320,7 +322,9 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(held - PRIOR - before[level][at]), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
 
         schema = "t int, row int, e float, " + ", ".join(f"{c} float" for c in columns)
-        changes = docs.where(part == r).select(text_or_empty(text_col)).mapInArrow(run, schema)
+        # What a task hands back doesn't depend on its size, so small partitions are read together: tasks grow with the tokens alone.
+        tasks = max(1, -(-words.n // (rounds * TASK_TOKENS)))
+        changes = docs.where(part == r).select(text_or_empty(text_col)).coalesce(tasks).mapInArrow(run, schema)
         # Each change was held back by the prior and what was known before, besides its own evidence; all evidence together is held back by them once.
         merged = changes.groupBy("t", "row").agg(*[F.sum(c).cast("float").alias(c) for c in ("e", *columns)]).toArrow()  # at most sum(ROWS) rows
         levels = merged["t"].to_numpy()
