@@ -28,6 +28,12 @@ class Rollup:
     def bucket(self) -> Column:
         return local_bucket(F.col(self.time), self.width, self.zone)
 
+    def schema(self) -> str:
+        """What a store of this rollup holds; its partitions are local days."""
+        kinds = {"meter_id": "bigint"}
+        keys = "".join(f"{k} {kinds.get(k, 'string')}, " for k in self.keys)
+        return f"bucket timestamp_ntz, {keys}energy_kwh double, power_kw_sum double, reading_count bigint, day date"
+
     def compute(self, readings: DataFrame, meters: DataFrame | None = None) -> DataFrame:
         """Bucket sums and counts; averages are made from them at read time."""
         df = readings.join(meters.select("meter_id", "region"), "meter_id") if "region" in self.keys else readings
@@ -108,7 +114,7 @@ class Store:
 
     def stored(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.schema(self.rollup.schema()).parquet(self.path)
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None

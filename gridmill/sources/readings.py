@@ -11,6 +11,7 @@ READINGS = (
     "meter_id bigint, event_time timestamp_ntz, received_time timestamp_ntz, power_kw double, "
     "voltage_v double, current_a double, frequency_hz double, energy_kwh double"
 )
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, value double"
 VALUES = ["received_time", "power_kw", "voltage_v", "current_a", "frequency_hz", "energy_kwh"]
 METERS = "meter_id bigint, region string, customer_type string, base_power_kw double, power_factor double"
 #: Fixed values of the data model.
@@ -27,9 +28,14 @@ def type_of(meter: Column) -> Column:
     return F.when(meter % 20 < 13, "residential").when(meter % 20 < 18, "commercial").otherwise("industrial")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table; its schema is declared, so no job has to look for it."""
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean readings from ``events``: a user is a meter, a value its power."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = events(spark, sf_dir)
     minutes = F.when(F.col("event_id") % 50 == 0, 30 + F.col("event_id") % 151).otherwise(15).cast("int")
     voltage = 226.0 + (F.col("event_id") % 8)
     return e.select(
@@ -54,7 +60,7 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = events(spark, sf_dir)
     ids = e.select(F.col("user_id").alias("meter_id")).distinct()
     m = F.col("meter_id")
     return ids.select(m, region_of(m).alias("region"), type_of(m).alias("customer_type"), (m % 7 + 0.5).alias("base_power_kw"), F.lit(POWER_FACTOR).alias("power_factor"))

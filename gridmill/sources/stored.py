@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from . import scratch
 
+_schemas: dict[str, StructType] = {}
 _made: dict[tuple[str, str, str], str] = {}
 
 
@@ -28,4 +30,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], Non
 
 def table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives, written once and read from then on."""
-    return spark.read.parquet(once(spark, sf_dir, name, lambda path: make().write.parquet(path)))
+    path = once(spark, sf_dir, name, lambda path: make().write.parquet(path))
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
