@@ -45,7 +45,7 @@ LEVELS = 3
 ROWS = (1 << 16, 1 << 15, 1 << 15)  # of each level
 HEAD = 200_000
 ROUNDS = 2
-BATCH = 65_536
+FIRST, BATCH = 512, 65_536  # tokens of the first minibatches, and of the largest
 TASK_TOKENS = 2_000_000
 RATE = 0.4
 PRIOR = 8.0
@@ -302,15 +302,17 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
 
             now = [w.copy() for w in begun]
             squares = [np.repeat((PRIOR + e)[None, :], w.shape[1], 0) for w, e in zip(begun, before)]
-            seen = [np.zeros(rows, dtype=bool) for rows in ROWS]
+            seen, done = [np.zeros(rows, dtype=bool) for rows in ROWS], 0
             for batch in batches:
                 for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
                     key, bucket, doc = _tokens(data, starts)
                     kind = words.of_bucket[bucket]
                     history = _history(key, kind, doc)
                     place = _outcomes(words, _places(words, key))
-                    for a in range(0, len(key), BATCH):
-                        b = slice(a, a + BATCH)
+                    a = 0
+                    while a < len(key):
+                        b = slice(a, a + min(BATCH, max(FIRST, done // 4)))  # a quarter of what was seen, so a small part gets many steps too
+                        done, a = done + len(kind[b]), b.stop
                         for level, which, given, target in _levels(words, kind[b], place[b]):
                             if len(given):
                                 rows = _rows(history[b][which], level, given)

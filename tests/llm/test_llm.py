@@ -675,10 +675,11 @@ def test_lm_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=1e-5)
 
 
-def test_lm_learns_more_from_more_partitions(spark):
+def test_lm_learns_more_from_more_partitions(spark, monkeypatch):
     """Evidence that partitions gather apart counts as if one had seen it, and doesn't fade in a mean."""
     import numpy as np
 
+    monkeypatch.setattr(lm_scoring, "TASK_TOKENS", 1)
     rnd = random.Random(8)
     line = lambda: " ".join(x for _ in range(12) for x in rnd.choice([("kaffee", "tasse"), ("rotes", "licht"), ("zum", "hafen")]))
     texts = [line() for _ in range(320)]
