@@ -42,6 +42,7 @@ from .bpe import byte_alphabet
 
 CAPACITY = 4096
 SALTS = 64
+PART = 1_000_000  # pieces of one length that a task ranks at most, or so
 NODES = 16_000
 FEW = 300
 FILLINGS = 4
@@ -389,9 +390,10 @@ def slots(patterns: list[tuple[Pattern, int]], capacity: int):
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, salts: int = SALTS) -> DataFrame:
-    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    salt = F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")
-    rows = written(pieces(docs, path, id_col, text_col, capacity, end_id).withColumn("_salt", salt))
+    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset; a length is dealt to ``salts`` tasks, or more of a large table."""
+    rows = written(pieces(docs, path, id_col, text_col, capacity, end_id))
+    salts = max(salts, rows.count() // PART)
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     by_salt = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # at most capacity * salts rows
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     table = slots(packed(counts, capacity)[0], capacity)
