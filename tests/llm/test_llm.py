@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from gridmill.llm import exact_dedup as exact_dedup_module
 from gridmill.llm import lm_scoring, near_dedup, packing, quality_rules, secrets, token_counts
 from gridmill.llm._common import vocabulary
 from gridmill.llm.bpe import Bpe, encode_decode
@@ -46,7 +47,9 @@ def sample(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def test_exact_dedup(spark, edge):
+@pytest.mark.parametrize("run_rows", [5_000_000, 1])
+def test_exact_dedup(spark, edge, monkeypatch, run_rows):
+    monkeypatch.setattr(exact_dedup_module, "RUN_ROWS", run_rows)
     rows = exact_dedup(edge, runs=8, fan_in=3).collect()
     assert len(rows) == edge.count()
     groups = defaultdict(list)
