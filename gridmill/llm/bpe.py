@@ -33,7 +33,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sliced
+from ._common import sliced, tidied
 from ._memo import Memo
 
 #: The byte-level alphabet's printable ranges, and the pre-tokenizer's pattern with white space spelt out.
@@ -248,4 +248,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     # An empty batch has no types of its own, so the schema names them.
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_values else "")
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidied(run), schema).withColumnRenamed("_id", id_col)

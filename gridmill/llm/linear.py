@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty, written
+from ._common import sliced, text_or_empty, tidied, written
 
 MAX_ROWS = 20_000
 SHARD_ROWS = 5_000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, kind: str
 
         from ._features import EXTRACTORS
 
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             texts = (x.as_py() or b"" for x in batch.column(2).cast(pa.binary()))
             # A few hundred rows at a time, as flat arrays: a batch's slots as Python lists would take a gigabyte.
             for at in range(0, batch.num_rows, 256):
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, kind: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(slots)))], names=["mix", "y", "slots"])
 
     joined = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(y, F.col("_id") == F.col("_lid"))
-    rows = written(joined.select(mix, "_y", "_text").mapInArrow(extract, "mix long, y int, slots array<int>"))
+    rows = written(joined.select(mix, "_y", "_text").mapInArrow(tidied(extract), "mix long, y int, slots array<int>"))
 
     size = 1 << BITS
     counts = np.zeros((2, size))
@@ -201,13 +201,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         from ._features import EXTRACTORS
 
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             texts = (x.as_py() or b"" for x in batch.column(1).cast(pa.binary()))
             margin = np.fromiter((float(model.weights[s].sum()) + model.constant for s in EXTRACTORS[model.kind](texts)), dtype=float, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(margin))], names=["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(tidied(run), f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> Model:

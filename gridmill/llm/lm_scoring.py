@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, text_or_empty, written
+from ._common import crc_mod, sliced, text_or_empty, tidied, written
 
 BUCKETS = 2048
 CONTEXTS = 256
@@ -227,7 +227,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
         pairs = np.zeros(BUCKETS * CONTEXTS, dtype=np.int64)
         made = lambda key, bucket, c: pa.RecordBatch.from_arrays([pa.array(key), pa.array(bucket), pa.array(c)], names=["key", "bucket", "c"])
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
                 key, bucket, doc = _tokens(data, starts)
                 keys, at, n = np.unique(key, return_index=True, return_counts=True)
@@ -237,7 +237,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
         at = np.flatnonzero(pairs)
         yield made(at, np.full(len(at), PAIR), pairs[at])
 
-    counted = docs.select(text_or_empty(text_col)).mapInArrow(run, "key long, bucket long, c long")
+    counted = docs.select(text_or_empty(text_col)).mapInArrow(tidied(run), "key long, bucket long, c long")
     return counted.groupBy("key", "bucket").agg(F.sum("c").alias("c"))
 
 
@@ -303,7 +303,7 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
             now = [w.copy() for w in begun]
             squares = [np.repeat((PRIOR + e)[None, :], w.shape[1], 0) for w, e in zip(begun, before)]
             seen, done = [np.zeros(rows, dtype=bool) for rows in ROWS], 0
-            for batch in batches:
+            for batch in sliced(batches, 2048):
                 for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
                     key, bucket, doc = _tokens(data, starts)
                     kind = words.of_bucket[bucket]
@@ -326,7 +326,7 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
         schema = "t int, row int, e float, " + ", ".join(f"{c} float" for c in columns)
         # What a task hands back doesn't depend on its size, so small partitions are read together: tasks grow with the tokens alone.
         tasks = max(1, -(-words.n // (rounds * TASK_TOKENS)))
-        changes = docs.where(part == r).select(text_or_empty(text_col)).coalesce(tasks).mapInArrow(run, schema)
+        changes = docs.where(part == r).select(text_or_empty(text_col)).coalesce(tasks).mapInArrow(tidied(run), schema)
         # Each change was held back by the prior and what was known before, besides its own evidence; all evidence together is held back by them once.
         merged = changes.groupBy("t", "row").agg(*[F.sum(c).cast("float").alias(c) for c in ("e", *columns)]).toArrow()  # at most sum(ROWS) rows
         levels = merged["t"].to_numpy()
@@ -374,7 +374,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         from ._vector import blocks
 
         known_log = np.log10(words.counts + 0.5) if len(words.keys) else np.zeros(1)
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
             tail_keys, tail_n, sizes = [], [], []
             for data, starts in blocks(x.as_py() or b"" for x in batch.column(3).cast(pa.binary())):
@@ -405,7 +405,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), held_out, text_or_empty(text_col))
-    scored = written(picked.mapInArrow(run, f"_row long, _id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<long>"))
+    scored = written(picked.mapInArrow(tidied(run), f"_row long, _id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, tail_n array<long>"))
 
     tail = scored.select("_row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("_row", F.col("x.tail").alias("key"), F.col("x.tail_n").alias("_n"))
     met = tail.join(counts.where(F.col("bucket") != PAIR).select("key", "c"), "key", "left")

@@ -27,7 +27,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, sliced, text_or_empty, written
+from ._common import fresh, sliced, text_or_empty, tidied, written
 from ._graph import components
 
 K = 32
@@ -84,7 +84,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) -
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), _row_key(id_col, text_col), text_or_empty(text_col))
-    return rows.mapInArrow(run, f"_id {kind}, _key string, n long, f1 long, f2 long, sketch array<long>")
+    return rows.mapInArrow(tidied(run), f"_id {kind}, _key string, n long, f1 long, f2 long, sketch array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "set"])
 
     rows = docs.select(_row_key(id_col, text_col).alias("_key"), text_or_empty(text_col).alias("_text"))
-    return rows.join(wanted, "_key").select("node", "_text").mapInArrow(run, "node long, n long, set array<long>")
+    return rows.join(wanted, "_key").select("node", "_text").mapInArrow(tidied(run), "node long, n long, set array<long>")
 
 
 def _salt(size: Column) -> Column:

@@ -36,7 +36,7 @@ from itertools import chain, islice
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import sliced, written
+from ._common import sliced, tidied, written
 from ._memo import Memo
 from .bpe import byte_alphabet
 
@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.monotonically_increasing_id(), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, f"_id {kind}, _row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidied(run), f"_id {kind}, _row long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -428,5 +428,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = ranked.mapInArrow(place, f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.mapInArrow(tidied(place), f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

@@ -23,7 +23,7 @@ from math import log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, sliced
+from ._common import fresh, sliced, tidied
 
 #: Fixed patterns of the base kinds, in the order of kinds.
 _any_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -267,4 +267,4 @@ def scan(docs: DataFrame, text_col: str = "text", redact: bool = False) -> DataF
 
     typed = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)]
     flat = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    return flat.mapInArrow(run, ", ".join([*typed, f"c{len(typed)} struct<{fields.replace(' long', ':long').replace(' string', ':string').replace('found array', 'found:array')}>"])).toDF(*docs.columns, out)
+    return flat.mapInArrow(tidied(run), ", ".join([*typed, f"c{len(typed)} struct<{fields.replace(' long', ':long').replace(' string', ':string').replace('found array', 'found:array')}>"])).toDF(*docs.columns, out)
