@@ -42,10 +42,10 @@ GROUPS = 16
 CLASSES = 16  # of a group
 OUTCOMES = 16  # of a class: its most frequent words and the remainder
 LEVELS = 3
-ROWS = (1 << 16, 1 << 15, 1 << 15)  # of each level
+ROWS = (1 << 16, 1 << 15, 1 << 15)  # of each level; powers of two, as BUCKETS is
 HEAD = 200_000
 ROUNDS = 2
-FIRST, BATCH = 512, 65_536  # tokens of the first minibatches, and of the largest
+FIRST, BATCH = 512, 100_000  # tokens of the first minibatches, and of the largest, about a block
 TASK_TOKENS = 2_000_000
 RATE = 0.4
 PRIOR = 8.0
@@ -88,7 +88,7 @@ def _tokens(data: bytes, starts):
         ending = np.zeros(len(h), dtype=np.uint64)
         for k in (3, 2, 1):
             ending = ending * U(257) + np.where(end - first >= k, low[a[np.maximum(end - k, 0)]], U(0))
-        bucket[at] = (mixed(ending + U(1)) % U(BUCKETS)).astype(np.int64)
+        bucket[at] = (mixed(ending + U(1)) & U(BUCKETS - 1)).astype(np.int64)
     return key, bucket, np.repeat(np.arange(len(starts)), size)
 
 
@@ -114,8 +114,11 @@ def _history(key, kind, doc):
         g.append(shifted(g[-1], U(GROUPS)))
     groups = ((g[0] * U(32) + g[1]) * U(32) + g[2]) * U(32) + g[3]
     raw = (w1, w1 * U(P) + w2, w2 * U(3), c1, c1 * U(512) + c2, groups)
-    hashed = [(mixed(x * U(8) + U(k + 1) + (x >> U(61))) % U(1 << 40)).astype(np.int64) for k, x in enumerate(raw)]
-    return np.stack([*hashed, np.zeros(len(key), dtype=np.int64)], 1)
+    hashed = [(mixed(x * U(8) + U(k + 1) + (x >> U(61))) & U((1 << 40) - 1)).view(np.int64) for k, x in enumerate(raw)]
+    out = np.zeros((len(key), len(hashed) + 1), dtype=np.int64)
+    for k, x in enumerate(hashed):
+        out[:, k] = x
+    return out
 
 
 #: The features of each level: groups by all, classes without the word pair and the skip, words without groups and the skip.
@@ -124,7 +127,12 @@ FEATURES = ([0, 1, 2, 3, 4, 5, 6], [0, 3, 4, 5, 6], [0, 1, 3, 6])
 
 def _rows(history, level: int, given):
     """Rows of weights (n, features) of a level; ``given`` is what the levels above chose."""
-    return (history[:, FEATURES[level]] + (given[:, None] + 1) * 2_097_169 * (level > 0)) % ROWS[level]
+    import numpy as np
+
+    rows = history.take(FEATURES[level], 1)
+    if level:
+        rows += (given[:, None] + 1) * 2_097_169
+    return np.bitwise_and(rows, ROWS[level] - 1, out=rows)
 
 
 def _levels(words: Vocabulary, kind, place):
@@ -157,8 +165,10 @@ def _step(weights, squares, seen, rows, target, mask, rate):
     by_outcome, at = np.ascontiguousarray(g.T, dtype=np.float64), rows.T.ravel()
     seen[at] = True
     change = np.empty_like(squares)
+    spread = np.empty((rows.shape[1], len(rows)))  # one buffer: a new array for each outcome costs more than the counting
     for c, x in enumerate(by_outcome):
-        change[c] = np.bincount(at, np.tile(x, rows.shape[1]), len(weights))
+        spread[:] = x
+        change[c] = np.bincount(at, spread.ravel(), len(weights))
     squares += change * change
     change /= np.sqrt(squares)
     change *= rate
