@@ -101,7 +101,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "set"])
 
     rows = docs.select(_row_key(id_col, text_col).alias("_key"), text_or_empty(text_col).alias("_text"))
-    return rows.join(wanted, "_key").select("node", "_text").mapInArrow(tidied(run), "node long, n long, set array<long>")
+    # Of repeated rows one is enough; where the join has dealt rows by key, this shuffles nothing, and never the sets.
+    once = rows.join(wanted, "_key").dropDuplicates(["_key"])
+    return once.select("node", "_text").mapInArrow(tidied(run), "node long, n long, set array<long>")
 
 
 def _salt(size: Column) -> Column:
@@ -245,7 +247,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = keys.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     keys = written(keys.join(sizes, "v"))
     wanted = keys.select("node").distinct().join(classes.select("node", F.col("key").alias("_key")), "node")
-    sets = written(_full_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["node"]))
+    sets = written(_full_sets(docs, wanted, id_col, text_col, words))
     search = _Search(classes, sets, k, percent)
 
     links = written(search.links(search.short_pairs(keys)))
