@@ -16,6 +16,7 @@ from .near_dedup import near_dedup
 from .packing import pack
 from .quality_rules import quality_rules
 from .secrets import scan
+from .spelling import spelling_variants
 from .token_counts import rolled_up
 
 
@@ -70,6 +71,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -100,4 +106,24 @@ ORACLES: dict[str, str] = {
                    SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM k)
         SELECT source, lang, version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM u GROUP BY ALL
     """,
+    # crc32 byte by byte, with its table made from the polynomial; letters beyond ASCII are two bytes, C3 and theirs.  Near words meet under
+    # a deletion, or the word itself, at the same place.
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE
+             tab AS MATERIALIZED (SELECT list_transform(range(256), lambda x: list_reduce([x::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+             runs AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS run FROM documents),
+             told AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS k FROM runs GROUP BY ALL),
+             coded AS (SELECT run, k, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END)) AS bytes FROM told),
+             hashed AS MATERIALIZED (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM coded, tab),
+             cut AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, k FROM hashed),
+             w AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+             del AS MATERIALIZED (SELECT DISTINCT word, n, substring(word, 1, i - 1) || substring(word, i + 1) AS d, i FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+             pairs AS (SELECT a.word AS x, b.word AS y, b.n AS m FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+                       UNION SELECT a.word, w.word, w.n FROM del a JOIN w ON a.d = w.word
+                       UNION SELECT w.word, a.word, a.n FROM del a JOIN w ON a.d = w.word),
+             best AS (SELECT x AS word, count(*) AS n_near, arg_min(y, (-m, y)) AS y, max(m) AS m FROM pairs GROUP BY x),
+             f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN y END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+             up AS (SELECT word, word AS now, 0 AS steps FROM f UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON f.word = up.now WHERE f.form IS NOT NULL)
+        SELECT word, form, (SELECT arg_max(now, steps) FROM up WHERE up.word = f.word) AS root, n, n_near, form_n FROM f
+    """,
 }
