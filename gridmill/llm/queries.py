@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ._common import crc_mod, vocabulary
 from .bpe import encode_decode
+from .centroids import K, ROUNDS, cluster
 from .exact_dedup import exact_dedup
+from .licenses import scan as license_scan
 from .linear import quality_model, score, toxicity_model
 from .lm_scoring import lm_scores, split
 from .near_dedup import near_dedup
@@ -75,6 +77,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "licenses.*").drop("found")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -87,8 +97,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_licenses": op12_licenses,
+    "op13_centroids": op13_centroids,
 }
 
+def _rounds_in_sql() -> str:
+    """CTEs c1, c2 ... (c, z): the centroids after each update; a1, a2 ... are the assignments before it."""
+    near = "SELECT r, any_value(vec_id) AS vec_id, any_value(v.z) AS z, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, vec_id, v.z, c, list_sum(list_transform(list_zip(v.z, k.z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, {k} k) v GROUP BY r"
+    parts = []
+    for n in range(ROUNDS + 1):
+        parts.append(f"a{n + 1} AS MATERIALIZED ({near.format(k=f'c{n}')})")
+        if n < ROUNDS:
+            sums = f"SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(z) AS x, unnest(range(64)) AS i FROM a{n + 1}) GROUP BY c, i"
+            new = f"SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS z FROM ({sums}) GROUP BY c"
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(w.z, o.z) AS z FROM c{n} o LEFT JOIN ({new}) w USING (c))")
+    return ", ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -126,4 +151,13 @@ ORACLES: dict[str, str] = {
              up AS (SELECT word, word AS now, 0 AS steps FROM f UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON f.word = up.now WHERE f.form IS NOT NULL)
         SELECT word, form, (SELECT arg_max(now, steps) FROM up WHERE up.word = f.word) AS root, n, n_near, form_n FROM f
     """,
+    "op13_centroids": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS z FROM embeddings
+                                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INT AS c, z FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, z FROM v ORDER BY h LIMIT {K})),
+             {_rounds_in_sql()}
+        SELECT vec_id, a.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(list_aggregate(k.z, 'string_agg', ',')) AS centroid_sha256
+        FROM a{ROUNDS + 1} a JOIN c{ROUNDS} k USING (c)
+    """,
 }
