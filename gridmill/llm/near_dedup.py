@@ -119,7 +119,7 @@ def _salts(size: Column) -> Column:
 class _Search:
     """The candidate search and verification over classes."""
 
-    def __init__(self, classes: DataFrame, sets: DataFrame, k: int, percent: int):
+    def __init__(self, classes: DataFrame, sets: DataFrame | None, k: int, percent: int):
         self.classes, self.sets, self.k, self.percent = classes, sets, k, percent
 
     def fits(self, na: Column, ra: Column, nb: Column, rb: Column) -> Column:
@@ -127,19 +127,26 @@ class _Search:
         most = F.least(ra, rb)
         return 100 * most >= self.percent * (na + nb - most)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked: union-sketch estimate, then the full sets."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose union sketch shares enough values."""
         side = lambda x: self.classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
         near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
         low = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, self.k)
         shared = F.size(F.array_intersect(low, F.array_intersect("sa", "sb")))
         whole = F.size(low) < self.k
-        near = near.where(F.when(whole, 100 * shared >= self.percent * F.size(low)).otherwise(shared >= least_shared(self.k, self.percent)))
+        return near.where(F.when(whole, 100 * shared >= self.percent * F.size(low)).otherwise(shared >= least_shared(self.k, self.percent))).select("a", "b")
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked by their full sets."""
         full = lambda x: self.sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("set").alias(f"t{x}"))
-        both = near.select("a", "b").join(full("a"), "a").join(full("b"), "b")
+        both = near.join(full("a"), "a").join(full("b"), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         return both.where(100 * common >= self.percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct()
 
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked: union-sketch estimate, then the full sets."""
+        return self.verified(self.likely(pairs))
+
     def short_pairs(self, keys: DataFrame) -> DataFrame:
         """All pairs of each list of at most ``SHORT`` members whose sizes fit."""
         short = keys.where(F.col("m") <= SHORT)
@@ -246,11 +253,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = written(_keys(classes, k, percent))
     sizes = keys.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     keys = written(keys.join(sizes, "v"))
-    wanted = keys.select("node").distinct().join(classes.select("node", F.col("key").alias("_key")), "node")
-    sets = written(_full_sets(docs, wanted, id_col, text_col, words))
-    search = _Search(classes, sets, k, percent)
-
-    links = written(search.links(search.short_pairs(keys)))
+    # Full sets are made only for what the union sketches leave of short lists' pairs, and for members of long lists.
+    search = _Search(classes, None, k, percent)
+    near = written(search.likely(search.short_pairs(keys)))
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).union(keys.where(F.col("m") > SHORT).select("node")).distinct()
+    wanted = wanted.join(classes.select("node", F.col("key").alias("_key")), "node")
+    sets = search.sets = written(_full_sets(docs, wanted, id_col, text_col, words))
+
+    links = written(search.verified(near))
     # Long lists are drawn up anew from the full sets of their members, by the exact prefix bound.
     keys = written(_exact_keys(sets, keys.where(F.col("m") > SHORT).select("node").distinct(), percent))
     keys = written(keys.join(keys.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "v"))
