@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.timebucket import bucket, iso_with_offset, local, local_day, snapped, trailing_number, utc_of_iso
@@ -14,7 +14,7 @@ from .plans import evidence, forecast, panels
 from .sources import readings as src
 from .sources import stored
 from .sources.scratch import new_path
-from .streaming import live
+from .streaming import live, transport
 
 DAY = ("2024-01-10 22:00:00", "2024-01-11 22:00:00")
 WEEK = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
@@ -478,66 +478,102 @@ query("union_counts", "r m", "SELECT 'readings' AS name, count(*) AS n FROM r UN
 query("upsert_meters", "m", "SELECT meter_id, CASE WHEN meter_id % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM m")(
     lambda s, d: src.upsert_ignore(M(s, d).where("meter_id % 3 = 0").select("meter_id", F.lit("kept").alias("origin")), M(s, d).select("meter_id", F.lit("new").alias("origin")), ["meter_id"])
 )
-query("json_roundtrip", "r", f"SELECT meter_id, event_time, {'power_kw'}, energy_kwh FROM r")(lambda s, d: live.parsed(live.to_messages(R(s, d)).select(F.col("payload").alias("value"))).where("ok").select("meter_id", "event_time", "power_kw", "energy_kwh"))
+query("json_roundtrip", "r", f"SELECT meter_id, event_time, {'power_kw'}, energy_kwh FROM r")(lambda s, d: live.parsed(live.to_messages(R(s, d)).select("payload")).where("ok").select("meter_id", "event_time", "power_kw", "energy_kwh"))
 
 
-ALL_FILES = 1_000_000
-BAD = [("energy/meters/1\t{broken",), ('energy/meters/1\t{"meter_id": 1}',), ("energy/alerts/1\t{}",)]
+#: Messages that are no readings, and one of another topic.
+BAD = [("bad-1", "energy/meters/1", "{broken"), ("bad-2", "energy/meters/1", '{"meter_id": 1}'), ("bad-3", "energy/alerts/1", "{}")]
+BATCHES = 6
+
+
+def _log(s, d):
+    """A log of all raw readings in the order they were received, two bad messages, one of another topic, and then some messages again, as after a lost acknowledgement."""
+
+    def build(path):
+        copy = F.row_number().over(Window.partitionBy("event_id").orderBy("power_kw"))
+        raw = RAW(s, d).withColumn("_id", F.concat_ws("-", "event_id", copy))
+        told = lambda df: live.to_messages(df.orderBy("received_time", "_id"), id_=F.col("_id"))
+        live.publish(told(raw), path)
+        bad = s.createDataFrame(BAD, "id string, topic string, payload string").withColumn("sent", F.lit("2024-01-31 00:00:00").cast("timestamp"))
+        live.publish(bad.coalesce(1), path)
+        for n in (97, 970):
+            live.publish(told(raw.where(F.col("event_id") % n == 0)), path)
+
+    return stored.once(s, d, "log", build)
+
+
+def _messages(s, d, group, ack="commit"):
+    """The log's messages as a stream of some micro-batches."""
+    log = _log(s, d)
+    return live.messages(s, log, group, max_messages=-(-transport.Log(log).refresh() // BATCHES), ack=ack)
 
 
 def _landed(s, d):
-    """The folder of a landing run: all raw readings as messages, with two bad ones and one of another topic."""
+    """The folder of a landing run over the whole log, in several micro-batches."""
 
     def build(top):
-        live.truncate(s, f"{top}/in", f"{top}/landed")
-        live.publish(RAW(s, d), f"{top}/in")
-        s.createDataFrame(BAD, "value string").coalesce(1).write.mode("append").text(f"{top}/in")
-        live.land(live.messages(s, f"{top}/in", ALL_FILES), f"{top}/landed", f"{top}/bad", f"{top}/ledger", f"{top}/checkpoint").awaitTermination()
+        log = _log(s, d)
+        delivered = live.deliveries(_messages(s, d, "landing", "sink"), slot_seconds=7 * 86400, buckets=16)  # a month of few messages
+        q = live.land(delivered, f"{top}/landed", f"{top}/bad", f"{top}/ledger", f"{top}/checkpoint", log, "landing")
+        live.until_idle(q, log, "landing", idle_seconds=120, expected=transport.Log(log).refresh())
 
     return stored.once(s, d, "landing", build)
 
 
-@query("live_ledger", "raw", "SELECT n + 2 AS received, n AS inserted, 2::BIGINT AS parse_errors, n - u AS redelivered, n + 2 AS acked, n + 2 AS taken, 0::BIGINT AS backlog FROM (SELECT count(*) AS n FROM raw), (SELECT count(*) AS u FROM (SELECT DISTINCT * EXCLUDE (event_id) FROM raw))")
+@query("live_ledger", "raw", "SELECT n + 2 + x AS received, n + x AS inserted, 2::BIGINT AS parse_errors, x AS redelivered, n + 2 + x AS taken, n + 2 + x AS acked, 0::BIGINT AS backlog FROM (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 97 = 0) + count(*) FILTER (WHERE event_id % 970 = 0) AS x FROM raw)")
 def live_ledger(s, d):
-    """The ledger of the landing run: copies are kept and counted, other topics aren't taken."""
-    top = _landed(s, d)
-    return live.totals(s, f"{top}/ledger", f"{top}/in")
+    """The ledger of the landing run beside the log's own counts: deliveries of a message after its first are counted across micro-batches, equal readings aren't."""
+    return live.totals(s, f"{_landed(s, d)}/ledger", _log(s, d), "landing")
+
+
+query("live_redelivered", "raw", "SELECT meter_id, event_time, max(1 + (event_id % 97 = 0)::INT + (event_id % 970 = 0)::INT)::BIGINT AS deliveries FROM raw WHERE event_id % 97 = 0 GROUP BY 1, 2")(
+    lambda s, d: _stored_landing(s, d).groupBy("meter_id", "event_time").agg(F.max("delivery").alias("deliveries")).where("deliveries > 1")
+)
+
+
+def _stored_landing(s, d):
+    return s.read.schema(f"{src.READINGS}, delivery bigint").parquet(f"{_landed(s, d)}/landed/*")
 
 
 @query("live_landed", "raw", "SELECT meter_id, event_time, received_time, power_kw, energy_kwh FROM raw")
 def live_landed(s, d):
-    """What the landing run stored, copies included."""
-    return s.read.schema(src.READINGS).parquet(f"{_landed(s, d)}/landed/*").select("meter_id", "event_time", "received_time", "power_kw", "energy_kwh")
+    """What the landing run stored of first deliveries, copies of readings included."""
+    return _stored_landing(s, d).where("delivery = 1").select("meter_id", "event_time", "received_time", "power_kw", "energy_kwh")
 
 
-def _run(stream: DataFrame, top: str, mode: str) -> DataFrame:
-    """The result of a stream over what is there now, by way of files; in complete mode each micro-batch replaces the last result."""
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True)
-    if mode == "complete":
-        w.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{top}/out")).start().awaitTermination()
-    else:
-        w.format("parquet").option("path", f"{top}/out").start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{top}/out")
+def _run(s, stream: DataFrame) -> DataFrame:
+    """What a stream gives out over all that is there now, by way of files."""
+    top = new_path(s)
+    live.run_all(stream, f"{top}/out", f"{top}/checkpoint")
+    return s.read.schema(stream.schema).parquet(f"{top}/out")
 
 
-def _landed_stream(s, d):
-    return s.readStream.schema(src.READINGS).parquet(f"{_landed(s, d)}/landed/*")
+def _live(s, d, group):
+    """The readings of the log as a stream; messages have their ids, so deliveries after the first can be told."""
+    return live.parsed(_messages(s, d, group)).where("ok").select("id", *live.FIELDS)
 
 
 query("live_deduplicated", "raw", "SELECT meter_id, event_time, count(*) AS n FROM (SELECT DISTINCT meter_id, event_time FROM raw) GROUP BY 1, 2")(
-    lambda s, d: _run(live.deduplicated(_landed_stream(s, d)), new_path(s), "append").groupBy("meter_id", "event_time").agg(F.count(F.lit(1)).alias("n"))
+    lambda s, d: _run(s, live.deduplicated(_live(s, d, "deduplicated").drop("id"))).groupBy("meter_id", "event_time").agg(F.count(F.lit(1)).alias("n"))
 )
-query("live_sessions", "raw", "SELECT meter_id, min(event_time) AS first_event, max(event_time) + INTERVAL 1 HOUR AS closed, count(*) AS reading_count FROM (SELECT *, sum(new) OVER (PARTITION BY meter_id ORDER BY event_time, rn) AS k FROM (SELECT meter_id, event_time, row_number() OVER w AS rn, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM raw WINDOW w AS (PARTITION BY meter_id ORDER BY event_time))) GROUP BY meter_id, k")(
-    lambda s, d: _run(live.sessions(_landed_stream(s, d)), new_path(s), "complete")
+#: What a watermark of 180 minutes behind the last event has closed.
+PASSED = "(SELECT date_trunc('milliseconds', max(event_time)) - INTERVAL 180 MINUTE FROM raw)"
+query("live_sessions", "raw", f"SELECT * FROM (SELECT meter_id, min(event_time) AS first_event, max(event_time) + INTERVAL 1 HOUR AS closed, count(*) AS reading_count FROM (SELECT *, sum(new) OVER (PARTITION BY meter_id ORDER BY event_time, rn) AS k FROM (SELECT meter_id, event_time, row_number() OVER w AS rn, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM raw WINDOW w AS (PARTITION BY meter_id ORDER BY event_time))) GROUP BY meter_id, k) WHERE closed <= {PASSED}")(
+    lambda s, d: _run(s, live.sessions(_live(s, d, "sessions")))
 )
+WINDOWED = f"SELECT bucket, round({SUM_E}, 6) AS energy_kwh, count(*) AS reading_count FROM (SELECT {{b}} AS bucket, e FROM raw) WHERE bucket + INTERVAL {{w}} HOUR <= {PASSED} GROUP BY 1"
 
 
-@query("stream_rollup", "r", f"SELECT time_bucket(INTERVAL 1 HOUR, event_time) AS bucket, round({SUM_E}, 6) AS energy_kwh, count(*) AS reading_count FROM r GROUP BY 1")
+@query("stream_rollup", "raw", WINDOWED.format(b="time_bucket(INTERVAL 1 HOUR, event_time)", w=1))
 def stream_rollup(s, d):
-    """Hourly windows by a stream in complete mode, which equals the batch result."""
-    e = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")  # a file or a folder of part files
-    w = live.windowed(e.select(F.col("ts").alias("event_time"), (F.col("value") * 0.25).alias("energy_kwh")), "1 hour")
-    return _run(w, new_path(s), "complete").withColumn("energy_kwh", F.round("energy_kwh", 6))
+    """Hourly windows by a stream in append mode: those that the watermark has closed, each given out once."""
+    return _run(s, live.windowed(_live(s, d, "rollup"), "1 hour")).withColumn("energy_kwh", F.round("energy_kwh", 6))
+
+
+@query("stream_sliding", "raw", WINDOWED.format(b="unnest([time_bucket(INTERVAL 1 HOUR, event_time), time_bucket(INTERVAL 1 HOUR, event_time) - INTERVAL 1 HOUR])", w=2))
+def stream_sliding(s, d):
+    """Windows of two hours that begin every hour, by a stream in append mode."""
+    return _run(s, live.windowed(_live(s, d, "sliding"), "2 hours", slide="1 hour")).withColumn("energy_kwh", F.round("energy_kwh", 6))
 
 
 query("day_bounds", "r", "SELECT t::DATE AS day, min(event_time) AS first_event, max(event_time) AS last_event, count(DISTINCT event_time::DATE) AS utc_days FROM r GROUP BY 1")(lambda s, d: R(s, d).groupBy(local_day(F.col("event_time")).alias("day")).agg(F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"), F.countDistinct(bucket(F.col("event_time"), "1 day")).alias("utc_days")))

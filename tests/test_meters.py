@@ -183,24 +183,6 @@ def test_empty_region_panel(spark):
     assert analysis.completeness(r, m, 96).where("region = 'Region 2'").count() == 0
 
 
-def test_stream_ledger_and_windows(spark, tmp_path):
-    good = [reading(1, "2026-09-01 00:00"), reading(1, "2026-09-01 00:00"), reading(2, "2026-09-01 01:00")]
-    live.publish(frame(spark, good, SHORT), str(tmp_path / "in"))
-    frame(spark, [("energy/meters/1\t{bad",), ('energy/meters/1\t{"meter_id": 5}',), ("energy/other\t{}",)], "value string").write.mode("append").text(str(tmp_path / "in"))
-    q = live.land(live.messages(spark, str(tmp_path / "in")), *(str(tmp_path / x) for x in ("landed", "bad", "ledger", "ck")))
-    q.awaitTermination()
-    assert live.totals(spark, str(tmp_path / "ledger"), str(tmp_path / "in")).first()[:] == (5, 3, 2, 1, 5, 5, 0)
-    landed = spark.read.parquet(str(tmp_path / "landed")).drop("batch")
-    assert landed.count() == 3
-    s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "landed")).schema).parquet(str(tmp_path / "landed"))
-    out = live.deduplicated(s).writeStream.format("memory").queryName("dedup_out").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    out.awaitTermination()
-    assert spark.table("dedup_out").count() == 2
-    w = live.sessions(s).writeStream.outputMode("complete").format("memory").queryName("session_out").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
-    w.awaitTermination()
-    assert spark.table("session_out").count() == 2
-
-
 @pytest.mark.parametrize("from_day, scored", [(1, 7 * 24 - 25), (27, 0)])
 def test_ridge_leaves_out_incomplete_rows(spark, monkeypatch, from_day, scored):
     """A gap isn't a reading of 0 kWh: it and the rows whose predictors need it are neither fitted nor scored."""
