@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime, timedelta
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timebucket import WIDTHS, bucket, ntz
-from ..sources.scratch import new_path
+from ..functions.timebucket import WIDTHS, bucket, ntz, within
+from ..sources.versions import Table
 
 PARTITION = "chunk"
 CLUSTERING = {"time": ("event_time",), "meter": ("meter_id", "event_time")}
 
 
-def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter", tasks: int | None = None, mode: str = "overwrite", rows_per_task: int = 5_000_000) -> None:
-    """One directory for each time chunk, rows clustered inside, with bloom filters on the meter.
+def _staged(df: DataFrame, path: str, width: str, cluster: str, tasks: int | None, rows_per_task: int) -> tuple[Table, dict]:
+    """Write ``df`` aside, in chunks.
 
     Rows are dealt by (chunk, salt), and a chunk gets as many salts as ``rows_per_task`` asks for by its own count, which
     a first pass takes: so a chunk of any size is written by enough tasks, and a small one by one.
@@ -22,47 +26,69 @@ def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter"
     sizes = rows.groupBy(PARTITION).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).alias("_salts"))  # a row a chunk
     salted = rows.join(sizes, PARTITION).withColumn("_salt", F.pmod(F.xxhash64("meter_id"), F.col("_salts")))
     by = ([tasks] if tasks else []) + [PARTITION, "_salt"]
-    dealt = salted.repartition(*by).drop("_salts", "_salt")
-    (
-        dealt.sortWithinPartitions(PARTITION, *CLUSTERING[cluster])
-        .write.mode(mode).option("compression", "zstd").option("parquet.bloom.filter.enabled#meter_id", "true")
-        .option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
-    )
+    dealt = salted.repartition(*by).drop("_salts", "_salt").sortWithinPartitions(PARTITION, *CLUSTERING[cluster])
+    table = Table(df.sparkSession, path)
+    return table, table.stage(dealt, PARTITION, **{"compression": "zstd", "parquet.bloom.filter.enabled#meter_id": "true"})
+
+
+def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter", tasks: int | None = None, rows_per_task: int = 5_000_000, append: bool = False) -> None:
+    """Make ``df`` the table, or add it: one directory for each time chunk, rows clustered inside, with bloom filters on the meter."""
+    table, staged = _staged(df, path, width, cluster, tasks, rows_per_task)
+    table.point(staged, append=append)
+
+
+def _start(part: str) -> datetime:
+    return datetime.fromisoformat(unquote(part.split("=", 1)[1]))
+
+
+def _chunks(table: Table, ranges: list[tuple[datetime, datetime]], width: str) -> list[str]:
+    """The chunks that meet one of some half-open ranges, by the pointer alone."""
+    wide = timedelta(seconds=WIDTHS[width])
+    return [x for x in table.pointer()[1]["parts"] if any(low < _start(x) + wide and _start(x) < high for low, high in ranges)]
+
+
+def read_ranges(spark: SparkSession, path: str, ranges: list[tuple[datetime, datetime]], width: str = "1 day") -> DataFrame:
+    """The rows of some half-open time ranges; other chunks are neither listed nor read, and the scan gets the ranges."""
+    table = Table(spark, path)
+    parts = _chunks(table, ranges, width)
+    inside: list[Column] = [within(F.col("event_time"), str(low), str(high)) for low, high in ranges]
+    rows = table.read(parts).where(F.col(PARTITION).isin([_start(x) for x in parts]))
+    return rows.where(reduce(Column.__or__, inside, F.lit(False))).drop(PARTITION)
 
 
 def read(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, width: str = "1 day") -> DataFrame:
     """The table, or a half-open time range of it; the range also prunes chunks."""
-    df = spark.read.parquet(path).withColumn(PARTITION, F.col(PARTITION).cast("timestamp_ntz"))
+    table = Table(spark, path)
     if start is None:
-        return df.drop(PARTITION)
+        return table.read().drop(PARTITION)
+    low, high = datetime.fromisoformat(start), datetime.fromisoformat(end)
     first = bucket(ntz(start), width)
-    inside = (F.col("event_time") >= ntz(start)) & (F.col("event_time") < ntz(end))
-    return df.where((F.col(PARTITION) >= first) & (F.col(PARTITION) < ntz(end)) & inside).drop(PARTITION)
+    df = table.read(_chunks(table, [(low, high)], width))
+    return df.where((F.col(PARTITION) >= first) & (F.col(PARTITION) < ntz(end)) & within(F.col("event_time"), start, end)).drop(PARTITION)
 
 
 def copy_chunks(df: DataFrame, path: str, starts: list[str], width: str = "1 day", cluster: str = "meter") -> dict[str, int]:
-    """Copy one chunk at a time; returns the rows of each.  Doing a chunk again replaces it."""
+    """Copy one chunk at a time; returns the rows of each.  Doing a chunk again replaces it, in one step."""
     loaded = {}
     for start in starts:
         end = F.timestamp_add("SECOND", F.lit(WIDTHS[width]), ntz(start))
-        write(df.where((F.col("event_time") >= ntz(start)) & (F.col("event_time") < end)), path, width, cluster)
-        loaded[start] = df.sparkSession.read.parquet(path).where(F.col(PARTITION).cast("timestamp_ntz") == ntz(start)).count()
+        table, staged = _staged(df.where((F.col("event_time") >= ntz(start)) & (F.col("event_time") < end)), path, width, cluster, None, 5_000_000)
+        own = [x for x in table.pointer()[1]["parts"] if _start(x) == datetime.fromisoformat(start)]
+        table.point(staged, own)
+        loaded[start] = table.read(x for x in table.pointer()[1]["parts"] if _start(x) == datetime.fromisoformat(start)).count()
     return loaded
 
 
 def compact(spark: SparkSession, path: str, cutoff: str, width: str = "1 day", cluster: str = "meter", paused: bool = False) -> int:
-    """Rewrite the chunks that ended before ``cutoff`` clustered and compressed; returns how many."""
-    if paused:
+    """Rewrite the chunks that ended before ``cutoff`` clustered and compressed, in one step; returns how many."""
+    table = Table(spark, path)
+    now = table.pointer()
+    ended = [x for x in now[1]["parts"] if _start(x) + timedelta(seconds=WIDTHS[width]) <= datetime.fromisoformat(cutoff)]
+    if paused or not ended:
         return 0
-    ended = F.timestamp_add("SECOND", F.lit(WIDTHS[width]), F.col(PARTITION)) <= ntz(cutoff)
-    old = spark.read.parquet(path).withColumn(PARTITION, F.col(PARTITION).cast("timestamp_ntz")).where(ended)
-    staged = new_path(spark, "staged")
-    old.write.parquet(staged)
-    again = spark.read.schema(old.schema).parquet(staged)
-    n = again.select(PARTITION).distinct().count()
-    if n:
-        write(again.drop(PARTITION), path, width, cluster)
-    return n
+    _, staged = _staged(table.read(ended, now[1]).drop(PARTITION), path, width, cluster, None, 5_000_000)
+    table.point(staged, ended, now)
+    return len(ended)
 
 
 def storage_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .versions import Table
 
 READINGS = (
     "meter_id bigint, event_time timestamp_ntz, received_time timestamp_ntz, power_kw double, "
@@ -102,17 +102,14 @@ def reconciled(spark: SparkSession, csv: str, table: str, contract: int) -> Data
 
 
 def delete_copies(spark: SparkSession, path: str, clean) -> int:
-    """Replace the stored table by ``clean`` of it; returns the rows that went.  Doing it again changes nothing.
-
-    The cleaned rows are written beside the table first, so a run that breaks off leaves the table or the staged copy whole.
-    """
-    old = spark.read.parquet(path)
-    staged = new_path(spark, "staged")
-    clean(old).write.parquet(staged)
-    kept = spark.read.schema(old.schema).parquet(staged)
-    gone = old.count() - kept.count()
+    """Replace the versioned table by ``clean`` of it, in one step; returns the rows that went.  Doing it again changes nothing."""
+    table = Table(spark, path)
+    now = table.pointer()
+    old = table.read(told=now[1])
+    staged = table.stage(clean(old))
+    gone = old.count() - spark.read.parquet(f"{path}/data/ver={staged['version']}").count()
     if gone:
-        kept.write.mode("overwrite").parquet(path)
+        table.point(staged, after=now)
     return gone
 
 
@@ -122,7 +119,8 @@ def upsert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataF
 
 
 def storage(spark: SparkSession, path: str) -> DataFrame:
-    """(partition, files, bytes) of a stored table, from the file listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    """(partition, files, bytes) of a stored table, from the file listing; of a versioned table, what its pointer names."""
+    live = Table(spark, path).folders() or [path]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(live).select("path", "length")
     part = F.regexp_extract("path", r"/([^/=]+=[^/]+)/[^/]+$", 1)
     return files.groupBy(part.alias("partition")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

@@ -10,22 +10,19 @@ from pyspark.sql.types import StructType
 from . import scratch
 
 _schemas: dict[str, StructType] = {}
-_made: dict[tuple[str, str, str], str] = {}
+_made: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
-    """The folder of a stored table; ``build`` writes it the first time, and again if it has gone."""
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None], inputs: tuple[str, ...] = ("events",)) -> str:
+    """The folder of a stored table; ``build`` writes it the first time, again if it has gone, and again if a file of its inputs is new, gone or changed."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made or not _there(spark, _made[key]):
+    seen = scratch.fingerprint(spark, *(f"{sf_dir}/{x}.parquet" for x in inputs))
+    path, told = _made.get(key, ("", ""))
+    if told != seen or not path or not scratch.there(spark, path):
         path = scratch.new_path(spark, name)
         build(path)
-        _made[key] = path
-    return _made[key]
+        _made[key] = path, seen
+    return path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
