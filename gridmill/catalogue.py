@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .plans import evidence, forecast, panels
 from .sources import readings as src
 from .sources import stored
 from .sources.scratch import new_path
+from .sources.versions import Table
 from .streaming import live, transport
 
 DAY = ("2024-01-10 22:00:00", "2024-01-11 22:00:00")
@@ -199,7 +201,8 @@ def chunk_copy(s, d):
 def storage_report(s, d):
     """Bytes by chunk before and after compaction of all chunks that have ended: ratio, percent saved, share that got smaller."""
     path = new_path(s)
-    R(s, d).drop("event_id").withColumn("chunk", bucket(F.col("event_time"), "1 day")).write.partitionBy("chunk").option("compression", "none").parquet(path)
+    loose = Table(s, path)
+    loose.point(loose.stage(R(s, d).drop("event_id").withColumn("chunk", bucket(F.col("event_time"), "1 day")), "chunk", compression="none"))
     before = s.createDataFrame(src.storage(s, path).collect(), "partition string, files long, bytes long")  # a row a chunk
     layout.compact(s, path, "2024-02-20 00:00:00")
     return layout.storage_report(before, src.storage(s, path))
@@ -209,9 +212,9 @@ def storage_report(s, d):
 def deleted_copies(s, d):
     """Extra copies deleted from a stored table, twice: the second time there is nothing to delete."""
     path = new_path(s)
-    RAW(s, d).drop("event_id").write.parquet(path)
+    Table(s, path).put(RAW(s, d).drop("event_id"))
     first, again = (src.delete_copies(s, path, quality.clean) for _ in range(2))
-    return s.read.parquet(path).agg(F.lit(first).cast("long").alias("deleted"), F.lit(again).cast("long").alias("deleted_again"), F.count(F.lit(1)).alias("remaining"))
+    return Table(s, path).read().agg(F.lit(first).cast("long").alias("deleted"), F.lit(again).cast("long").alias("deleted_again"), F.count(F.lit(1)).alias("remaining"))
 
 
 @query("load_reconciled", "r", "SELECT n AS file_rows, n AS read_rows, n AS table_rows, c AS contract_rows, n = c AS agrees FROM (SELECT count(*) AS n FROM r), (SELECT count(*) AS c FROM events)")
@@ -331,17 +334,52 @@ def rollup_policy(s, d):
     """Three runs of the refresh policy, the second of which finds the store paused."""
     store = rollups.Store(s, new_path(s), rollups.Rollup("1 hour", ("meter_id",), "UTC"))
     for k, now in enumerate(TICKS):
-        store.paused = k == 1
+        (store.pause if k == 1 else store.resume)()
         store.tick(R(s, d), now, rollups.Policy())
     return store.read()
 
 
-@query("realtime_rollup", "r m", f"SELECT bucket, region, energy_kwh, power_kw_sum, reading_count FROM (SELECT {B60} AS bucket, region, sum(e)::DOUBLE AS energy_kwh, sum(p)::DOUBLE AS power_kw_sum, count(*) AS reading_count FROM r {JM} WHERE event_time >= '{MARK}' OR received_time <= event_time + INTERVAL 15 MINUTE GROUP BY 1, 2)")
+def _fresh(s, d):
+    """A store beside a chunked table: readings on time land, a refresh up to ``MARK`` takes them up, then late readings land, and a second refresh takes up those."""
+
+    def build(path):
+        touched, on_time = rollups.Touched(s, f"{path}/touched"), F.expr("received_time <= event_time + interval 15 minutes")
+        for part in (on_time, ~on_time):
+            rollups.land(R(s, d).where(part).drop("event_id"), f"{path}/readings", touched)
+            store(path).take_up(lambda ranges: layout.read_ranges(s, f"{path}/readings", ranges), touched, datetime.fromisoformat(MARK), M(s, d))
+
+    store = lambda path: rollups.Store(s, f"{path}/hourly", rollups.HOURLY_REGION)
+    path = stored.once(s, d, "freshness", build)
+    return store(path), f"{path}/readings"
+
+
+def _real_time(s, d, number):
+    """Real-time rows as the ``number``-th refresh left the store; of the readings only chunks from the watermark on are read."""
+    store, path = _fresh(s, d)
+    return store.real_time(layout.read(s, path, str(store.watermark(number)), "2100-01-01 00:00:00"), M(s, d), number)
+
+
+#: What the first refresh stored: hours up to MARK, from readings that came on time; and where that ended.
+ON_TIME = "received_time <= event_time + INTERVAL 15 MINUTE"
+FIRST_MARK = f"(SELECT max({B60}) + INTERVAL 1 HOUR FROM r WHERE event_time < '{MARK}' AND {ON_TIME})"
+
+
+@query("realtime_rollup", "r m", f"SELECT {B60} AS bucket, region, sum(e)::DOUBLE AS energy_kwh, sum(p)::DOUBLE AS power_kw_sum, count(*) AS reading_count FROM r {JM} WHERE event_time >= {FIRST_MARK} OR {ON_TIME} GROUP BY 1, 2")
 def realtime_rollup(s, d):
-    """Stored without the late rows below the watermark, computed above it."""
-    r, m = R(s, d), M(s, d)
-    stored = rollups.HOURLY_REGION.compute(r.where("received_time <= event_time + interval 15 minutes"), m)
-    return rollups.real_time(stored, rollups.HOURLY_REGION, r, MARK, m)
+    """From the store as its first refresh left it: without the late rows below the watermark, computed above it."""
+    return _real_time(s, d, 0)
+
+
+STAGE = "SELECT '{n}' AS stage, sum(e)::DOUBLE AS energy_kwh, count(*)::BIGINT AS row_count FROM r WHERE {w}"
+
+
+@query("fresh_stages", "r", " UNION ALL ".join(STAGE.format(n=n, w=w) for n, w in (("stored", f"{ON_TIME} AND event_time < '{MARK}'"), ("real_time", f"event_time >= {FIRST_MARK} OR {ON_TIME}"), ("refreshed", f"event_time < '{MARK}'"), ("refreshed_real_time", "true"))))
+def fresh_stages(s, d):
+    """Energy and readings that a reader sees, stored and in real time, before and after the refresh that takes up late readings."""
+    store, _ = _fresh(s, d)
+    stages = {"stored": store.read(number=0), "real_time": _real_time(s, d, 0), "refreshed": store.read(number=1), "refreshed_real_time": _real_time(s, d, 1)}
+    one = lambda n, df: df.agg(F.lit(n).alias("stage"), analysis.exact_sum("energy_kwh").alias("energy_kwh"), F.sum("reading_count").alias("row_count"))
+    return reduce(DataFrame.unionByName, [one(n, df) for n, df in stages.items()])
 
 
 WINDOWS = [("older", "2024-01-05 00:00:00", "2024-01-05 01:00:00"), ("newer", "2024-01-05 01:00:00", "2024-01-05 02:00:00"), ("empty", "2023-01-01 00:00:00", "2023-01-01 01:00:00")]
@@ -349,9 +387,13 @@ VALUES = ", ".join(f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, a, b in W
 query("fresh_raw", "r", f"SELECT name, sum(e)::DOUBLE AS energy_kwh, count(r.event_time) AS row_count FROM (VALUES {VALUES}) w(name, a, b) LEFT JOIN r ON r.event_time >= a AND r.event_time < b GROUP BY 1")(
     lambda s, d: rollups.freshness(s.sql(f"SELECT name, CAST(a AS TIMESTAMP_NTZ) AS start_time, CAST(b AS TIMESTAMP_NTZ) AS end_time FROM VALUES {', '.join(str(w) for w in WINDOWS)} AS t(name, a, b)"), R(s, d))
 )
-query("fresh_agg", "r", f"SELECT {B60} AS bucket, sum(e)::DOUBLE AS energy_kwh, count(*) AS row_count FROM r WHERE {B60} IN (SELECT a FROM (VALUES {VALUES}) w(name, a, b)) GROUP BY 1")(
-    lambda s, d: rollups.Rollup("1 hour").compute(R(s, d)).join(s.sql(f"SELECT CAST(a AS TIMESTAMP_NTZ) AS bucket FROM VALUES {', '.join(str(w) for w in WINDOWS)} AS t(name, a, b)"), "bucket", "left_semi").select("bucket", "energy_kwh", F.col("reading_count").alias("row_count"))
-)
+@query("fresh_agg", "r", f"SELECT {B60} AS bucket, sum(e)::DOUBLE AS energy_kwh, count(*) AS row_count FROM r WHERE {B60} IN (SELECT a FROM (VALUES {VALUES}) w(name, a, b)) GROUP BY 1")
+def fresh_agg(s, d):
+    """The windows' hours as stored after both refreshes; absent hours haven't been computed."""
+    hours = [(datetime.fromisoformat(a),) for _, a, _ in WINDOWS]
+    low, high = WINDOWS[0][1], WINDOWS[1][2]
+    found = _fresh(s, d)[0].read(low, high).join(s.createDataFrame(hours, "bucket timestamp_ntz"), "bucket", "left_semi")
+    return found.groupBy("bucket").agg(analysis.exact_sum("energy_kwh").alias("energy_kwh"), F.sum("reading_count").alias("row_count"))
 
 
 # Dashboards: raw and rollup form of each panel have one SQL twin.

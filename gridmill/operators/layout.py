@@ -31,10 +31,11 @@ def _staged(df: DataFrame, path: str, width: str, cluster: str, tasks: int | Non
     return table, table.stage(dealt, PARTITION, **{"compression": "zstd", "parquet.bloom.filter.enabled#meter_id": "true"})
 
 
-def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter", tasks: int | None = None, rows_per_task: int = 5_000_000, append: bool = False) -> None:
-    """Make ``df`` the table, or add it: one directory for each time chunk, rows clustered inside, with bloom filters on the meter."""
+def write(df: DataFrame, path: str, width: str = "1 day", cluster: str = "meter", tasks: int | None = None, rows_per_task: int = 5_000_000, append: bool = False) -> DataFrame:
+    """Make ``df`` the table, or add it: one directory for each time chunk, rows clustered inside, with bloom filters on the meter.  Returns what was written."""
     table, staged = _staged(df, path, width, cluster, tasks, rows_per_task)
     table.point(staged, append=append)
+    return table.read(told={"parts": {x: [staged["version"]] for x in staged["parts"]}, "facts": {"schema": staged["schema"]}}).drop(PARTITION)
 
 
 def _start(part: str) -> datetime:

@@ -32,9 +32,9 @@ class Table:
     def _pointers(self) -> list[str]:
         return sorted(x for x in (x.rsplit("/", 1)[-1] for x in listed(self.spark, f"{self.path}/pointers")) if x.isdigit())
 
-    def pointer(self) -> tuple[int, dict]:
-        """(number, {"parts": {partition: versions}, "facts": {...}}) of the newest pointer; -1 and nothing if there is none."""
-        for name in reversed(self._pointers()):
+    def pointer(self, number: int | None = None) -> tuple[int, dict]:
+        """(number, {"parts": {partition: versions}, "facts": {...}}) of the newest pointer, or of the one up to ``number``; -1 and nothing if there is none."""
+        for name in reversed([x for x in self._pointers() if number is None or int(x) <= number]):
             text = read_text(self.spark, f"{self.path}/pointers/{name}")
             if text.endswith(END):
                 return int(name), json.loads(text[: -len(END)])

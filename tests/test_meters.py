@@ -10,6 +10,7 @@ from gridmill.functions.timebucket import bucket, iso_with_offset, local_bucket,
 from gridmill.operators import analysis, compare, layout, quality, rollups
 from gridmill.plans import forecast, panels
 from gridmill.sources import readings
+from gridmill.sources.versions import Table
 from gridmill.streaming import live
 
 T = datetime.fromisoformat
@@ -105,7 +106,7 @@ def test_freshness_stages(spark, tmp_path):
     assert cells(store.real_time(late)) == {older: (1.0, 1), hour: (2.0, 1)}  # stale below the watermark
     store.refresh(late, older, hour + timedelta(hours=1))
     assert cells(store.read()) == {older: (1.5, 2), hour: (2.0, 1)}
-    store.paused = True
+    store.pause()
     store.refresh(rows(), older, hour)
     assert cells(store.read()) == {older: (1.5, 2), hour: (2.0, 1)}
 
@@ -243,9 +244,10 @@ def test_ordered_compare(spark):
 
 def test_delete_copies_twice(spark, tmp_path):
     same = reading(1, "2026-09-01")
-    frame(spark, [same, same, reading(2, "2026-09-01")], SHORT).write.parquet(str(tmp_path / "t"))
+    table = Table(spark, str(tmp_path / "t"))
+    table.put(frame(spark, [same, same, reading(2, "2026-09-01")], SHORT))
     assert [readings.delete_copies(spark, str(tmp_path / "t"), quality.clean) for _ in range(2)] == [1, 0]
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert table.read().count() == 2
 
 
 def test_plans_prune_and_push(spark, sf):
