@@ -390,13 +390,17 @@ def slots(patterns: list[tuple[Pattern, int]], capacity: int):
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, salts: int = SALTS) -> DataFrame:
-    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset; a length is dealt to ``salts`` tasks, or more of a large table."""
+    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset, outcome; a length is dealt to ``salts`` tasks, or more of a large table.
+
+    outcome is "optimal" or "bound reached", as ``packed`` tells it of the whole packing, the same in every row.
+    """
     rows = written(pieces(docs, path, id_col, text_col, capacity, end_id))
     salts = max(salts, rows.count() // PART)
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     by_salt = rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # at most capacity * salts rows
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    table = slots(packed(counts, capacity)[0], capacity)
+    patterns, outcome = packed(counts, capacity)
+    table = slots(patterns, capacity)
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = by_salt.select("length", "_salt", before.alias("_first"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row", "piece")) - 1 + F.col("_first")
@@ -429,4 +433,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = ranked.mapInArrow(tidied(place), f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("_id", id_col)
+    return out.withColumnRenamed("_id", id_col).withColumn("outcome", F.lit(outcome))

@@ -1,9 +1,10 @@
 """Token counts kept up by deltas.
 
 A ledger in the shared folder holds a small table of totals by source, language and tokenizer version, and the
-signed rows behind them: +count for an insert, -count for a delete, both for a revision, in buckets by id.  A batch reads the
-buckets that its own ids fall in, to learn what those ids hold, writes its signed rows, and adds their sums to the last
-totals.  So it costs its own size, those buckets and the totals; nothing else is summed again.
+signed rows behind them: +count for an insert, -count for a delete, both for a revision, in buckets by id.  A batch writes its
+signed rows and adds their sums to the last totals.  Inserts need nothing else; for the ids that it deletes or revises it reads the
+buckets that they fall in, to learn what they hold.  Buckets are powers of two and grow with what is written at once, so one has about
+``BUCKET_ROWS`` rows at any size.  So a batch costs its own size, those buckets and the totals; nothing else is summed again.
 
 A batch is prepared in a folder of its own and becomes visible by its commit, a numbered file that names it and is
 created only if that number is free; a second writer fails and may try again.  Applying a committed batch
@@ -31,7 +32,9 @@ from ._common import WORD, text_or_empty
 GROUP = ["source", "lang", "version"]
 SIGNED = "doc_id long, source string, lang string, version string, docs long, tokens long"
 TOTALS = "source string, lang string, version string, docs long, tokens long"
-BUCKETS = 64
+BUCKET_ROWS = 1 << 18
+#: A batch whose deletes and revisions fall in more buckets than that reads a folder's rows all.
+LISTED = 4096
 
 #: Tokenizer versions by name: a text column's count of tokens, in Spark's own functions.
 VERSIONS: dict[str, Callable[[Column], Column]] = {
@@ -70,11 +73,16 @@ def _bucket(buckets: int) -> Column:
     return F.when(F.col("doc_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).cast("int")
 
 
+def _buckets(rows: int, each: int) -> int:
+    """The power of two that leaves about ``each`` rows in a bucket."""
+    return 1 << max(0, -(-rows // each) - 1).bit_length()
+
+
 class Ledger:
     """Totals and committed batches of signed counts under one folder."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.bucket_rows = spark, bucket_rows
         self.path = path or new_path(spark, "ledger")
 
     def _file(self, name: str):
@@ -106,18 +114,34 @@ class Ledger:
         """Names of the committed batches, in order."""
         return [batch for batch, _, kind in self._log() if kind == "add"]
 
-    def rows(self) -> DataFrame:
-        """The signed rows of all committed batches, with their bucket."""
+    def _folders(self) -> list[str]:
+        """The folders of signed rows since the last base."""
         log = self._log()
-        first = max((k for k, x in enumerate(log) if x[2] == "base"), default=0)
-        parts = [self.spark.read.schema(f"{SIGNED}, bucket int").parquet(f"{self.path}/{folder}/rows") for _, folder, _ in log[first:]]
+        return [folder for _, folder, _ in log[max((k for k, x in enumerate(log) if x[2] == "base"), default=0) :]]
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(f"{SIGNED}, bucket int").parquet(f"{self.path}/{folder}/rows") for folder in folders]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{SIGNED}, bucket int")
 
+    def rows(self) -> DataFrame:
+        """The signed rows of all committed batches, with their bucket."""
+        return self._read(self._folders())
+
+    def held(self, named: DataFrame) -> DataFrame:
+        """The signed rows in the buckets that the ids of ``named`` fall in; a folder's name ends in its number of buckets, a power of two."""
+        folders = self._folders()
+        finest = max((int(x.rsplit("-", 1)[1]) for x in folders), default=1)
+        touched = [r[0] for r in named.select(_bucket(finest)).distinct().limit(LISTED + 1).collect()]
+        if not folders or not touched:
+            return self._read([])
+        if len(touched) > LISTED:
+            return self._read(folders)
+        return reduce(DataFrame.unionByName, [self._read([x]).where(F.col("bucket").isin(sorted({t % int(x.rsplit("-", 1)[1]) for t in touched}))) for x in folders])
+
     def _write(self, rows: DataFrame, folder: str) -> None:
-        """Signed rows, in folders by bucket; a bucket is dealt to as many tasks as there are for it."""
-        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
-        dealt = rows.withColumn("bucket", _bucket(self.buckets))
-        dealt.repartition("bucket", F.pmod(F.hash("doc_id", "version"), F.lit(tasks))).write.partitionBy("bucket").parquet(f"{self.path}/{folder}/rows")
+        """Signed rows, in folders by bucket, each written by one task."""
+        dealt = rows.withColumn("bucket", _bucket(int(folder.rsplit("-", 1)[1])))
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}/rows")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit ``changes`` as ``batch``; False if that batch was committed before."""
@@ -126,22 +150,27 @@ class Ledger:
         log = self._log()
         if any(x[0] == batch and x[2] == "add" for x in log):
             return False
-        folder = f"batch-{uuid.uuid4().hex}"
+        name = uuid.uuid4().hex
         whole = changes.groupBy("doc_id", *GROUP, "op", "seq").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
-        whole.write.parquet(f"{self.path}/{folder}/changes")
-        whole = self.spark.read.schema(whole.schema).parquet(f"{self.path}/{folder}/changes")
-
-        keyed, key = whole.where("doc_id IS NOT NULL"), ["doc_id", "version"]
-        named = keyed.groupBy(*key).agg(F.max(F.when(F.col("op") != "insert", F.col("seq"))).alias("last"))
-        touched = [r[0] for r in named.select(_bucket(self.buckets)).distinct().collect()]  # at most `buckets` numbers
-        held = self.rows().where(F.col("bucket").isin(touched)) if log and touched else self.rows().where(F.lit(False))
-        old = _summed(held.join(named.where("last IS NOT NULL"), key, "left_semi"), "doc_id")
-        minus = old.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
-        valid = keyed.join(named, key).where("last IS NULL OR seq >= last")
-        fresh = valid.where("op = 'insert'")
-        revised = valid.where("op = 'revise'").join(old.select(*key).distinct(), key, "left_semi")
-        loose = whole.where("doc_id IS NULL AND op = 'insert'")
-        signed = [x.select("doc_id", *GROUP, "docs", "tokens") for x in (fresh, revised, loose, minus)]
+        whole.write.parquet(f"{self.path}/changes-{name}")
+        whole = self.spark.read.schema(whole.schema).parquet(f"{self.path}/changes-{name}")
+        size, others = whole.agg(F.count(F.lit(1)), F.count_if(F.col("op") != "insert")).first()
+        folder = f"batch-{name}-{_buckets(size, self.bucket_rows)}"
+
+        if others:
+            keyed, key = whole.where("doc_id IS NOT NULL"), ["doc_id", "version"]
+            named = keyed.groupBy(*key).agg(F.max(F.when(F.col("op") != "insert", F.col("seq"))).alias("last"))
+            ended = named.where("last IS NOT NULL")
+            old = _summed(self.held(ended).join(ended, key, "left_semi"), "doc_id")
+            minus = old.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
+            valid = keyed.join(named, key).where("last IS NULL OR seq >= last")
+            fresh = valid.where("op = 'insert'")
+            revised = valid.where("op = 'revise'").join(old.select(*key).distinct(), key, "left_semi")
+            loose = whole.where("doc_id IS NULL AND op = 'insert'")
+            parts = (fresh, revised, loose, minus)
+        else:
+            parts = (whole,)
+        signed = [x.select("doc_id", *GROUP, "docs", "tokens") for x in parts]
         self._write(_summed(reduce(DataFrame.union, signed), "doc_id"), folder)
 
         delta = self.spark.read.schema(SIGNED).parquet(f"{self.path}/{folder}/rows").select(*GROUP, "docs", "tokens")
@@ -164,8 +193,9 @@ class Ledger:
         """Fold the signed rows of all batches into one set; totals and committed names stay."""
         log = self._log()
         if log:
-            folder = f"base-{uuid.uuid4().hex}"
-            self._write(_summed(self.rows(), "doc_id"), folder)
+            rows = self.rows()
+            folder = f"base-{uuid.uuid4().hex}-{_buckets(rows.count(), self.bucket_rows)}"
+            self._write(_summed(rows, "doc_id"), folder)
             self._totals(log).write.parquet(f"{self.path}/{folder}/totals")
             self._commit(len(log), "", folder, "base")
 

@@ -401,6 +401,33 @@ def test_token_counts_query(sample, edge):
         assert total(token_counts.rolled_up(df)) == {k: tuple(v) for k, v in want.items()}
 
 
+def test_token_batches_read_what_they_need(spark, sample, monkeypatch):
+    """Inserts read no row of the ledger; a delete reads the buckets of its ids alone, which are more in a larger ledger."""
+    ledger, read = token_counts.Ledger(spark, bucket_rows=16), []
+    plain = ledger._read
+    monkeypatch.setattr(ledger, "_read", lambda folders: read.append(folders) or plain(folders))
+    n = sample.count()
+    ledger.apply("a", token_counts.counted(sample, "words-1"))
+    ledger.apply("b", token_counts.counted(sample, "pieces-1"))
+    ledger.apply("c", token_counts.counted(sample.limit(0), "words-1"))
+    assert not read
+    buckets = [int(x.rsplit("-", 1)[1]) for x in ledger._folders()]
+    assert buckets[0] == buckets[1] == token_counts._buckets(n, 16) > 4 and buckets[2] == 1
+    gone = sample.where("doc_id % 37 = 1")
+    held = ledger.held(gone.select("doc_id"))
+    assert 0 < held.select("bucket").distinct().count() <= gone.count() < buckets[0]
+    filters = re.findall(r"PartitionFilters: \[([^]]*bucket[^]]*)\]", held._jdf.queryExecution().executedPlan().toString())
+    assert len(filters) >= 2 and all(" IN (" in x for x in filters)  # the third folder is empty
+    ledger.apply("d", token_counts.counted(gone, "words-1", "delete"))
+    ledger.compact()
+    ledger.apply("e", token_counts.counted(gone, "pieces-1", "delete"))
+    key = lambda df: sorted(map(str, df.collect()))
+    left = sample.join(gone.select("doc_id"), "doc_id", "left_anti")
+    other = token_counts.Ledger(spark)
+    other.apply("a", token_counts.counted(left, "words-1").union(token_counts.counted(left, "pieces-1")))
+    assert key(ledger.totals()) == key(ledger.recounted()) == key(other.totals())
+
+
 def test_token_ledger(spark, sample, reference):
     total = lambda df: {(r.source, r.lang): (r.docs, r.tokens) for r in df.collect()}
     change = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, lang string, version string, op string, tokens long, seq long")
@@ -527,6 +554,7 @@ def test_packing_operator(edge, sample, reference):
             part, r = ids[at : at + 512], by[d.doc_id].pop(k)
             assert (r.start, r.length, r.ids_crc32) == (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
         assert not by[d.doc_id]
+    assert {r.outcome for r in rows} <= {"optimal", "bound reached"} and len({r.outcome for r in rows}) == 1
     check_packing(packing.pack(edge, path).collect(), 4096)
     assert packing.pack(edge.limit(0), path).count() == 0
 
