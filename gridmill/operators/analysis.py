@@ -178,34 +178,73 @@ def ratios(keyed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 LEVELS = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999, 0.9999)
 
 
-def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...] = LEVELS) -> list[float | None]:
-    """Exact quantiles, interpolated between neighbours, of any number of rows.
+#: A bin that holds a wanted rank is split until it has at most so many rows, and a split makes so many bins.
+SORTED, SPLIT = 100_000, 256
 
-    One pass counts rows by a bin of the value, 256 an octave, so a few thousand counts reach the driver; they tell which bins hold
-    the wanted ranks.  A second pass sorts the distinct values of those bins alone, each bin in a task of its own.
+
+def rank_bins(values: DataFrame, ranks: list[int] | None, levels: tuple[float, ...] = LEVELS, most: int = SORTED) -> tuple[int, list[tuple[float, float, int, int]]]:
+    """(rows, bins): the closed bins (low, high, rows before, rows) of ``values`` (v, no null or NaN) that hold the wanted ranks; each has one value or at most ``most`` rows.
+
+    The first pass counts by a bin of the value, 256 an octave; each later one splits the bins that are too large evenly between their least and greatest value,
+    so a double's digits are used up in a few passes.  A few thousand counts reach the driver in the first, ``SPLIT`` a wanted bin in others.
     """
-    v = F.col(value).cast("double")
+    v = F.col("v")
     octave = lambda x: F.floor(F.log2(x) * 256)
     far = 1_000_000  # beyond any octave of a double
     bin_ = F.when(v > 0, octave(v)).when(v < 0, -2 * far - octave(-v)).otherwise(-far).cast("long")
-    binned = df.where(v.isNotNull()).select(bin_.alias("b"), v.alias("v"))
-    counts = sorted(map(tuple, binned.groupBy("b").agg(F.count(F.lit(1))).collect()))
-    n = sum(c for _, c in counts)
+    facts = F.min(v).alias("low"), F.max(v).alias("high"), F.count(F.lit(1)).alias("n")
+    found = [(r.low, r.high, r.n) for r in values.groupBy(bin_.alias("b")).agg(*facts).collect()]
+    n = sum(x[2] for x in found)
+    ranks = ranks if ranks is not None else wanted_ranks(n, levels)
+
+    def holding(bins: list, before: int) -> list:
+        out = []
+        for low, high, c in sorted(bins):
+            if any(before <= k < before + c for k in ranks):
+                out.append((low, high, before, c))
+            before += c
+        return out
+
+    bins = holding(found, 0)
+    while large := [x for x in bins if x[0] < x[1] and x[3] > most]:
+        inside = [(v >= low) & (v <= high) for low, high, _, _ in large]
+        of = F.coalesce(*[F.when(c, k) for k, c in enumerate(inside)])
+        part = F.coalesce(*[F.when(c, F.least(F.floor((v - low) / (high - low) * SPLIT), F.lit(SPLIT - 1))) for c, (low, high, _, _) in zip(inside, large)])
+        rows_ = values.where(reduce(Column.__or__, inside)).groupBy(of.alias("of"), part.alias("part")).agg(*facts).collect()
+        bins = [x for x in bins if x not in large]
+        for k, x in enumerate(large):
+            bins += holding([(r.low, r.high, r.n) for r in rows_ if r.of == k], x[2])
+    return n, sorted(bins)
+
+
+def wanted_ranks(n: int, levels: tuple[float, ...]) -> list[int]:
+    """The ranks, from 0, that quantiles of ``n`` rows are interpolated between."""
+    return sorted({k for q in levels for k in (floor(q * (n - 1)), ceil(q * (n - 1)))}) if n else []
+
+
+def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...] = LEVELS, most: int = SORTED) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, of any number of rows; null and NaN are left out.
+
+    Only the rows of the bins that hold a wanted rank are sorted, each bin in a task of its own that has at most ``most`` rows, whatever their values are.
+    """
+    v = F.col(value).cast("double")
+    values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    n, bins = rank_bins(values, None, levels, most)
     if not n:
         return [None] * len(levels)
-    ranks = sorted({k for q in levels for k in (floor(q * (n - 1)), ceil(q * (n - 1)))})
-    before, first = 0, {}
-    for b, c in counts:
-        if any(before <= k < before + c for k in ranks):
-            first[b] = before
-        before += c
-    start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("b")]
-    values = binned.where(F.col("b").isin(list(first))).groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("b").orderBy("v")) + start
-    placed = values.select("v", (upto - F.col("c")).alias("low"), upto.alias("high"))
-    hit = [(F.col("low") <= k) & (F.col("high") > k) for k in ranks]
-    found = placed.where(reduce(Column.__or__, hit)).collect()  # at most two rows a level
-    at = {k: next(r.v for r in found if r.low <= k < r.high) for k in ranks}
+    ranks, at = wanted_ranks(n, levels), {}
+    for low, high, before, c in bins:
+        if low == high:
+            at |= {k: low for k in ranks if before <= k < before + c}
+    if many := [x for x in bins if x[0] < x[1]]:
+        inside = [F.col("v").between(low, high) for low, high, _, _ in many]
+        start = F.coalesce(*[F.when(c, F.lit(x[2]).cast("long")) for c, x in zip(inside, many)])
+        counts = values.where(reduce(Column.__or__, inside)).groupBy(start.alias("start"), "v").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("start").orderBy("v")) + F.col("start")
+        placed = counts.select("v", (upto - F.col("c")).alias("low"), upto.alias("high"))
+        hit = [(F.col("low") <= k) & (F.col("high") > k) for k in ranks]
+        for r in placed.where(reduce(Column.__or__, hit)).collect():  # at most two rows a level
+            at |= {k: r.v for k in ranks if r.low <= k < r.high}
     out = []
     for q in levels:
         low, high = at[floor(q * (n - 1))], at[ceil(q * (n - 1))]

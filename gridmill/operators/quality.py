@@ -62,10 +62,14 @@ def delays(observed: DataFrame) -> DataFrame:
 def worst(missed: DataFrame, keep: int = 5) -> DataFrame:
     """Meters by rank of missing readings, ties kept."""
     counts = missed.groupBy("meter_id").agg(F.count(F.lit(1)).alias("missing"))
-    # Ranking all meters needs one task, so first drop those below the keep-th largest count, found by a top-k.
-    least = counts.orderBy(F.desc("missing")).limit(keep).agg(F.min("missing").alias("least"))
-    top = counts.join(F.broadcast(least), F.col("missing") >= F.col("least")).drop("least")
-    return top.withColumn("rnk", F.rank().over(Window.orderBy(F.desc("missing"))).cast("long")).where(F.col("rnk") <= keep)
+    # A rank follows from how many meters have each larger count, and ranks up to ``keep`` from the ``keep`` largest counts: a top-k, a row for each.
+    ranks, before = [], 0
+    for r in counts.groupBy("missing").agg(F.count(F.lit(1)).alias("meters")).orderBy(F.desc("missing")).limit(keep).collect():
+        if before < keep:
+            ranks.append((r.missing, before + 1))
+        before += r.meters
+    known = missed.sparkSession.createDataFrame(ranks, "missing long, rnk long")
+    return counts.join(F.broadcast(known), "missing").select("meter_id", "missing", "rnk")
 
 
 def duplicate_groups(raw: DataFrame) -> DataFrame:

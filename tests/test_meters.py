@@ -242,6 +242,33 @@ def test_ordered_compare(spark):
     assert compare.ordered(a, a.limit(2), ["k"]).first()[:] == (3, 2, 1, False)
 
 
+def test_quantile_bins_are_split(spark):
+    """All values in one bin of the first pass: the bins that are sorted have a bounded number of rows, and the quantiles stay exact."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for values in ([1 + k * 1e-9 for k in range(4000)], list(1 + rng.random(4000) ** 8 / 400), [1.0] * 3000 + [1.0 + 2**-52] * 1000, [-1 - k * 1e-12 for k in range(2000)]):
+        df = frame(spark, [(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        n, bins = analysis.rank_bins(df.where("v IS NOT NULL AND NOT isnan(v)"), None, most=20)
+        assert n == len(values) and all(c <= 20 or low == high for low, high, _, c in bins)
+        assert analysis.exact_quantiles(df, "v", most=20) == pytest.approx(list(np.quantile(values, analysis.LEVELS)), rel=1e-15)
+
+
+def test_numbers_and_ranks_without_one_task(spark):
+    """Row numbers by ranges and ranks with ties; no window is without a partition."""
+    single = lambda df: [x for x in df._jdf.queryExecution().toString().split("\n") if "SinglePartition" in x and "Window" in x] + [x for x in df._jdf.queryExecution().toString().split("\n") if "Exchange SinglePartition" in x]
+    df = spark.range(0, 5000, 1, 8).select(F.pmod(F.hash("id"), F.lit(700)).alias("k"), "id")
+    got = compare.numbered(df, [F.desc("k"), F.col("id")])
+    assert not single(got)
+    rows = got.orderBy("_n").collect()
+    assert [r._n for r in rows] == list(range(1, 5001)) and [(r.k, r.id) for r in rows] == sorted(((r.k, r.id) for r in rows), key=lambda x: (-x[0], x[1]))
+    missed = frame(spark, [(m,) for m, n in ((1, 4), (2, 3), (3, 3), (4, 2), (5, 2), (6, 2), (7, 1)) for _ in range(n)], "meter_id bigint")
+    worst = quality.worst(missed, 4)
+    assert not single(worst)
+    assert sorted(map(tuple, worst.collect())) == [(1, 4, 1), (2, 3, 2), (3, 3, 2), (4, 2, 4), (5, 2, 4), (6, 2, 4)]
+    assert quality.worst(missed.limit(0)).count() == 0
+
+
 def test_delete_copies_twice(spark, tmp_path):
     same = reading(1, "2026-09-01")
     table = Table(spark, str(tmp_path / "t"))
