@@ -489,6 +489,18 @@ query("metrics_day", "err", f"SELECT hour_start::DATE AS day, {MET} FROM err GRO
 query("peak_hours", "pred", "SELECT region, hour_start, energy_kwh, prediction, strftime(hour_start, '%a %H:%M') AS label FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY energy_kwh DESC, hour_start) AS n FROM pred) WHERE n = 1")(lambda s, d: forecast.peak_hours(_baseline(s, d)))
 
 
+#: Moments of the lags and the target, as SQL; the means need days without gaps, which small tables don't have.
+LAGGED = forecast.NUMERIC[:3]
+CROSSED = ", ".join(f"sum(({a} * {b})::DECIMAL(28,8))::DOUBLE AS sum_{a}_{b}" for a, b in forecast._products(LAGGED))
+WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in (*LAGGED, "energy_kwh"))
+
+
+@query("forecast_moments", "sp", "SELECT region, hour, dow, count(*) AS n, " + ", ".join(f"sum({c}::DECIMAL(20,8))::DOUBLE AS sum_{c}" for c in (*LAGGED, "energy_kwh")) + f", {CROSSED} FROM sp WHERE split = 'train' AND {WHOLE} GROUP BY region, hour, dow")
+def forecast_moments(s, d):
+    """The sums that a ridge on the lags is solved from, for every penalty, by cell of region, hour and day of the week."""
+    return forecast.moments(_features(s, d).where(f"split = 'train' AND {WHOLE}"), LAGGED)
+
+
 @query("forecast_ridge")
 def forecast_ridge(s, d):
     """Ridge on region totals by day-complete features, alpha chosen on the validation part, scored on the test part.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg, exact_sum
@@ -11,9 +13,11 @@ from ..sources.scratch import new_path
 
 KEYS = ["region", "hour_start"]
 LAGS = (24, 48, 168)
-NUMERIC = ["lag_24h", "lag_48h", "lag_168h", "prev_day_mean", "prev_week_same_hour_mean"]
+TARGET = "energy_kwh"
+NUMERIC = ("lag_24h", "lag_48h", "lag_168h", "prev_day_mean", "prev_week_same_hour_mean")
 CATEGORIES = ["region", "hour", "dow"]
 ALPHAS = (0.1, 1.0, 10.0, 100.0)
+WEIGHTS = "part string, name string, value string, mean double, weight double, alpha double"
 
 
 def hourly(readings: DataFrame, meters: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def leakage(df: DataFrame) -> DataFrame:
 def availability(df: DataFrame) -> DataFrame:
     """The earliest target hour with a value, per feature."""
     first = [F.min(F.when(F.col(c).isNotNull(), F.col("hour_start"))).alias(c) for c in NUMERIC]
-    return df.agg(*first).unpivot([], NUMERIC, "feature", "first_hour")
+    return df.agg(*first).unpivot([], list(NUMERIC), "feature", "first_hour")
 
 
 def split_summary(df: DataFrame) -> DataFrame:
@@ -101,58 +105,139 @@ def peak_hours(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("region", "hour_start", "energy_kwh", "prediction", F.date_format("hour_start", "EEE HH:mm").alias("label"))
 
 
-def ridge(train: DataFrame, alpha: float):
-    """Scaled numbers and one-hot categories with an L2 penalty ``alpha``; unknown categories are all zeros."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    n, spread = train.agg(F.count(F.lit(1)), F.stddev_pop("energy_kwh")).first()
-    stages = [
-        VectorAssembler(inputCols=NUMERIC, outputCol="numbers"),
-        StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        StringIndexer(inputCols=CATEGORIES, outputCols=[f"{c}_i" for c in CATEGORIES], handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"{c}_i" for c in CATEGORIES], outputCols=[f"{c}_v" for c in CATEGORIES], dropLast=True),
-        VectorAssembler(inputCols=["scaled", *[f"{c}_v" for c in CATEGORIES]], outputCol="x"),
-        LinearRegression(featuresCol="x", labelCol="energy_kwh", predictionCol="prediction", regParam=alpha / n * (spread or 1.0), elasticNetParam=0.0, standardization=False, solver="normal"),
-    ]
-    ready = train.withColumns({c: F.col(c).cast("string") for c in CATEGORIES})
-    return Pipeline(stages=stages).fit(ready)
-
-
-def predict(model, df: DataFrame) -> DataFrame:
-    ready = df.withColumns({c: F.col(c).cast("string") for c in CATEGORIES})
-    return model.transform(ready).select(*KEYS, F.col("hour").cast("int").alias("hour"), F.col("dow").cast("int").alias("dow"), "energy_kwh", "prediction")
-
-
-def select_ridge(df: DataFrame, alphas: tuple[float, ...] = ALPHAS):
-    """(model, alpha, validation metrics) of the alpha with the least validation MAE; a metric row reaches the driver per alpha."""
-    train = df.where("split = 'train' AND complete").cache()
-    validation = df.where("split = 'validation' AND complete").cache()
-    tried = []
+def _products(numbers: tuple[str, ...]) -> list[tuple[str, str]]:
+    names = (*numbers, TARGET)
+    return [(a, b) for k, a in enumerate(names) for b in names[k:]]
+
+
+def moments(train: DataFrame, numbers: tuple[str, ...] = NUMERIC) -> DataFrame:
+    """What a ridge of any penalty needs of ``train``: counts, sums and sums of products in each cell of the categories.
+
+    One partial aggregate; the result has a row a cell, so at most regions * 24 * 7, however many rows there are.  Sums are
+    decimals, so they don't depend on the order of rows.
+    """
+    sums = [exact_sum(c).alias(f"sum_{c}") for c in (*numbers, TARGET)]
+    crossed = [F.sum((F.col(a) * F.col(b)).cast("decimal(28,8)")).cast("double").alias(f"sum_{a}_{b}") for a, b in _products(numbers)]
+    return train.groupBy(*CATEGORIES).agg(F.count(F.lit(1)).alias("n"), *sums, *crossed)
+
+
+@dataclass(frozen=True)
+class Ridge:
+    """A fitted ridge as plain weights: by number its mean and weight a unit, by category its values' weights."""
+
+    alpha: float
+    intercept: float
+    numbers: dict[str, tuple[float, float]]
+    categories: dict[str, dict[str, float]]
+
+    def prediction(self) -> Column:
+        """The prediction as an expression, so scoring stays in the scan's own stage; unknown categories add nothing, a null number gives null."""
+        out = F.lit(self.intercept)
+        for c, (mean, weight) in self.numbers.items():
+            out = out + (F.col(c) - F.lit(mean)) * F.lit(weight)
+        for c, weights in self.categories.items():
+            if weights:
+                known = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+                out = out + F.coalesce(F.try_element_at(known, F.col(c).cast("string")), F.lit(0.0))
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One row a weight."""
+        rows = [("intercept", None, None, None, self.intercept, self.alpha)]
+        rows += [("number", c, None, mean, weight, self.alpha) for c, (mean, weight) in self.numbers.items()]
+        rows += [("category", c, value, None, weight, self.alpha) for c, weights in self.categories.items() for value, weight in weights.items()]
+        spark.createDataFrame(rows, WEIGHTS).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Ridge:
+        rows = spark.read.schema(WEIGHTS).parquet(path).collect()  # a row a weight
+        first = next(r for r in rows if r["part"] == "intercept")
+        categories: dict = {}
+        for r in rows:
+            if r["part"] == "category":
+                categories.setdefault(r["name"], {})[r["value"]] = r["weight"]
+        return Ridge(first["alpha"], first["weight"], {r["name"]: (r["mean"], r["weight"]) for r in rows if r["part"] == "number"}, categories)
+
+
+def solved(cells: list, alphas: tuple[float, ...], numbers: tuple[str, ...] = NUMERIC) -> list[Ridge]:
+    """A ridge for each penalty (above 0) from the collected cells of ``moments``.
+
+    Numbers are scaled by their mean and sample deviation (a constant one counts as 0), categories are one column a value, the intercept
+    has no penalty.  The matrix has a column a number and a category's value, whatever the rows were.
+    """
+    import numpy as np
+
+    k = len(numbers)
+    cells = sorted(cells, key=lambda r: [str(r[c]) for c in CATEGORIES])  # the order they came in doesn't reach the last digit
+    n = np.array([r["n"] for r in cells], dtype=float)
+    sums = np.array([[r[f"sum_{c}"] for c in (*numbers, TARGET)] for r in cells], dtype=float)
+    values = {c: sorted({str(r[c]) for r in cells if r[c] is not None}) for c in CATEGORIES}
+    hot = np.array([[float(r[c] is not None and str(r[c]) == v) for c in CATEGORIES for v in values[c]] for r in cells])
+    crossed = np.zeros((k + 1, k + 1))
+    at = {c: i for i, c in enumerate((*numbers, TARGET))}
+    for a, b in _products(numbers):
+        crossed[at[a], at[b]] = crossed[at[b], at[a]] = sum(r[f"sum_{a}_{b}"] for r in cells)
+
+    rows = n.sum()
+    gram = np.block([[crossed[:k, :k], sums[:, :k].T @ hot], [hot.T @ sums[:, :k], hot.T @ (n[:, None] * hot)]])
+    by_target = np.concatenate((crossed[:k, k], hot.T @ sums[:, k]))
+    means = np.concatenate((sums[:, :k].sum(0), hot.T @ n)) / rows
+    target = sums[:, k].sum() / rows
+    gram -= rows * np.outer(means, means)
+    by_target -= rows * means * target
+    # Differences of the sums' own rounding aren't a spread.
+    spread = np.diag(gram)[:k] / max(rows - 1, 1)
+    flat = spread <= 1e-12 * np.maximum(np.diag(crossed)[:k] / rows, 1e-300)
+    unit = np.concatenate((np.where(flat, 0.0, 1 / np.sqrt(np.where(flat, 1.0, spread))), np.ones(hot.shape[1])))
+    gram, by_target = gram * np.outer(unit, unit), by_target * unit
+
+    out = []
     for alpha in alphas:
-        model = ridge(train, alpha)
-        tried.append((metrics(predict(model, validation)).first().asDict() | {"alpha": alpha}, model))
-    train.unpersist()
-    validation.unpersist()
-    best = min(tried, key=lambda x: (x[0]["mae"], x[0]["alpha"]))
-    return best[1], best[0]["alpha"], [x[0] for x in tried]
+        w = unit * np.linalg.solve(gram + alpha * np.eye(len(gram)), by_target)
+        weights = iter(w[k:].tolist())
+        categories = {c: {v: next(weights) for v in values[c]} for c in CATEGORIES}
+        by_number = {c: (float(means[i]), float(w[i])) for i, c in enumerate(numbers)}
+        out.append(Ridge(float(alpha), float(target - means[k:] @ w[k:]), by_number, categories))
+    return out
+
+
+def ridge(train: DataFrame, alpha: float, numbers: tuple[str, ...] = NUMERIC) -> Ridge:
+    """Scaled numbers and one-hot categories with an L2 penalty ``alpha``; unknown categories are all zeros."""
+    return solved(moments(train, numbers).collect(), (alpha,), numbers)[0]
+
+
+def predict(model: Ridge, df: DataFrame) -> DataFrame:
+    return df.select(*KEYS, F.col("hour").cast("int").alias("hour"), F.col("dow").cast("int").alias("dow"), TARGET, model.prediction().alias("prediction"))
+
+
+def select_ridge(df: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> tuple[Ridge, float, list[dict]]:
+    """(model, alpha, validation metrics) of the alpha with the least validation MAE.
+
+    One pass over the training part gives the moments all penalties share, and one over the validation part scores all of them.
+    """
+    models = solved(moments(df.where("split = 'train' AND complete")).collect(), alphas)
+    scores = F.array(*[F.struct(F.lit(m.alpha).alias("alpha"), m.prediction().alias("prediction")) for m in models])
+    tried = df.where("split = 'validation' AND complete").select(TARGET, F.explode(scores).alias("_")).select(TARGET, "_.alpha", "_.prediction")
+    rows = sorted((r.asDict() for r in metrics(tried, "alpha").collect()), key=lambda r: r["alpha"])  # a row an alpha
+    best = min(rows, key=lambda r: (r["mae"], r["alpha"]))["alpha"]
+    return next(m for m in models if m.alpha == best), best, rows
 
 
 def ridge_metrics(df: DataFrame, path: str | None = None) -> DataFrame:
     """Metrics and alpha of the selected ridge over the complete test rows; n = 0 and nulls if a part has no complete row.
 
     The model is chosen on the validation part, frozen in a folder (``path``, or a new one), read back, and only then
-    sees the test part.
+    sees the test part.  The features (a row a region and hour) are written once, as four passes read them.
     """
+    spark, made = df.sparkSession, new_path(df.sparkSession, "features")
+    df.write.parquet(made)
+    df = spark.read.schema(df.schema).parquet(made)
     test = df.where("split = 'test' AND complete")
     usable = {r["split"]: r["usable_rows"] for r in split_summary(df).select("split", "usable_rows").collect()}  # three rows
     if not all(usable.get(part) for part in ("train", "validation", "test")):
-        empty = test.select(*KEYS, "energy_kwh", F.lit(None).cast("double").alias("prediction")).where(F.lit(False))
+        empty = test.select(*KEYS, TARGET, F.lit(None).cast("double").alias("prediction")).where(F.lit(False))
         return metrics(empty).withColumn("alpha", F.lit(None).cast("double"))
-    from pyspark.ml import PipelineModel
-
     model, alpha, _ = select_ridge(df)
-    path = path or new_path(df.sparkSession, "model")
-    model.write().overwrite().save(path)
-    return metrics(predict(PipelineModel.load(path), test)).withColumn("alpha", F.lit(alpha))
+    path = path or new_path(spark, "model")
+    model.save(spark, path)
+    return metrics(predict(Ridge.load(spark, path), test)).withColumn("alpha", F.lit(alpha))

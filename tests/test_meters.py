@@ -167,6 +167,55 @@ def test_ridge_closed_form(spark):
     assert np.abs(got - (xc @ w + y.mean())).max() < 1e-6
 
 
+def ridge_rows(n, regions=3, seed=1):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    schema = "region string, hour_start timestamp_ntz, energy_kwh double, hour int, dow int, lag_24h double, lag_48h double, lag_168h double, prev_day_mean double, prev_week_same_hour_mean double, split string, complete boolean"
+    part = lambda k: ("train", "train", "validation", "test")[k % 4]
+    return [("Region %d" % (k % regions), T("2026-09-01") + timedelta(hours=k), float(rng.normal(10)), k % 24, k % 7, *map(float, rng.normal(5, 2, size=4)), 3.5, part(k), True) for k in range(n)], schema
+
+
+def test_all_penalties_from_one_pass(spark):
+    """Moments of any partitioning give the same weights, one aggregate serves all penalties, and cells bound what is collected."""
+    rows, schema = ridge_rows(2000)
+    df = frame(spark, rows, schema)
+    cells = forecast.moments(df).collect()
+    assert len(cells) <= 3 * 24 * 7 and sum(c.n for c in cells) == 2000
+    again = forecast.moments(df.orderBy("energy_kwh").repartition(7)).collect()
+    assert sorted(map(tuple, cells)) == sorted(map(tuple, again))
+    plan = forecast.moments(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "Python" not in plan
+    for one, alpha in zip(forecast.solved(cells, forecast.ALPHAS), forecast.ALPHAS):
+        alone = forecast.ridge(df, alpha)
+        assert one.alpha == alpha and one.intercept == pytest.approx(alone.intercept, rel=1e-9)
+        assert one.numbers["prev_week_same_hour_mean"] == (3.5, 0.0)  # constant: no spread, no weight
+
+
+def test_selection_is_the_least_validation_error(spark):
+    rows, schema = ridge_rows(1200)
+    df = frame(spark, rows, schema)
+    model, alpha, tried = forecast.select_ridge(df)
+    want = {a: forecast.metrics(forecast.predict(forecast.ridge(df.where("split = 'train'"), a), df.where("split = 'validation'"))).first() for a in forecast.ALPHAS}
+    assert [t["alpha"] for t in tried] == list(forecast.ALPHAS)
+    for t in tried:
+        assert t["mae"] == pytest.approx(want[t["alpha"]].mae, rel=1e-7) and t["n"] == want[t["alpha"]].n
+    assert alpha == model.alpha == min(forecast.ALPHAS, key=lambda a: (want[a].mae, a))
+
+
+def test_ridge_of_unknown_and_null_values(spark):
+    """A region that training hasn't seen, and a null one, add nothing; a null number gives no prediction."""
+    rows, schema = ridge_rows(400)
+    model = forecast.ridge(frame(spark, rows, schema), 1.0)
+    base = list(rows[0])
+    new = [tuple(["Region 9", *base[1:]]), tuple([None, *base[1:]]), tuple([*base[:5], None, *base[6:]])]
+    a, b, c = forecast.predict(model, frame(spark, new, schema)).collect()
+    known = forecast.predict(model, frame(spark, rows[:1], schema)).first().prediction
+    assert a.prediction == b.prediction == pytest.approx(known - model.categories["region"][base[0]]) and c.prediction is None
+    one = forecast.ridge(frame(spark, rows[:1], schema), 1.0)  # a single row: the intercept is all there is
+    assert forecast.predict(one, frame(spark, rows[:1], schema)).first().prediction == pytest.approx(rows[0][2])
+
+
 def test_peak_tie_and_compare(spark):
     rows = [("Region 1", T("2026-09-01 05:00"), 9.0, 1.0), ("Region 1", T("2026-09-01 03:00"), 9.0, 1.0)]
     p = forecast.peak_hours(frame(spark, rows, "region string, hour_start timestamp_ntz, energy_kwh double, prediction double")).first()
@@ -303,4 +352,4 @@ def test_frozen_model_scores_the_same(spark, tmp_path):
     got = forecast.ridge_metrics(df, str(tmp_path / "m")).first()
     model, alpha, _ = forecast.select_ridge(df)
     want = forecast.metrics(forecast.predict(model, df.where("split = 'test' AND complete"))).first()
-    assert (tmp_path / "m" / "stages").exists() and got.alpha == alpha and got.mae == pytest.approx(want.mae, rel=1e-6)
+    assert forecast.Ridge.load(spark, str(tmp_path / "m")) == model and got.alpha == alpha and got.mae == pytest.approx(want.mae, rel=1e-6)
