@@ -12,15 +12,15 @@ constant; each is hashed to a row of weights.
 
 1.  Words are counted over all training documents (a shuffle by 64-bit word hash), and so are pairs of a word's bucket and
     its predecessor's.  Buckets that follow alike buckets form the groups, and in each group the classes (weighted k-means of 2048 rows).
-2.  Training passes over all training documents in ``ROUNDS`` disjoint parts.  Each partition takes Adagrad steps on
+2.  Training passes over all training documents in ``ROUNDS`` disjoint parts, dealt by a hash.  Each task takes Adagrad steps on
     minibatches from the common weights, and hands back each row's change with its evidence, the squared gradients it has
     seen.  A grouped aggregate merges them: where the evidence is large the result is its weighted mean, and where each
-    partition saw little it is the sum, so what more partitions see counts as more.
+    task saw little it is the sum, so what more tasks see counts as more.
 3.  Scoring adds up log-probabilities in numpy.  Counts of at most ``HEAD`` frequent words travel with the model;
     the other words of each text meet their counts in a join, so nothing of the corpus' size passes the driver.
 
 The weight tables have ``ROWS`` rows, a parameter: it is what every training task holds and hands back, and a task
-reads ``TASK_TOKENS`` tokens or more where there are as many.
+reads about ``TASK_TOKENS`` tokens where there are as many.  Rows equal in id and text are read by one task, as a stream.
 
 Defined cases: null counts as empty text, which is the end token alone.  Null ids count as the empty text in the
 split.  Repeated rows are counted as often as they occur and get equal scores.  An empty table gives an empty result.  Without training rows all
@@ -295,8 +295,12 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(*total, frequent["key"].to_numpy()[order], frequent["c"].to_numpy()[order], place[order], of_bucket, np.log10(n + 0.5 * (v + 1)), masks)
 
 
-def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, rounds: int = ROUNDS):
-    """The weight tables after ``rounds`` merged passes; round r reads the rows whose ``part`` is r."""
+def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, rounds: int = ROUNDS, id_col: str = "doc_id"):
+    """The weight tables after ``rounds`` merged passes; round r reads the rows whose ``part`` is r.
+
+    Steps depend on what a task read before, so rows are dealt to tasks, and read there, by a hash of id and text: however
+    the table's files lie, the same rows give the same weights (up to the rounding of merged sums).
+    """
     import numpy as np
 
     weights = [np.zeros((rows, n), dtype=np.float32) for rows, n in zip(ROWS, (GROUPS, CLASSES, OUTCOMES))]
@@ -334,9 +338,11 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(held - PRIOR - before[level][at]), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
 
         schema = "t int, row int, e float, " + ", ".join(f"{c} float" for c in columns)
-        # What a task hands back doesn't depend on its size, so small partitions are read together: tasks grow with the tokens alone.
+        # What a task hands back doesn't depend on its size, so tasks grow with the tokens alone.
         tasks = max(1, -(-words.n // (rounds * TASK_TOKENS)))
-        changes = docs.where(part == r).select(text_or_empty(text_col)).coalesce(tasks).mapInArrow(tidied(run), schema)
+        text = text_or_empty(text_col)
+        rows = docs.where(part == r).select(text.alias("_text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("_at"))
+        changes = rows.repartition(tasks, "_at").sortWithinPartitions("_at").select("_text").mapInArrow(tidied(run), schema)
         # Each change was held back by the prior and what was known before, besides its own evidence; all evidence together is held back by them once.
         merged = changes.groupBy("t", "row").agg(*[F.sum(c).cast("float").alias(c) for c in ("e", *columns)]).toArrow()  # at most sum(ROWS) rows
         levels = merged["t"].to_numpy()
@@ -375,7 +381,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     counts = written(word_counts(learn, text_col))
     words = vocabulary(counts, head)
     part = F.pmod(F.floor(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) / 5), F.lit(ROUNDS))
-    weights = train(learn, part, words, text_col)
+    weights = train(learn, part, words, text_col, id_col=id_col)
     base_under = float(np.log10(words.n + 0.5 * (words.v + 1)))
 
     def run(batches):

@@ -670,6 +670,19 @@ def test_lm_scores(spark, sf, edge):
     assert lm_scoring.lm_scores(edge.limit(0), lm_scoring.split()).count() == 0
 
 
+def test_lm_is_repeatable(spark, sf, monkeypatch):
+    """The same rows in another order and other partitions give the same scores; more than one task takes part."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    df = df.union(df.where("doc_id % 9 = 0"))  # repeated rows too
+    monkeypatch.setattr(lm_scoring, "TASK_TOKENS", 15_000)
+    seen = []
+    for layout in (df.coalesce(1), df.repartition(7, "text").sortWithinPartitions(F.desc("doc_id"))):
+        seen.append({(r.doc_id, r.n_tokens): r for r in lm_scoring.lm_scores(layout, lm_scoring.split()).collect()})
+    assert seen[0].keys() == seen[1].keys() and seen[0][next(iter(seen[0]))].train_tokens > 4 * 15_000
+    for k, r in seen[0].items():
+        assert abs(r.score - seen[1][k].score) < 0.001 * r.n_tokens and r.base_score == pytest.approx(seen[1][k].base_score)
+
+
 def test_lm_is_a_distribution(spark):
     """After any history, the probabilities of all counted words, one unseen word of each class and the end add up to one."""
     import numpy as np
@@ -710,7 +723,6 @@ def test_lm_learns_more_from_more_partitions(spark, monkeypatch):
     """Evidence that partitions gather apart counts as if one had seen it, and doesn't fade in a mean."""
     import numpy as np
 
-    monkeypatch.setattr(lm_scoring, "TASK_TOKENS", 1)
     rnd = random.Random(8)
     line = lambda: " ".join(x for _ in range(12) for x in rnd.choice([("kaffee", "tasse"), ("rotes", "licht"), ("zum", "hafen")]))
     texts = [line() for _ in range(320)]
@@ -719,6 +731,7 @@ def test_lm_learns_more_from_more_partitions(spark, monkeypatch):
     def gain(n, partitions):
         train = docs(spark, texts[:n]).repartition(partitions, "doc_id")
         words = lm_scoring.vocabulary(lm_scoring.word_counts(docs(spark, texts), "text"))
+        monkeypatch.setattr(lm_scoring, "TASK_TOKENS", -(-words.n // partitions))
         weights = lm_scoring.train(train, F.lit(0), words, "text", rounds=1)
         total = 0.0
         for t in held:
