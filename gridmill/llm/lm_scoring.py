@@ -12,15 +12,15 @@ constant; each is hashed to a row of weights.
 
 1.  Words are counted over all training documents (a shuffle by 64-bit word hash), and so are pairs of a word's bucket and
     its predecessor's.  Buckets that follow alike buckets form the groups, and in each group the classes (weighted k-means of 2048 rows).
-2.  Training passes over all training documents in ``ROUNDS`` disjoint parts, dealt by a hash.  Each task takes Adagrad steps on
+2.  Training passes over all training documents in ``ROUNDS`` disjoint parts, dealt to shards by a hash.  Each shard takes Adagrad steps on
     minibatches from the common weights, and hands back each row's change with its evidence, the squared gradients it has
     seen.  A grouped aggregate merges them: where the evidence is large the result is its weighted mean, and where each
-    task saw little it is the sum, so what more tasks see counts as more.
+    shard saw little it is the sum, so what more shards see counts as more.
 3.  Scoring adds up log-probabilities in numpy.  Counts of at most ``HEAD`` frequent words travel with the model;
     the other words of each text meet their counts in a join, so nothing of the corpus' size passes the driver.
 
-The weight tables have ``ROWS`` rows, a parameter: it is what every training task holds and hands back, and a task
-reads about ``TASK_TOKENS`` tokens where there are as many.  Rows equal in id and text are read by one task, as a stream.
+The weight tables have ``ROWS`` rows, a parameter: it is what every shard of the training holds and hands back, and a shard
+has about ``TASK_TOKENS`` tokens where there are as many.  Rows equal in id and text are in one shard, read as a stream.
 
 Defined cases: null counts as empty text, which is the end token alone.  Null ids count as the empty text in the
 split.  Repeated rows are counted as often as they occur and get equal scores.  An empty table gives an empty result.  Without training rows all
@@ -30,6 +30,7 @@ counts are 0 and the weights stay 0.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -298,8 +299,9 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
 def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, rounds: int = ROUNDS, id_col: str = "doc_id"):
     """The weight tables after ``rounds`` merged passes; round r reads the rows whose ``part`` is r.
 
-    Steps depend on what a task read before, so rows are dealt to tasks, and read there, by a hash of id and text: however
-    the table's files lie, the same rows give the same weights (up to the rounding of merged sums).
+    Steps depend on what was read before, so rows are dealt to shards, and read there, by a hash of id and text, and each shard
+    starts from the common weights, whichever partition holds it.  However the table's files lie and however many partitions
+    there are, the same rows give the same weights (up to the rounding of merged sums).
     """
     import numpy as np
 
@@ -314,11 +316,17 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
 
             from ._vector import blocks
 
-            now = [w.copy() for w in begun]
-            squares = [np.repeat((PRIOR + e)[None, :], w.shape[1], 0) for w, e in zip(begun, before)]
-            seen, done = [np.zeros(rows, dtype=bool) for rows in ROWS], 0
-            for batch in sliced(batches, 2048):
-                for data, starts in blocks(x.as_py() or b"" for x in batch.column(0).cast(pa.binary())):
+            def parts():
+                for batch in sliced(batches, 2048):
+                    shard = batch.column(0).to_numpy()
+                    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
+                    yield from ((shard[a], batch.column(1).slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+            for _, found in groupby(parts(), lambda x: x[0]):
+                now = [w.copy() for w in begun]
+                squares = [np.repeat((PRIOR + e)[None, :], w.shape[1], 0) for w, e in zip(begun, before)]
+                seen, done = [np.zeros(rows, dtype=bool) for rows in ROWS], 0
+                for data, starts in blocks(x.as_py() or b"" for _, texts in found for x in texts.cast(pa.binary())):
                     key, bucket, doc = _tokens(data, starts)
                     kind = words.of_bucket[bucket]
                     history = _history(key, kind, doc)
@@ -331,18 +339,19 @@ def train(docs: DataFrame, part: Column, words: Vocabulary, text_col: str, round
                             if len(given):
                                 rows = _rows(history[b][which], level, given)
                                 _step(now[level], squares[level], seen[level], rows, target, words.masks[level][given], RATE)
-            for level in range(LEVELS):
-                at = np.flatnonzero(seen[level])
-                held = squares[level].mean(0)[at]
-                change = (now[level] - begun[level])[at] * held[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(held - PRIOR - before[level][at]), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
+                for level in range(LEVELS):
+                    at = np.flatnonzero(seen[level])
+                    held = squares[level].mean(0)[at]
+                    change = (now[level] - begun[level])[at] * held[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(held - PRIOR - before[level][at]), *(pa.array(change[:, c]) for c in range(change.shape[1]))], names=["t", "row", "e", *columns])
 
         schema = "t int, row int, e float, " + ", ".join(f"{c} float" for c in columns)
-        # What a task hands back doesn't depend on its size, so tasks grow with the tokens alone.
-        tasks = max(1, -(-words.n // (rounds * TASK_TOKENS)))
+        # What a shard hands back doesn't depend on its size, so shards grow with the tokens alone, and not with the session's partitions.
+        shards = max(1, -(-words.n // (rounds * TASK_TOKENS)))
         text = text_or_empty(text_col)
         rows = docs.where(part == r).select(text.alias("_text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("_at"))
-        changes = rows.repartition(tasks, "_at").sortWithinPartitions("_at").select("_text").mapInArrow(tidied(run), schema)
+        dealt = rows.withColumn("_shard", F.pmod("_at", F.lit(shards))).repartition(shards, "_shard").sortWithinPartitions("_shard", "_at")
+        changes = dealt.select("_shard", "_text").mapInArrow(tidied(run), schema)
         # Each change was held back by the prior and what was known before, besides its own evidence; all evidence together is held back by them once.
         merged = changes.groupBy("t", "row").agg(*[F.sum(c).cast("float").alias(c) for c in ("e", *columns)]).toArrow()  # at most sum(ROWS) rows
         levels = merged["t"].to_numpy()

@@ -671,7 +671,7 @@ def test_lm_scores(spark, sf, edge):
 
 
 def test_lm_is_repeatable(spark, sf, monkeypatch):
-    """The same rows in another order and other partitions give the same scores; more than one task takes part."""
+    """The same rows in another order and other partitions give the same scores, and so do shards that share partitions."""
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     df = df.union(df.where("doc_id % 9 = 0"))  # repeated rows too
     monkeypatch.setattr(lm_scoring, "TASK_TOKENS", 15_000)
@@ -682,6 +682,14 @@ def test_lm_is_repeatable(spark, sf, monkeypatch):
     for k, r in seen[0].items():
         assert abs(r.score - seen[1][k].score) < 0.001 * r.n_tokens and r.base_score == pytest.approx(seen[1][k].base_score)
 
+    words = lm_scoring.vocabulary(lm_scoring.word_counts(df, "text"))
+    weights = [lm_scoring.train(df, F.lit(0), words, "text", rounds=1)]
+    dealt = type(df).repartition
+    for partitions in (2, 40):
+        monkeypatch.setattr(type(df), "repartition", lambda self, n, *by, p=partitions: dealt(self, p, *by))
+        weights.append(lm_scoring.train(df, F.lit(0), words, "text", rounds=1))
+    assert all(abs(a - b).max() < 1e-4 for other in weights[1:] for a, b in zip(weights[0], other))
+
 
 def test_lm_is_a_distribution(spark):
     """After any history, the probabilities of all counted words, one unseen word of each class and the end add up to one."""
