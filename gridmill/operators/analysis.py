@@ -170,9 +170,11 @@ def baseline(keyed: DataFrame) -> DataFrame:
 
 
 def ratios(keyed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Each reading over its slot's median; ``stored`` is a baseline that was written before.  A median of 0 gives a null ratio."""
+    """Each reading over its slot's median; ``stored`` is a baseline that was written before.  A median of 0 gives an infinite ratio, and NaN for a reading of 0."""
     known = stored if stored is not None else baseline(keyed)
-    return keyed.join(known, ["meter_id", "slot", "weekend"]).withColumn("ratio", F.try_divide("power_kw", "median_kw"))
+    p, zero, value = F.col("power_kw"), F.col("median_kw") == 0, lambda x: F.lit(float(x))
+    ratio = F.when(~zero, F.try_divide(p, "median_kw")).when(zero & (F.isnan(p) | (p == 0)), value("nan")).when(zero & (p > 0), value("inf")).when(zero & (p < 0), value("-inf"))
+    return keyed.join(known, ["meter_id", "slot", "weekend"]).withColumn("ratio", ratio)
 
 
 LEVELS = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999, 0.9999)
@@ -183,15 +185,16 @@ SORTED, SPLIT = 100_000, 256
 
 
 def rank_bins(values: DataFrame, ranks: list[int] | None, levels: tuple[float, ...] = LEVELS, most: int = SORTED) -> tuple[int, list[tuple[float, float, int, int]]]:
-    """(rows, bins): the closed bins (low, high, rows before, rows) of ``values`` (v, no null or NaN) that hold the wanted ranks; each has one value or at most ``most`` rows.
+    """(rows, bins): the closed bins (low, high, rows before, rows) of ``values`` (v, no null) that hold the wanted ranks; each has one value or at most ``most`` rows.
 
-    The first pass counts by a bin of the value, 256 an octave; each later one splits the bins that are too large evenly between their least and greatest value,
+    The first pass counts by a bin of the value, 256 an octave, with the infinities and NaN, the greatest value, in bins of their own; each later one splits the bins that are too large evenly between their least and greatest value,
     so a double's digits are used up in a few passes.  A few thousand counts reach the driver in the first, ``SPLIT`` a wanted bin in others.
     """
     v = F.col("v")
     octave = lambda x: F.floor(F.log2(x) * 256)
     far = 1_000_000  # beyond any octave of a double
-    bin_ = F.when(v > 0, octave(v)).when(v < 0, -2 * far - octave(-v)).otherwise(-far).cast("long")
+    ends = F.when(F.isnan(v), 2 * far).when(v == float("inf"), far).when(v == float("-inf"), -4 * far)
+    bin_ = ends.when(v > 0, octave(v)).when(v < 0, -2 * far - octave(-v)).otherwise(-far).cast("long")
     facts = F.min(v).alias("low"), F.max(v).alias("high"), F.count(F.lit(1)).alias("n")
     found = [(r.low, r.high, r.n) for r in values.groupBy(bin_.alias("b")).agg(*facts).collect()]
     n = sum(x[2] for x in found)
@@ -199,7 +202,7 @@ def rank_bins(values: DataFrame, ranks: list[int] | None, levels: tuple[float, .
 
     def holding(bins: list, before: int) -> list:
         out = []
-        for low, high, c in sorted(bins):
+        for low, high, c in sorted(bins, key=lambda x: (x[0] != x[0], x)):  # NaN last
             if any(before <= k < before + c for k in ranks):
                 out.append((low, high, before, c))
             before += c
@@ -214,7 +217,7 @@ def rank_bins(values: DataFrame, ranks: list[int] | None, levels: tuple[float, .
         bins = [x for x in bins if x not in large]
         for k, x in enumerate(large):
             bins += holding([(r.low, r.high, r.n) for r in rows_ if r.of == k], x[2])
-    return n, sorted(bins)
+    return n, sorted(bins, key=lambda x: x[2])
 
 
 def wanted_ranks(n: int, levels: tuple[float, ...]) -> list[int]:
@@ -222,19 +225,19 @@ def wanted_ranks(n: int, levels: tuple[float, ...]) -> list[int]:
     return sorted({k for q in levels for k in (floor(q * (n - 1)), ceil(q * (n - 1)))}) if n else []
 
 
-def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...] = LEVELS, most: int = SORTED) -> list[float | None]:
-    """Exact quantiles, interpolated between neighbours, of any number of rows; null and NaN are left out.
+def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...] = LEVELS, most: int = SORTED, nan: bool = False) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbours, of any number of rows; null is left out, and so is NaN unless ``nan`` counts it as the greatest value.
 
     Only the rows of the bins that hold a wanted rank are sorted, each bin in a task of its own that has at most ``most`` rows, whatever their values are.
     """
     v = F.col(value).cast("double")
-    values = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
+    values = df.where(v.isNotNull() if nan else v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
     n, bins = rank_bins(values, None, levels, most)
     if not n:
         return [None] * len(levels)
     ranks, at = wanted_ranks(n, levels), {}
     for low, high, before, c in bins:
-        if low == high:
+        if not low < high:
             at |= {k: low for k in ranks if before <= k < before + c}
     if many := [x for x in bins if x[0] < x[1]]:
         inside = [F.col("v").between(low, high) for low, high, _, _ in many]
@@ -247,14 +250,14 @@ def exact_quantiles(df: DataFrame, value: str, levels: tuple[float, ...] = LEVEL
             at |= {k: r.v for k in ranks if r.low <= k < r.high}
     out = []
     for q in levels:
-        low, high = at[floor(q * (n - 1))], at[ceil(q * (n - 1))]
-        out.append(low + (high - low) * (q * (n - 1) - floor(q * (n - 1))))
+        low, high, part = at[floor(q * (n - 1))], at[ceil(q * (n - 1))], q * (n - 1) - floor(q * (n - 1))
+        out.append(low * (1 - part) + high * part if low != high else low)
     return out
 
 
 def ratio_distribution(ratio: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """Least and greatest ratio, and exact quantiles between."""
-    q = exact_quantiles(ratio, "ratio", levels)
+    """Least and greatest ratio, and exact quantiles between; NaN is the greatest value."""
+    q = exact_quantiles(ratio, "ratio", levels, nan=True)
     fixed = [F.round(F.lit(x).cast("double"), 9).alias(f"q{k}") for k, x in enumerate(q)]
     return ratio.agg(F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio")).select("min_ratio", *fixed, "max_ratio")
 

@@ -353,3 +353,22 @@ def test_frozen_model_scores_the_same(spark, tmp_path):
     model, alpha, _ = forecast.select_ridge(df)
     want = forecast.metrics(forecast.predict(model, df.where("split = 'test' AND complete"))).first()
     assert forecast.Ridge.load(spark, str(tmp_path / "m")) == model and got.alpha == alpha and got.mae == pytest.approx(want.mae, rel=1e-6)
+
+
+def test_ratios_over_a_median_of_zero(spark):
+    """As the SQL does: 0 over 0 is NaN, the greatest value, and counts in quantiles; other readings are infinite."""
+    import duckdb
+
+    rows = [(1, 0, False, p) for p in (0.0, 0.0, 0.0, 5.0, -2.0, None)] + [(2, 0, False, float(p)) for p in range(1, 40)]
+    ratio = analysis.ratios(frame(spark, rows, "meter_id bigint, slot int, weekend boolean, power_kw double"))
+    got = [r.ratio for r in ratio.orderBy("meter_id", "power_kw").collect()]
+    assert got[0] is None and got[1] == -float("inf") and all(x != x for x in got[2:5]) and got[5] == float("inf")
+    con = duckdb.connect()
+    con.execute("create table t (m int, p double)")
+    con.executemany("insert into t values (?, ?)", [(m, p) for m, _, _, p in rows])
+    levels = (*analysis.LEVELS, 0.2, 0.9, 0.95, 1.0)
+    want = con.sql(
+        "with ratio as (select p / b as ratio from t join (select m, quantile_cont(p, 0.5) as b from t group by m) using (m)) select min(ratio), "
+        + ", ".join(f"round(quantile_cont(ratio, {q}), 9)" for q in levels) + ", max(ratio) from ratio"
+    ).fetchall()[0]
+    assert repr(tuple(analysis.ratio_distribution(ratio, levels).first())) == repr(want)
