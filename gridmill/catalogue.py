@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -595,16 +596,16 @@ def live_landed(s, d):
     return _stored_landing(s, d).where("delivery = 1").select("meter_id", "event_time", "received_time", "power_kw", "energy_kwh")
 
 
-def _run(s, stream: DataFrame) -> DataFrame:
-    """What a stream gives out over all that is there now, by way of files."""
+def _run(s, stream: DataFrame, last: Callable[[], None] | None = None) -> DataFrame:
+    """What a stream gives out over all that is there now, and what comes by ``last``, by way of files."""
     top = new_path(s)
-    live.run_all(stream, f"{top}/out", f"{top}/checkpoint")
+    live.run_all(stream, f"{top}/out", f"{top}/checkpoint", last)
     return s.read.schema(stream.schema).parquet(f"{top}/out")
 
 
 def _live(s, d, group):
     """The readings of the log as a stream; messages have their ids, so deliveries after the first can be told."""
-    return live.parsed(_messages(s, d, group)).where("ok").select("id", *live.FIELDS)
+    return live.parsed(_messages(s, d, f"{group}-{uuid.uuid4().hex}")).where("ok").select("id", *live.FIELDS)  # a group of its own: each call reads the whole log
 
 
 query("live_deduplicated", "raw", "SELECT meter_id, event_time, count(*) AS n FROM (SELECT DISTINCT meter_id, event_time FROM raw) GROUP BY 1, 2")(
@@ -612,9 +613,14 @@ query("live_deduplicated", "raw", "SELECT meter_id, event_time, count(*) AS n FR
 )
 #: What a watermark of 180 minutes behind the last event has closed.
 PASSED = "(SELECT date_trunc('milliseconds', max(event_time)) - INTERVAL 180 MINUTE FROM raw)"
-query("live_sessions", "raw", f"SELECT * FROM (SELECT meter_id, min(event_time) AS first_event, max(event_time) + INTERVAL 1 HOUR AS closed, count(*) AS reading_count FROM (SELECT *, sum(new) OVER (PARTITION BY meter_id ORDER BY event_time, rn) AS k FROM (SELECT meter_id, event_time, row_number() OVER w AS rn, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM raw WINDOW w AS (PARTITION BY meter_id ORDER BY event_time))) GROUP BY meter_id, k) WHERE closed <= {PASSED}")(
-    lambda s, d: _run(s, live.sessions(_live(s, d, "sessions")))
-)
+@query("live_sessions", "raw", "SELECT meter_id, min(event_time) AS first_event, max(event_time) + INTERVAL 1 HOUR AS closed, count(*) AS reading_count FROM (SELECT *, sum(new) OVER (PARTITION BY meter_id ORDER BY event_time, rn) AS k FROM (SELECT meter_id, event_time, row_number() OVER w AS rn, CASE WHEN event_time - lag(event_time) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM raw WINDOW w AS (PARTITION BY meter_id ORDER BY event_time))) GROUP BY meter_id, k")
+def live_sessions(s, d):
+    """All sessions by a stream in append mode: those that the watermark has closed, and at the end, by a closing message, those still open."""
+    ends = new_path(s, "ends")
+    end = live.parsed(live.messages(s, ends, "sessions")).where("ok").select("id", *live.FIELDS)
+    return _run(s, live.sessions(_live(s, d, "sessions").unionByName(end)), lambda: live.close(s, ends))
+
+
 WINDOWED = f"SELECT bucket, round({SUM_E}, 6) AS energy_kwh, count(*) AS reading_count FROM (SELECT {{b}} AS bucket, e FROM raw) WHERE bucket + INTERVAL {{w}} HOUR <= {PASSED} GROUP BY 1"
 
 

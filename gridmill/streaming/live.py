@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,6 @@ def parsed(raw: DataFrame) -> DataFrame:
 #: messages each: many keys of few messages cost a call of Python each, few keys of many messages a large state that is written again.
 SLOT_SECONDS, ID_BUCKETS = 3600, 64
 
-
 def deliveries(stream: DataFrame, ttl_seconds: int = 3 * 3600, slot_seconds: int = SLOT_SECONDS, buckets: int = ID_BUCKETS) -> DataFrame:
     """``stream`` with ``delivery``: 1 for a message's first delivery, 2 and more for those after it, whatever micro-batches they come in.
 
@@ -194,9 +194,26 @@ def sessions(readings: DataFrame, gap: str = "1 hour", late: str = LATE) -> Data
     return g.select("meter_id", F.col("s.start").cast("timestamp_ntz").alias("first_event"), F.col("s.end").cast("timestamp_ntz").alias("closed"), "reading_count")
 
 
-def run_all(stream: DataFrame, out: str, checkpoint: str):
-    """Append what ``stream`` gives to the folder ``out`` until all that is there now has been read; returns the stopped query."""
+#: The event time of a closing message; no reading is as late.
+END = "9999-01-01 00:00:00"
+
+
+def close(spark: SparkSession, path: str) -> None:
+    """Publish the end of all readings to the log at ``path``: one message that moves a watermark past every window and session but its own, which stays open.
+
+    A stream must read it in a later micro-batch than the readings, so it has a log of its own and is published when they have been read.
+    """
+    end = F.lit(END).cast("timestamp_ntz")
+    one = spark.range(1).select(*[(end if c.endswith("_time") else F.lit(0).cast(kind)).alias(c) for c, kind in (x.split() for x in READINGS.split(", "))])
+    publish(to_messages(one, id_=F.lit("end")), path)
+
+
+def run_all(stream: DataFrame, out: str, checkpoint: str, last: Callable[[], None] | None = None):
+    """Append what ``stream`` gives to the folder ``out`` until all that is there now has been read, and then what comes by ``last``; returns the stopped query."""
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
     q.processAllAvailable()
+    if last is not None:
+        last()
+        q.processAllAvailable()
     q.stop()
     return q

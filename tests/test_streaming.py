@@ -207,3 +207,14 @@ def test_windows_end(spark, tmp_path, kind):
     state = [sum(x["numRowsTotal"] for x in p["stateOperators"]) for p in q.recentProgress if p["stateOperators"]]
     assert max(state) <= 60  # of 80 ids and as many windows or sessions
     assert sum(x["numRowsRemoved"] for p in q.recentProgress for x in p["stateOperators"]) > 0
+
+
+def test_a_closing_message_ends_all_sessions(spark, tmp_path):
+    """With it a stream in append mode gives out every session, those that the watermark had not passed too."""
+    log, ends = hours(spark, tmp_path), str(tmp_path / "ends")
+    read = lambda path: live.parsed(live.messages(spark, path, "g", max_messages=10)).where("ok").select("id", *live.FIELDS)
+    stream = live.sessions(read(log).unionByName(read(ends)), "40 minutes")
+    live.run_all(stream, str(tmp_path / "out"), str(tmp_path / "ck"), lambda: live.close(spark, ends))
+    batch = live.parsed(live.sent(spark, log)).where("ok").select("id", *live.FIELDS)
+    want = sorted(map(tuple, live.sessions(batch, "40 minutes").collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want and len(want) == 80
