@@ -46,10 +46,12 @@ PART = 1_000_000  # pieces of one length that a task ranks at most, or so
 NODES = 16_000
 FEW = 300
 FILLINGS = 4
-MEMO = 150_000
+MEMO = 300_000
 #: Letters that lower-case one by one and have no other normal form, and the vocabulary's pre-tokens of words made of them.
 PLAIN = r"[!-~À-ÖØ-öø-įĲ-ňŊ-ſ]+"
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+"
+#: What may end a word as a pre-token of its own, without signs that special tokens are made of.
+TAIL = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -63,14 +65,24 @@ def word_ids(path: str) -> Memo:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    merge, alphabet = tokenizer.model.tokenize, {b: c for c, b in byte_alphabet().items()}
-    units = Memo(lambda unit: b"".join(struct.pack("<I", x.id) for x in merge("".join(map(alphabet.__getitem__, unit.encode())))), MEMO)
+    merge, alphabet = tokenizer.model.tokenize, str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
+
+    def unit_ids(unit: bytes) -> bytes:
+        ids = [x.id for x in merge(unit.decode("latin-1").translate(alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    units = Memo(unit_ids, MEMO)
     plain, split = re.compile(PLAIN).fullmatch, re.compile(UNITS).findall
 
     def make(word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone are one unit
+            return units[word.lower()]
+        core = word.rstrip(TAIL)
+        if core.isalpha():  # and so is what follows them; other words that end so share the ids of their letters
+            return units[core.lower()] + units[word[len(core) :]]
         text = word.decode()
         if plain(text) and "<|" not in text:  # the normaliser only lower-cases these, and the units are the pre-tokens
-            return b"".join(map(units.__getitem__, split(text.lower())))
+            return b"".join([units[x.encode()] for x in split(text.lower())])
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 

@@ -796,3 +796,28 @@ def test_pipeline_edges(spark, tmp_path):
     df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
     assert corpus_pipeline.secrets(spark, df.drop("n_chars"), "").columns == [c for c in df.columns if c != "n_chars"]
+
+
+def test_packing_words_of_letters_take_no_pattern(monkeypatch):
+    """ASCII letters, with signs behind them or not, get the library's ids without the pattern of pre-tokens; all other words get them too."""
+    import random
+    import struct
+
+    from gridmill.llm import packing
+    from gridmill.llm._common import vocabulary
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    known = Tokenizer.from_file(path)
+    known.no_padding(), known.no_truncation()
+    ids = lambda x: struct.pack(f"<{len(got := known.encode(x, add_special_tokens=False).ids)}I", *got)
+    rnd = random.Random(4)
+    odd = {"".join(rnd.choices("abXYéß09.,;'\"<|>-_#$&@ſñ中İ", k=rnd.randint(1, 7))) for _ in range(3000)} | {"don't", "it's.", "<|endoftext|>.", "rock'n'", "a''s"}
+    packing.word_ids.cache_clear()
+    made = packing.word_ids(path)
+    assert [x for x in odd if made[x.encode()] != ids(x)] == []
+    monkeypatch.setattr(packing, "UNITS", "(?!)")  # matches nothing
+    packing.word_ids.cache_clear()
+    made = packing.word_ids(path)
+    assert all(made[x.encode()] == ids(x) for x in ("Word", "word", "word.", "WORD,", "end!?", "a'", "x$$$"))
+    packing.word_ids.cache_clear()
