@@ -568,7 +568,8 @@ def _landed(s, d):
 
     def build(top):
         log = _log(s, d)
-        delivered = live.deliveries(_messages(s, d, "landing", "sink"), slot_seconds=7 * 86400, buckets=16)  # a month of few messages
+        buckets = live.id_buckets(-(-transport.Log(log).refresh() // BATCHES))
+        delivered = live.deliveries(_messages(s, d, "landing", "sink"), slot_seconds=7 * 86400, buckets=buckets)  # a month in few micro-batches
         q = live.land(delivered, f"{top}/landed", f"{top}/bad", f"{top}/ledger", f"{top}/checkpoint", log, "landing")
         live.until_idle(q, log, "landing", idle_seconds=120, expected=transport.Log(log).refresh())
 

@@ -77,6 +77,14 @@ def parsed(raw: DataFrame) -> DataFrame:
 #: How messages are kept apart: by the time they were sent, in slots, and by a hash of the id.  A micro-batch should meet some hundred keys or more of many
 #: messages each: many keys of few messages cost a call of Python each, few keys of many messages a large state that is written again.
 SLOT_SECONDS, ID_BUCKETS = 3600, 64
+#: The most messages that a key should meet in a micro-batch: a Python worker holds a key's messages and state at once.
+KEY_MESSAGES = 2000
+
+
+def id_buckets(messages: int, least: int = 16) -> int:
+    """Buckets of ids for micro-batches of so many messages, so that what a key holds doesn't grow with them; those of a checkpoint stay as they are."""
+    return max(least, -(-messages // KEY_MESSAGES))
+
 
 def deliveries(stream: DataFrame, ttl_seconds: int = 3 * 3600, slot_seconds: int = SLOT_SECONDS, buckets: int = ID_BUCKETS) -> DataFrame:
     """``stream`` with ``delivery``: 1 for a message's first delivery, 2 and more for those after it, whatever micro-batches they come in.

@@ -218,3 +218,12 @@ def test_a_closing_message_ends_all_sessions(spark, tmp_path):
     batch = live.parsed(live.sent(spark, log)).where("ok").select("id", *live.FIELDS)
     want = sorted(map(tuple, live.sessions(batch, "40 minutes").collect()))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want and len(want) == 80
+
+
+def test_keys_do_not_grow_with_the_log(spark, tmp_path, monkeypatch):
+    """The messages that a key meets in a micro-batch, and with them what a Python worker holds, are bounded."""
+    monkeypatch.setattr(live, "KEY_MESSAGES", 50)
+    assert live.id_buckets(100) == 16 and live.id_buckets(10_000) == 200
+    for n in (2000, 20_000):
+        m = numbered(spark, 0, n).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(live.id_buckets(n))))
+        assert m.groupBy("_b").count().agg(F.max("count")).first()[0] <= 2 * max(50, n / 16)
