@@ -59,8 +59,9 @@ def utc_of_iso(text: Column) -> Column:
     """ISO-8601 text as UTC wall time; text without an offset is UTC, and other text null."""
     sign = F.when(F.substring(text, -6, 1) == "-", -1).otherwise(1)
     shift = sign * (F.substring(text, -5, 2).try_cast("int") * 60 + F.substring(text, -2, 2).try_cast("int"))
+    bare = F.substring(text, F.lit(1), F.length(text) - 6).try_cast("timestamp_ntz")
     plain = F.regexp_replace(text, r"(Z|[+-][0-9]{2}:[0-9]{2})$", "").try_cast("timestamp_ntz")
-    return F.when(text.rlike(r"T.*[+-][0-9]{2}:[0-9]{2}$"), F.timestamp_add("MINUTE", -shift, plain)).otherwise(plain)
+    return F.when(text.rlike(r"T.*[+-][0-9]{2}:[0-9]{2}$"), F.timestamp_add("MINUTE", -shift, bare)).otherwise(plain)
 
 
 def is_weekend(ts: Column) -> Column:

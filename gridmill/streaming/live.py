@@ -63,11 +63,15 @@ def truncate(spark: SparkSession, *paths: str) -> None:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Payloads to readings; ``ok`` is false for malformed JSON and for a missing key.  Other columns stay."""
+    """Payloads to readings; ``ok`` is false for malformed JSON and for a missing key.  Other columns stay.
+
+    The fields come out of an array of one: a filter on them isn't pushed below, where every field that it names would parse the payload again.
+    """
+    one = lambda c, name: F.explode(F.array(c)).alias(name)
     r = F.from_json("payload", READINGS.replace("timestamp_ntz", "string"), {"mode": "PERMISSIVE"})
-    df = raw.withColumn("_r", r)
+    df = raw.select(*raw.columns, one(r, "_r"))
     times = [utc_of_iso(F.col(f"_r.{c}")).alias(c) if c.endswith("_time") else F.col(f"_r.{c}").alias(c) for c in FIELDS]
-    read = df.select(*raw.columns, F.col("_r").isNotNull().alias("_read"), *times)
+    read = df.select(*raw.columns, one(F.struct(F.col("_r").isNotNull().alias("_read"), *times), "_f")).select(*raw.columns, "_f.*")
     ok = F.col("_read")
     for c in FIELDS:
         ok = ok & F.col(c).isNotNull()

@@ -172,7 +172,7 @@ def _segments(path: str, batches) -> Segments:
         table = pa.Table.from_batches([batch]).select(GIVEN)
         if writer is None:
             files.append([f"{uuid.uuid4().hex}.parquet", 0])
-            writer = pq.ParquetWriter(log.store.open_output_stream(f"{log.path}/segments/{files[-1][0]}"), table.schema, compression="zstd")
+            writer = pq.ParquetWriter(log.store.open_output_stream(f"{log.path}/segments/{files[-1][0]}"), table.schema, compression="zstd", use_dictionary=["topic"])
         writer.write_table(table, row_group_size=ROW_GROUP)
         files[-1][1] += table.num_rows
         if files[-1][1] >= SEGMENT_ROWS:

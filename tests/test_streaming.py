@@ -227,3 +227,10 @@ def test_keys_do_not_grow_with_the_log(spark, tmp_path, monkeypatch):
     for n in (2000, 20_000):
         m = numbered(spark, 0, n).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(live.id_buckets(n))))
         assert m.groupBy("_b").count().agg(F.max("count")).first()[0] <= 2 * max(50, n / 16)
+
+
+def test_a_payload_is_parsed_once(spark):
+    """A filter on the parsed fields doesn't parse the payload again for each of them."""
+    raw = spark.createDataFrame([("a", "{}")], "id string, payload string")
+    plan = live.parsed(raw).where("ok").select("id", "event_time", "energy_kwh")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
