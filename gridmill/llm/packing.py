@@ -4,7 +4,7 @@ Documents are tokenised where they lie; longer ones are cut at the sequence leng
 have each length is a table of at most ``capacity`` rows, whatever the corpus, and the search runs on that:
 
 * the incumbent is best-fit decreasing over the table, a whole run of equal lengths at a time;
-* if it uses more bins than the bound ceil(total / capacity) (or the number of pieces over half), branch-and-bound
+* if it uses more bins than the bound of Martello and Toth (``least``), branch-and-bound
   looks for fewer: around the largest piece left it tries all undominated fillings in the order of their waste, each
   for as many bins at once as the table allows, and cuts a branch once its waste exceeds what the target leaves.
   Where no waste is left and at most ``FEW`` lengths are, a branch is also cut once some piece has no filling, and
@@ -28,7 +28,7 @@ import random
 import re
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from functools import lru_cache
 from itertools import chain, islice
@@ -172,69 +172,91 @@ class _Table:
                 self.bits ^= 1 << n
                 self.flip ^= 1 << self.capacity - n
 
-    def few(self, total: int, k: int, least: int):
-        """Ascending tuples of ``k`` pieces of ``least`` or more that add up to ``total``, most even first."""
+    def few(self, total: int, k: int, least: int, among: int):
+        """Ascending tuples of ``k`` pieces of ``least`` or more, with lengths whose bits are in ``among``, that add up to ``total``, most even first."""
         if k == 1:
-            if total >= least and self.bits >> total & 1:
+            if total >= least and among >> total & 1:
                 yield (total,)
             return
         near = total // k
         if k == 2:  # a bit is left where both a length and what it leaves exist
-            found = self.bits & self.flip >> self.capacity - total & (1 << near + 1) - 1
+            found = among & self.flip >> self.capacity - total & (1 << near + 1) - 1
         else:
             least = max(least, total - (k - 1) * (self.bits.bit_length() - 1))
-            found = self.bits & (1 << near + 1) - 1
+            found = among & (1 << near + 1) - 1
         found >>= least
         while found:
             n = found.bit_length() - 1
             found ^= 1 << n
             n += least
             if k == 2:
-                if 2 * n != total or self.counts[n] > 1:
+                if among >> total - n & 1 and (2 * n != total or self.counts[n] > 1):
                     yield (n, total - n)
                 continue
-            for rest in self.few(total - n, k - 1, n):
+            for rest in self.few(total - n, k - 1, n, among):
                 if rest[0] != n or rest.count(n) < self.counts[n]:
                     yield (n, *rest)
 
-    def many(self, room: int):
-        """A function: the ascending tuples of four or more pieces with a given sum of at most ``room``."""
-        order, whole = sorted(n for n in self.counts if n <= room), (1 << room + 1) - 1
+    def many(self, total: int, least: int, among: int):
+        """The ascending tuples of four or more pieces that add up to ``total``, with lengths of ``least`` or more whose bits are in ``among``."""
+        counts, whole, bits, order = self.counts, (1 << total + 1) - 1, among & (1 << max(0, total - 3 * least + 1)) - 1, []
         reach = [1]  # bit s of reach[k]: the pieces from place k on can add up to s
-        for n in reversed(order):
-            sums, left, times = reach[-1], min(self.counts[n], room // n), 1
+        while bits:
+            n = bits.bit_length() - 1
+            bits ^= 1 << n
+            order.append(n)
+            sums, left, times = reach[-1], min(counts[n], total // n), 1
             while left:
                 step = min(times, left)
                 sums |= sums << n * step & whole
                 left, times = left - step, 2 * times
             reach.append(sums)
+        order.reverse()
         reach.reverse()
-
-        def of(total: int):
-            stack: list[tuple[int, int, tuple[int, ...]]] = [(0, total, ())]
-            while stack:
-                at, left, chosen = stack.pop()
-                if not left:
-                    if len(chosen) > 3:
-                        yield chosen
+        # Levels of [first place, place, copies of that piece still to try, what is left to fill, chosen so far]: largest piece and most
+        # copies first.  A level makes its next choice only when it is asked for.
+        stack: list[list] = []
+
+        def down(at: int, left: int, chosen: tuple[int, ...]) -> None:
+            last = bisect_left(range(at, len(order)), True, key=lambda k: order[k] > left or not reach[k] >> left & 1)  # reach only shrinks
+            stack.append([at, at + last, 0, left, chosen])
+
+        down(0, total, ())
+        while stack:
+            level = stack[-1]
+            at, k, copies, left, chosen = level
+            if not copies:
+                if k == at:
+                    stack.pop()
                     continue
-                for k in range(at, len(order)):  # the next smallest piece, largest on top
-                    n = order[k]
-                    if n > left or not reach[k] >> left & 1:
-                        break
-                    got, rest = chosen, left
-                    for _ in range(min(self.counts[n], left // n)):
-                        got, rest = (*got, n), rest - n
-                        if reach[k + 1] >> rest & 1:
-                            stack.append((k + 1, rest, got))
-
-        return of
+                k -= 1
+                copies = min(counts[order[k]], left // order[k])
+            rest = left - copies * order[k]
+            level[1:3] = k, copies - 1
+            if not reach[k + 1] >> rest & 1:
+                continue
+            got = chosen + (order[k],) * copies
+            if rest:
+                down(k + 1, rest, got)
+            elif len(got) > 3:
+                yield got
+
+    def dominated(self, waste: int, way: tuple[int, ...]) -> bool:
+        """Does a piece outside ``way`` fit into the waste, or in place of a shorter one and some of the waste?"""
+        free, window = self.bits, (1 << waste) - 1
+        for n in set(way):
+            if self.counts[n] == way.count(n):
+                free ^= 1 << n
+        return any(free >> n + 1 & window for n in (0, *way))
 
     def fillings(self, room: int, spare: int, most: int | None = None):
         """(waste, tuple of lengths) for the undominated ways to fill ``room``, of at most ``most`` pieces and a waste of at most ``spare``.
 
         Least waste first, then one, two, three and more pieces; one by one.  A filling is dominated if a piece left outside
         fits too, if one of its pieces could give way to a longer one left outside, or if one piece outside fills the room alone.
+
+        A length with more pieces than the room holds always has one outside, so with waste no piece up to that waste below such a length is
+        tried: where lengths are many and common, none is left after the first few wastes.
         """
         counts = self.counts
         if room in counts:
@@ -245,15 +267,21 @@ class _Table:
             if room <= spare:
                 yield room, ()
             return
-        rest = None
+        among, common, below = self.bits, None, 0
         for waste in range(min(room - least, spare) + 1):
             total = room - waste
-            ways = [self.few(total, k, least) for k in range(1, min(3, most or 3) + 1)]
+            if waste:
+                if common is None:
+                    common = sum(1 << n for n, c in counts.items() if n * c > room)
+                below |= common >> waste
+                among = self.bits & ~below
+                if below & 1 or not among & (1 << total + 1) - 1:
+                    return
+            ways = [self.few(total, k, least, among) for k in range(1, min(3, most or 3) + 1)]
             if 4 * least <= total and not most:
-                rest = rest or self.many(room)
-                ways.append(rest(total))
+                ways.append(self.many(total, least, among))
             for way in chain.from_iterable(ways):
-                if not waste or not any(counts.get(n + d, 0) > way.count(n + d) for n in (0, *way) for d in range(1, waste + 1)):
+                if not waste or not self.dominated(waste, way):
                     yield waste, way
 
 
@@ -362,6 +390,23 @@ def searched(counts: dict[int, int], capacity: int, target: int, nodes: int = NO
     return None, False
 
 
+def least(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs, after Martello and Toth: for each smallest size that counts, pieces that can stand beside none of that size
+    or over fill their bins alone, others over half have a bin each, and the pieces up to half must fit into what those leave or into more bins."""
+    lengths = sorted(n for n, c in counts.items() if c)
+    number, tokens = [0], [0]  # of the pieces shorter than each place's
+    for n in lengths:
+        number.append(number[-1] + counts[n])
+        tokens.append(tokens[-1] + n * counts[n])
+    half = bisect_right(lengths, capacity // 2)
+    best = number[-1] - number[half]
+    for k, size in enumerate(lengths[:half]):
+        alone = bisect_right(lengths, capacity - size)
+        room = (number[alone] - number[half]) * capacity - (tokens[alone] - tokens[half])
+        best = max(best, number[-1] - number[half] + max(0, -(-(tokens[half] - tokens[k] - room) // capacity)))
+    return best
+
+
 def packed(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Pattern, int]], str]:
     """Patterns with multiplicities that hold every piece of the length table, and "optimal" or "bound reached".
 
@@ -372,7 +417,7 @@ def packed(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
         return [], "optimal"
     best, proved = best_fit(counts, capacity), True
     size = lambda x: sum(times for _, times in x)
-    target = bound = max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
+    target = bound = least(counts, capacity)
     while target < size(best):  # the bound itself, then halfway to the incumbent
         nodes -= nodes // 2  # each target gets half of what is left
         better, proof = searched(counts, capacity, target, nodes)

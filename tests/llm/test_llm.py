@@ -821,3 +821,27 @@ def test_packing_words_of_letters_take_no_pattern(monkeypatch):
     made = packing.word_ids(path)
     assert all(made[x.encode()] == ids(x) for x in ("Word", "word", "word.", "WORD,", "end!?", "a'", "x$$$"))
     packing.word_ids.cache_clear()
+
+
+def test_packing_searches_a_large_table_of_lengths_in_seconds():
+    """All lengths, each twelve times as often as in a table of a twelfth of the size: best-fit decreasing misses the bound by six."""
+    import time
+
+    rnd = random.Random(0)
+    counts = {n: 12 * (1 + rnd.randrange(1 + 30_000 // (n + 100))) for n in range(1, 4097)}
+    began = time.process_time()
+    got, told = packing.packed(dict(counts))
+    assert told == "optimal" and time.process_time() - began < 30
+    held = Counter()
+    for pattern, times in got:
+        assert sum(n * k for n, k in pattern) <= 4096
+        held.update({n: k * times for n, k in pattern})
+    assert held == counts and sum(t for _, t in got) == -(-sum(n * c for n, c in counts.items()) // 4096)
+
+
+def test_packing_bound_counts_what_no_piece_can_fill():
+    assert packing.packed({90: 10, 60: 10, 50: 3}, 100)[1] == "optimal"  # nothing fits beside 90 or 60
+    rnd = random.Random(7)
+    for _ in range(200):
+        sizes = [rnd.randint(5, 95) for _ in range(8)]
+        assert max(-(-sum(sizes) // 100), sum(n > 50 for n in sizes)) <= packing.least(dict(Counter(sizes)), 100) <= least_bins(sizes, 100)
